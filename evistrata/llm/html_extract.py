@@ -164,7 +164,8 @@ def second_pass(found: list[Block]) -> None:
 
     Between two labels that differ, ``near`` blocks become good and short ones go with the closer side
     (bad on a draw). Where nothing is decided on either side, blocks of a marked article and ``near`` blocks
-    are good. A heading is good when a good block follows within reach.
+    are good. A heading is good when a good block follows within reach. On a page where nothing turns out
+    good, all blocks that the first pass left undecided are.
     """
     decided = [b.label if b.label in ("good", "bad") else "" for b in found]
     before: list[tuple[str, int]] = []
@@ -190,6 +191,9 @@ def second_pass(found: list[Block]) -> None:
                 b.label = "good" if b.label == "near" else closer
         elif not b.away:
             last[b.region] = (decided[i], i)
+    if all(b.label == "bad" for b in found):
+        for b, was in zip(found, decided, strict=True):
+            b.label = b.label if was else "good"
 
 
 def main_text(html: str | None) -> str:

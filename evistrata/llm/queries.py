@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evistrata.llm import exact_dedup, html_extract, mixing, ngram_join, pieces, quality, sharding, toxicity
+from evistrata.llm import exact_dedup, hamming_search, html_extract, mixing, ngram_join, pieces, quality, sharding, surrogates, toxicity
+
+#: Of the registered query; a real run passes a secret of its own.
+SURROGATE_KEY = b"evistrata example key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup_batch(_table(spark, sf_dir, "documents"), exact_dedup.DigestIndex.fresh(spark), "batch")
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -40,6 +47,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming_search.sign_code("embedding").alias("code"))
+    return hamming_search.search(codes, codes.filter("id % 100 = 0"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"), pieces.read_model(pieces.DEFAULT_MODEL))
 
@@ -52,9 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op4_surrogates": op4_surrogates,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
+    "op8_hamming_search": op8_hamming_search,
     "op9_pieces": op9_pieces,
     "op10_ngram_join": op10_ngram_join,
 }
@@ -80,4 +94,12 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT a AS node, b AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen)
         SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, least(d.doc_id, min(r.seen)) AS component_id
         FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.node = d.doc_id GROUP BY d.doc_id""",
+    "op8_hamming_search": """
+        WITH found AS (
+            SELECT q.vec_id AS query_id, x.vec_id AS neighbor_id,
+                   len(list_filter(range(1, 65), lambda i: (coalesce(q.embedding[i], 0) > 0) <> (coalesce(x.embedding[i], 0) > 0))) AS distance
+            FROM embeddings q JOIN embeddings x ON x.vec_id <> q.vec_id
+            WHERE q.vec_id % 100 = 0 AND q.embedding IS NOT NULL AND x.embedding IS NOT NULL)
+        SELECT query_id, row_number() OVER w AS rank, neighbor_id, distance FROM found
+        WINDOW w AS (PARTITION BY query_id ORDER BY distance, neighbor_id) QUALIFY row_number() OVER w <= 10""",
 }

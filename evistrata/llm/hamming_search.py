@@ -51,7 +51,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFram
     total = codes.agg(F.sum(F.size("ids"))).first()[0] or 0
     index = codes.select("code", F.posexplode(F.array(*_segments("code"))).alias("segment", "value"))
     index = materialize(index.repartition("segment", "value"), "search-index")
-    waiting = materialize(queries.filter("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct(), "search-queries")
+    waiting = materialize(queries.filter("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct(), "search-queries", True)
     found, done = None, []
     best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     for radius in range(BITS + 1):
@@ -61,15 +61,15 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFram
         hits = probes.join(index, ["segment", "value"]).select("query_id", "query", "code").distinct()
         near = hits.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))))
         found = near if found is None else found.join(waiting.select("query_id"), "query_id", "left_semi").unionByName(near).distinct()
-        found = materialize(found, f"search-found{radius}")
+        found = materialize(found, f"search-found{radius}", True)
         top = found.join(codes, "code").select("query_id", "distance", F.explode("ids").alias("neighbor_id")).filter("neighbor_id <> query_id")
-        ranked = materialize(top.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), f"search-top{radius}")
+        ranked = materialize(top.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), f"search-top{radius}", True)
         covered = SEGMENTS * (radius + 1) - 1
         state = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
         sure = (F.col("n") >= F.lit(min(k, max(0, total - 1)))) & (F.col("kth") <= covered) if radius < BITS else F.lit(True)
-        ready = materialize(state.filter(sure).select("query_id"), f"search-ready{radius}")
+        ready = materialize(state.filter(sure).select("query_id"), f"search-ready{radius}", True)
         done.append(ranked.join(ready, "query_id", "left_semi"))
-        waiting = materialize(waiting.join(ready, "query_id", "left_anti"), f"search-waiting{radius}")
+        waiting = materialize(waiting.join(ready, "query_id", "left_anti"), f"search-waiting{radius}", True)
         if not waiting.limit(1).count():
             break
     out = done[0]

@@ -98,7 +98,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 keys = [np.array([np.add.reduce(s.view(np.uint64))], np.uint64).view(np.int64)[0] for s in sets]
                 yield pd.DataFrame({"doc_id": b["doc_id"], "cid": keys, "n": [len(s) for s in sets], "shingles": sets})
 
-    texts = join_checked(docs.select("doc_id", "text"), materialize(wanted.select("doc_id").distinct(), "join-wanted-ids"), "doc_id", "left_semi")
+    texts = join_checked(docs.select("doc_id", "text"), materialize(wanted.select("doc_id").distinct(), "join-wanted-ids", True), "doc_id", "left_semi")
     found = texts.mapInPandas(run, "doc_id bigint, cid bigint, n long, shingles array<bigint>")
     return found.join(wanted, ["doc_id", "cid"], "left_semi").dropDuplicates(["cid"]).drop("doc_id")
 
@@ -206,7 +206,7 @@ def _blocks(members: DataFrame, *by: str) -> DataFrame:
 def _known(members: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return members.withColumn("known", F.col("cid"))
-    tied = materialize(connected_components(links), "join-known").withColumnRenamed("node", "cid")
+    tied = materialize(connected_components(links), "join-known", True).withColumnRenamed("node", "cid")
     return members.join(tied, "cid", "left").withColumn("known", F.coalesce("component", "cid")).drop("component")
 
 
@@ -214,23 +214,23 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFr
     """Links inside clusters (``cid, n, cluster``): within blocks first, then by delegates, then what is left across blocks."""
     names = _blocks(clusters, "cluster")
     task = lambda *c: F.xxhash64(*c).alias("task")
-    names = materialize(_known(names, None), "join-blocks")
+    names = materialize(_known(names, None), "join-blocks", True)
     within = names.select("cid", "known", F.lit(2).alias("side"), F.struct("cluster", "block").alias("task"))
-    links = materialize(_compare(within.join(sets, "cid"), percent), "join-within")
+    links = materialize(_compare(within.join(sets, "cid"), percent), "join-within", True)
     several = names.groupBy("cluster").agg(F.max("block").alias("last")).filter("last > 0")
     if not several.limit(1).count():
         return links
-    wide = materialize(_known(names.drop("known").join(several, "cluster"), links), "join-wide")
+    wide = materialize(_known(names.drop("known").join(several, "cluster"), links), "join-wide", True)
     # one delegate for every component in a block, compared in blocks of their own
     delegates = wide.groupBy("cluster", "block", "known").agg(F.max_by("cid", "n").alias("cid"), F.max("n").alias("n"))
     met = _blocks(delegates.drop("block"), "cluster").select("cid", "known", F.lit(2).alias("side"), F.struct("cluster", "block").alias("task"))
-    links = materialize(links.union(_compare(met.join(sets, "cid"), percent)), "join-delegates")
-    wide = materialize(_known(wide.drop("known"), links), "join-wide2")
+    links = materialize(links.union(_compare(met.join(sets, "cid"), percent)), "join-delegates", True)
+    wide = materialize(_known(wide.drop("known"), links), "join-wide2", True)
     # across two blocks, a set needs to meet the other block unless all of it is in the set's component
     whole = wide.groupBy("cluster", "block").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
     one, two = whole.select(*[F.col(c).alias(f"{c}1") for c in whole.columns]), whole.select(*[F.col(c).alias(f"{c}2") for c in whole.columns])
     apart = ~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))
-    tasks = materialize(one.join(two, (F.col("cluster1") == F.col("cluster2")) & (F.col("block1") < F.col("block2"))).filter(apart & (100 * F.col("n_hi1") >= percent * F.col("n_lo2"))), "join-tasks")
+    tasks = materialize(one.join(two, (F.col("cluster1") == F.col("cluster2")) & (F.col("block1") < F.col("block2"))).filter(apart & (100 * F.col("n_hi1") >= percent * F.col("n_lo2"))), "join-tasks", True)
     if not tasks.limit(1).count():
         return links
     number = F.struct("cluster1", "block1", "block2").alias("task")
@@ -252,22 +252,22 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     docs = docs.select("doc_id", "text")
     prints = materialize(fingerprints(docs, words, percent), "join-prints")
-    classes = materialize(prints.filter("n > 0").groupBy("k1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("k2").alias("k2"), F.max("k2").alias("k2_hi"), F.first("n").alias("n")), "join-classes")
+    classes = materialize(prints.filter("n > 0").groupBy("k1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("k2").alias("k2"), F.max("k2").alias("k2_hi"), F.first("n").alias("n")), "join-classes", True)
     if classes.filter("k2 <> k2_hi").limit(1).count():
         raise RuntimeError("two sets share a 64-bit fingerprint")
-    losers = materialize(prints.join(classes.filter("copies > 1").select("k1", "rep"), "k1").filter("doc_id > rep").select("k1", "doc_id").distinct(), "join-losers")
+    losers = materialize(prints.join(classes.filter("copies > 1").select("k1", "rep"), "k1").filter("doc_id > rep").select("k1", "doc_id").distinct(), "join-losers", True)
     first = join_checked(prints.filter("n > 0"), losers, ["k1", "doc_id"], "left_anti")
     exploded = first.select(F.col("k1").alias("cid"), "n", F.posexplode("prefix").alias("pos", "token"))
     counted = exploded.withColumn("length", F.count("*").over(Window.partitionBy("token"))).filter("length > 1")
     postings = materialize(counted, "join-postings")
     long = postings.filter(F.col("length") > SHORT_LIST)
     # what long lists may add to the shared shingles of a pair
-    shared = materialize(long.groupBy("cid").agg(F.count("*").alias("g")), "join-long")
+    shared = materialize(long.groupBy("cid").agg(F.count("*").alias("g")), "join-long", True)
     clusters = None
     if shared.limit(1).count():
-        stars = long.join(materialize(long.groupBy("token").agg(F.min("cid").alias("b")), "join-stars"), "token").select(F.col("cid").alias("a"), "b")
+        stars = long.join(materialize(long.groupBy("token").agg(F.min("cid").alias("b")), "join-stars", True), "token").select(F.col("cid").alias("a"), "b")
         tied = connected_components(stars).withColumnRenamed("node", "cid").withColumnRenamed("component", "cluster")
-        clusters = materialize(tied.join(classes.select(F.col("k1").alias("cid"), "n"), "cid"), "join-clusters")
+        clusters = materialize(tied.join(classes.select(F.col("k1").alias("cid"), "n"), "cid"), "join-clusters", True)
     pairs = _pairs(postings, percent)
     for side in ("a", "b"):
         pairs = pairs.join(shared.select(F.col("cid").alias(side), F.col("g").alias(f"g{side}")), side, "left").fillna(0, [f"g{side}"])
@@ -278,23 +278,23 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     pairs = pairs.filter(F.col("c") + F.least("ga", "gb") + rest >= need)
     if clusters is not None:
         pairs = pairs.filter("cluster_a is null or cluster_b is null or cluster_a <> cluster_b")
-    pairs = materialize(pairs.select("a", "b", "na", "nb"), "join-pairs")
+    pairs = materialize(pairs.select("a", "b", "na", "nb"), "join-pairs", True)
     wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1")))
     if clusters is not None:
         wanted = wanted.union(clusters.select(F.col("cid").alias("k1")))
-    wanted = materialize(classes.join(wanted.distinct(), "k1", "left_semi").select(F.col("rep").alias("doc_id"), F.col("k1").alias("cid")), "join-wanted")
+    wanted = materialize(classes.join(wanted.distinct(), "k1", "left_semi").select(F.col("rep").alias("doc_id"), F.col("k1").alias("cid")), "join-wanted", True)
     sets = materialize(whole_sets(docs, wanted, words), "join-sets").select("cid", "shingles")
     checked = pairs.join(sets.withColumnRenamed("cid", "a").withColumnRenamed("shingles", "sa"), "a").join(sets.withColumnRenamed("cid", "b").withColumnRenamed("shingles", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     links = checked.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
     if clusters is not None:
         links = links.union(_cluster_links(clusters, sets, percent))
-    tied = materialize(connected_components(materialize(links, "join-links")), "join-components")
+    tied = materialize(connected_components(materialize(links, "join-links", True)), "join-components", True)
     linked = classes.join(tied.withColumnRenamed("node", "k1"), "k1")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = linked.join(least, "component").select("k1", "component_id")
     alone = classes.filter("copies > 1").join(named, "k1", "left_anti").select("k1", F.col("rep").alias("component_id"))
-    lookup = materialize(named.union(alone), "join-lookup")
+    lookup = materialize(named.union(alone), "join-lookup", True)
     return prints.select("doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1")).join(lookup, "k1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -24,13 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, label: str, cluster_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Tables counted to be at most this long are read as one partition, so what follows needs no shuffle.
+SMALL_ROWS = 500_000
+
+
+def materialize(df: DataFrame, label: str, maybe_small: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With ``maybe_small`` the rows are counted (from file footers): up to ``SMALL_ROWS`` are read as one
+    partition, more are read as they were written. The plan is the same, only its shuffles fall away.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    out = df.repartition(cluster_by) if cluster_by else df
-    out.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out.coalesce(1) if maybe_small and few(out, SMALL_ROWS) else out
 
 
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -61,7 +69,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     lineage stays short. Rounds grow with the logarithm of the longest path.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = materialize(edges.select("a", "b").filter("a <> b").distinct(), "cc")
+    now = materialize(edges.select("a", "b").filter("a <> b").distinct(), "cc", True)
     state = None
     for _ in range(max_rounds):
         # large star: every neighbour above a node is tied to the least node around it
@@ -72,7 +80,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.filter("a > b").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = materialize(small.filter("a <> b").distinct(), "cc")
+        now = materialize(small.filter("a <> b").distinct(), "cc", True)
         got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (got["n"], got["h"]) == state:
             break

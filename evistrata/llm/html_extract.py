@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evistrata.llm.shared import small_batches
+
 #: First pass: most share of linked characters; characters below which a block is short, above which long; densities.
 MAX_LINKS = 0.33
 SHORT, LONG = 80, 200
@@ -214,6 +216,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     0. Repeated rows are extracted each; an empty table gives an empty result. Columns of ``pages``
     called ``text`` or ``n_chars`` are replaced.
     """
+    small_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
 
     @F.pandas_udf("string")

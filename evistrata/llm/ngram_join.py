@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evistrata.llm.shared import connected_components, join_checked, materialize
+from evistrata.llm.shared import connected_components, join_checked, materialize, small_batches
 from evistrata.llm.shingles import mix64, shingle_sets
 
 WORDS = 4
@@ -251,6 +251,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     64-bit hashes and equal sets found by 128-bit fingerprints.
     """
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     prints = materialize(fingerprints(docs, words, percent), "join-prints")
     classes = materialize(prints.filter("n > 0").groupBy("k1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("k2").alias("k2"), F.max("k2").alias("k2_hi"), F.first("n").alias("n")), "join-classes", True)
     if classes.filter("k2 <> k2_hi").limit(1).count():

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evistrata.llm.shared import small_batches
 from evistrata.llm.shingles import mix64
 
 DEFAULT_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -29,9 +30,9 @@ SEED = 11
 #: Smoothing: path weights are the product of piece probabilities to this power.
 ALPHA = 0.6
 #: Characters that are sampled together; bounds the memory of a task.
-CHUNK_CHARS = 1 << 18
+CHUNK_CHARS = 1 << 17
 #: Positions of filtered lattices that a task keeps before it starts anew.
-MOST_POSITIONS = 400_000
+MOST_POSITIONS = 200_000
 MARK = "▁"
 _OWN_MARK = 0x110000
 
@@ -156,8 +157,9 @@ class Lattices:
 
     def _room(self, more: int) -> None:
         while len(self.shares) < self.used + more:
-            self.shares = np.concatenate([self.shares, np.zeros_like(self.shares)])
-            self.ids = np.concatenate([self.ids, np.full_like(self.ids, -1)])
+            grow = max(len(self.shares) // 2, 1024)
+            self.shares = np.concatenate([self.shares, np.zeros((grow, self.v.longest))])
+            self.ids = np.concatenate([self.ids, np.full((grow, self.v.longest), -1, np.int32)])
 
     def add(self, hashes: np.ndarray, codes: np.ndarray, size: np.ndarray) -> None:
         """Filter forward all parts at once, position by position; parts follow one another in ``codes``."""
@@ -302,6 +304,7 @@ def encode(docs: DataFrame, model: bytes, seed: int = SEED, alpha: float = ALPHA
         for keys, texts in batches:
             yield pd.Series(sample_pieces(lattices, [None if pd.isna(t) else t for t in texts], keys.tolist(), seed), dtype=object)
 
+    small_batches(docs.sparkSession)
     to_pieces = F.pandas_udf(run, "array<int>")
     return docs.withColumn(out, to_pieces(F.xxhash64(F.col(key_col)), F.col(text_col)))
 
@@ -313,6 +316,7 @@ def decode(docs: DataFrame, model: bytes, pieces_col: str = "pieces", out: str =
         for rows in batches:
             yield pd.Series([join_pieces(v, r.tolist() if r is not None else ()) for r in rows], dtype=object)
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, F.pandas_udf(run, "string")(F.col(pieces_col)))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evistrata.llm.doc_stats import NAMES, stats_matrix
-from evistrata.llm.shared import materialize
+from evistrata.llm.shared import materialize, small_batches
 
 FEATURES = 192
 WIDTH = 3.0
@@ -150,6 +150,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     each; extra columns are ignored; an empty table gives an empty result. Rows with a null doc_id are
     scored and count as not held out.
     """
+    small_batches(docs.sparkSession)
     stats = materialize(document_stats(docs), "quality-stats")
     model = fit(stats.join(train_labels(labels, "quality", 4, 2), "doc_id"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -41,6 +41,17 @@ def materialize(df: DataFrame, label: str, maybe_small: bool = False) -> DataFra
     return out.coalesce(1) if maybe_small and few(out, SMALL_ROWS) else out
 
 
+#: Rows that go to a Python worker at once where whole texts go there; bounds its memory.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Send texts to Python workers in batches of at most ``rows``, unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` (materialized) has at most ``rows`` rows."""
     return df.count() <= rows

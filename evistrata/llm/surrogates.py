@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evistrata.llm.shared import join_checked, materialize
+from evistrata.llm.shared import join_checked, materialize, small_batches
 
 #: Titles that show a person's gender; the capitalised words after one are a name.
 TITLES = {
@@ -193,6 +193,7 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     gives the same surrogates in any run over the same corpus. An empty table gives an empty result. A
     column of ``docs`` called ``n_entities`` is replaced.
     """
+    small_batches(docs.sparkSession)
     spans = materialize(detect(docs), "pii-spans")
     names = name_surrogates(spans, key)
     placed = spans.join(names, ["kind", "value"]).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind", "written", "surrogate"))).alias("places"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evistrata.llm.quality import train_labels
-from evistrata.llm.shared import materialize
+from evistrata.llm.shared import materialize, small_batches
 
 _WORD = re.compile(r"\w+")
 #: Word beginnings of these lengths are features beside the words themselves.
@@ -158,6 +158,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     each; extra columns are ignored; an empty table gives an empty result; a null doc_id counts as not
     held out. Held-out rows take no part in the fit, not even as unlabelled text.
     """
+    small_batches(docs.sparkSession)
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = materialize(train_labels(labels, "toxic", 5, 0), "toxicity-labels")
     return score(docs, fit(docs.filter(rest != 0), known)).select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -65,7 +65,7 @@ def quality_states(runs: DataFrame, key: str, order: list[str]) -> DataFrame:
     without a finding, or the first three, move the baseline. The history of a source is one array: runs
     of a source are few beside the records that they bring.
     """
-    per = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "records", "population", "fingerprint"))).alias("runs"))
+    per = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "records", "population", "fingerprint"))).alias("_runs"))
     start = F.expr("named_struct('n', 0, 'level', cast(null as double), 'field', cast(null as double), 'known', cast(array() as array<string>), 'volume', 0, 'fields', 0, 'schema', 0, 'rejected', 0)")
 
     def step(s: Column, x: Column) -> Column:
@@ -82,8 +82,8 @@ def quality_states(runs: DataFrame, key: str, order: list[str]) -> DataFrame:
             (s["fields"] + one(field)).alias("fields"), (s["schema"] + one(schema)).alias("schema"), (s["rejected"] + one(~take)).alias("rejected"),
         )
 
-    folded = per.select(key, F.size("runs").alias("runs"), F.aggregate("runs", start, step).alias("s"))
-    return folded.select(key, "runs", F.col("s.n").alias("samples"), "s.level", F.col("s.volume").alias("volume_anomalies"), F.col("s.fields").alias("field_anomalies"), F.col("s.schema").alias("schema_drifts"), "s.rejected")
+    folded = per.select(key, F.size("_runs").alias("runs"), F.aggregate("_runs", start, step).alias("_state"))
+    return folded.select(key, "runs", F.col("_state.n").alias("samples"), "_state.level", F.col("_state.volume").alias("volume_anomalies"), F.col("_state.fields").alias("field_anomalies"), F.col("_state.schema").alias("schema_drifts"), "_state.rejected")
 
 
 def circuit_states(outcomes: DataFrame, key: str, order: list[str], threshold: int) -> DataFrame:

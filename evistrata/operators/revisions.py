@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evistrata.operators.lineage import cut
+
 RECORD = ("source_id", "source_record_key")
 
 
@@ -69,11 +71,11 @@ def supersession_cycles(rows: DataFrame, record: str, supersedes: str, max_round
     smallest is followed.
     """
     step = rows.filter(F.col(supersedes).isNotNull()).groupBy(F.col(record).alias("a")).agg(F.min(supersedes).alias("b"))
-    step = step.checkpoint()
+    step = cut(step)
     reach, size = step, step.count()
     rounds = max(1, min(max_rounds, size.bit_length() + 1))
     for _ in range(rounds):  # after this many doublings only chains that end in a cycle still have a pointer
-        reach = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b")).checkpoint()
+        reach = cut(reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b")))
     on_cycle = reach.select(F.col("b").alias("a")).distinct()
     return on_cycle.withColumnRenamed("a", "record")
 

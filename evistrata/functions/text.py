@@ -76,7 +76,7 @@ def host_of(value: Column) -> Column:
 def canonical_url(value: Column) -> Column:
     """ASCII web addresses: lower-case scheme and host, no default port, no fragment, sorted query, ``/`` for no path."""
     v = F.trim(value)
-    part = lambda i: F.regexp_extract(v, r"^(?i:(https?)://)([^/?#@:]+)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?", i)
+    part = lambda i: F.regexp_extract(v, r"^(?i:(https?)://)([^/?#@:]+)(?::([0-9]+))?(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$", i)
     scheme, host, port, path, query = F.lower(part(1)), F.lower(part(2)), part(3), part(4), part(5)
     default = F.when(scheme == "http", "80").otherwise("443")
     shown = F.when((port != "") & (port != default), F.concat(F.lit(":"), port)).otherwise("")

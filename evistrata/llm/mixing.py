@@ -140,8 +140,12 @@ def mix(docs: DataFrame, seed: int = 17, text_col: str = "text") -> DataFrame:
 
 
 def draw_mix(docs: DataFrame, seed: int = 17, text_col: str = "text") -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as ``mix`` says, columns as they came."""
+    """The mixed corpus: every row of ``docs`` as often as ``mix`` says, columns as they came.
+
+    There is a count for every document, so this side grows with the corpus: the join is a sort-merge
+    join at every size.
+    """
     units, _ = copies(materialize(docs.select("doc_id", "source", text_size(text_col).alias("size")), "mix-rows"), seed)
     taken = materialize(units.filter("copies > 0 and size > 0"), "mix-taken").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (text_size(text_col) == F.col("_size"))
-    return docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return docs.join(taken.hint("merge"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +60,7 @@ class PieceVocabulary:
         by_score = sorted(plain, key=lambda i: (-sp.get_score(i), i))
         rank = np.empty(n, np.float64)
         rank[by_score] = np.arange(len(by_score))
-        self.log_weight = np.full(n, -np.inf)
+        self.log_weight = np.full(n + 1, -np.inf)  # the last is that of no piece, -1
         self.log_weight[by_score] = -alpha * np.log(rank[by_score] + 2.7)
         self.byte_log = -alpha * np.log(len(by_score) + 2.7)
         self.longest = max(map(len, pieces))
@@ -147,49 +147,54 @@ class Lattices:
 
     def __init__(self, v: PieceVocabulary, most: int = MOST_POSITIONS) -> None:
         self.v, self.most = v, most
+        self.shares = np.empty((0, v.longest))  # of the paths to a position, summed over the last piece's length
+        self.ids = np.empty((0, v.longest), np.int32)
         self.clear()
 
     def clear(self) -> None:
+        """Forget all parts; the tables stay allocated and are written over."""
         self.base: dict[int, int] = {}
         self.used = 0
-        self.shares = np.zeros((1024, self.v.longest))  # of the paths to a position, summed over the last piece's length
-        self.ids = np.full((1024, self.v.longest), -1, np.int32)
 
     def _room(self, more: int) -> None:
-        while len(self.shares) < self.used + more:
-            grow = max(len(self.shares) // 2, 1024)
-            self.shares = np.concatenate([self.shares, np.zeros((grow, self.v.longest))])
-            self.ids = np.concatenate([self.ids, np.full((grow, self.v.longest), -1, np.int32)])
+        if len(self.shares) < self.used + more:
+            grow = max(len(self.shares) // 2, self.used + more - len(self.shares))
+            self.shares = np.concatenate([self.shares, np.empty((grow, self.v.longest))])
+            self.ids = np.concatenate([self.ids, np.empty((grow, self.v.longest), np.int32)])
 
     def add(self, hashes: np.ndarray, codes: np.ndarray, size: np.ndarray) -> None:
         """Filter forward all parts at once, position by position; parts follow one another in ``codes``."""
         v, starts = self.v, np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
         part = np.repeat(np.arange(len(size)), size)
-        edge = v.edges(codes, (starts + size)[part] - np.arange(len(codes)))
-        log_w = np.where(edge >= 0, v.log_weight[edge], -np.inf)
-        log_w[:, 0] = np.where(edge[:, 0] < 0, v.byte_log * _utf8_length(codes), log_w[:, 0])
-        total = np.zeros(len(codes) + len(size))
-        base = starts + np.arange(len(size))  # a part has size + 1 positions there
-        paths = np.full((len(total), v.longest), -np.inf)
-        ids = np.full((len(total), v.longest), -1, np.int32)
+        inside = np.arange(len(codes)) - starts[part]
+        edge = v.edges(codes, size[part] - inside)
+        # by the place where a piece ends instead of where it starts; a part has size + 1 places in the tables
+        base = starts + np.arange(len(size))
+        self._room(len(codes) + len(size))
+        ids, paths = self.ids[self.used : self.used + len(codes) + len(size)], self.shares[self.used : self.used + len(codes) + len(size)]
+        ids[:], paths[:] = -1, -np.inf
+        after = np.arange(len(codes)) + part + 1
+        for n in range(1, v.longest + 1):
+            ends = np.flatnonzero(inside >= n - 1)
+            found = edge[ends - (n - 1), n - 1]
+            ids[after[ends], n - 1] = found
+            paths[after[ends], n - 1] = v.log_weight[found]
+        literal = after[edge[:, 0] < 0]
+        paths[literal, 0] = v.byte_log * _utf8_length(codes[edge[:, 0] < 0])
+        total = np.zeros(len(paths))
         order = np.argsort(-size, kind="stable")
         alive = np.searchsorted(-size[order], -np.arange(1, int(size.max()) + 1), side="right")
         for t in range(1, int(size.max()) + 1):
-            now = order[: alive[t - 1]]
-            b, c = base[now] + t, starts[now] + t
-            for n in range(1, min(t, v.longest) + 1):
-                paths[b, n - 1] = total[b - n] + log_w[c - n, n - 1]
-                ids[b, n - 1] = edge[c - n, n - 1]
-            block = paths[b]
+            at = base[order[: alive[t - 1]]] + t
+            m = min(t, v.longest)
+            block = total[at[:, None] - np.arange(1, m + 1)] + paths[at, :m]
             top = block.max(1)
-            weight = np.exp(block - top[:, None])
-            total[b] = top + np.log(weight.sum(1))
-            paths[b] = np.cumsum(weight, 1)
-        self._room(len(total))
-        self.shares[self.used : self.used + len(total)] = paths
-        self.ids[self.used : self.used + len(total)] = ids
+            weight = np.exp(block - top[:, None]).cumsum(1)
+            total[at] = top + np.log(weight[:, -1])
+            paths[at, :m] = weight
+            paths[at, m:] = weight[:, -1:]
         self.base.update(zip(hashes.tolist(), (base + self.used).tolist(), strict=True))
-        self.used += len(total)
+        self.used += len(paths)
 
     def sample(self, base: np.ndarray, size: np.ndarray, key: np.ndarray, place: np.ndarray, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Sample backward, all parts in step: (part, place in it, piece id or -1 for bytes) of the chosen pieces."""
@@ -299,25 +304,29 @@ def encode(docs: DataFrame, model: bytes, seed: int = SEED, alpha: float = ALPHA
     an empty table gives an empty result; a column of ``docs`` called ``out`` is replaced. The
     vocabulary (some 0.5 MB) travels with the function.
     """
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         lattices = Lattices(_vocabulary(model, alpha))
         for keys, texts in batches:
-            yield pd.Series(sample_pieces(lattices, [None if pd.isna(t) else t for t in texts], keys.tolist(), seed), dtype=object)
+            found = sample_pieces(lattices, texts.to_pylist(), keys.to_pylist(), seed)
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32()))
 
     small_batches(docs.sparkSession)
-    to_pieces = F.pandas_udf(run, "array<int>")
+    to_pieces = F.arrow_udf(run, "array<int>")
     return docs.withColumn(out, to_pieces(F.xxhash64(F.col(key_col)), F.col(text_col)))
 
 
 def decode(docs: DataFrame, model: bytes, pieces_col: str = "pieces", out: str = "decoded") -> DataFrame:
     """``docs`` with a column ``out``: the text of ``pieces_col``; null pieces give ''."""
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = _vocabulary(model, ALPHA)
         for rows in batches:
-            yield pd.Series([join_pieces(v, r.tolist() if r is not None else ()) for r in rows], dtype=object)
+            ids, at = np.asarray(rows.values), rows.offsets.to_numpy()
+            known = rows.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.array([join_pieces(v, ids[a:b].tolist()) if k else "" for a, b, k in zip(at[:-1], at[1:], known, strict=True)], pa.string())
 
     small_batches(docs.sparkSession)
-    return docs.withColumn(out, F.pandas_udf(run, "string")(F.col(pieces_col)))
+    return docs.withColumn(out, F.arrow_udf(run, "string")(F.col(pieces_col)))
 
 
 def round_trip(docs: DataFrame, model: bytes, seed: int = SEED) -> DataFrame:

@@ -49,28 +49,36 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFram
     least = rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("n") <= k + 1)
     codes = materialize(least.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "search-codes")
     total = codes.agg(F.sum(F.size("ids"))).first()[0] or 0
-    index = codes.select("code", F.posexplode(F.array(*_segments("code"))).alias("segment", "value"))
-    index = materialize(index.repartition("segment", "value"), "search-index")
-    waiting = materialize(queries.filter("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct(), "search-queries", True)
-    found, done = None, []
-    best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    index = codes.select("code", F.col("ids")[0].alias("first_id"), F.posexplode(F.array(*_segments("code"))).alias("segment", "value"))
+    own = codes.select(F.explode("ids").alias("query_id")).groupBy("query_id").agg(F.count("*").alias("own"))
+    asked = queries.filter("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
+    wanted = F.least(F.lit(k), F.lit(total) - F.coalesce("own", F.lit(0))).alias("wanted")
+    waiting = materialize(asked.join(own, "query_id", "left").select("query_id", "query", wanted), "search-queries")
+    apart = F.col("query").bitwiseXOR(F.col("code"))
+    by_segment = [F.bit_count(F.shiftrightunsigned(apart, BITS * s).bitwiseAND(F.lit((1 << BITS) - 1))) for s in range(SEGMENTS)]
+    nearest = Window.partitionBy("query_id").orderBy("distance", "first_id")
+    order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    best, done = None, []
     for radius in range(BITS + 1):
-        masks = F.array(*[F.lit(m) for m in ring_masks(radius)])
+        masks = F.expr(f"array({', '.join(map(str, ring_masks(radius)))})")
         probes = waiting.select("query_id", "query", F.posexplode(F.array(*_segments("query"))).alias("segment", "base")).withColumn("value", F.explode(masks))
-        probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.col("base"))).select("query_id", "query", "segment", "value")
-        hits = probes.join(index, ["segment", "value"]).select("query_id", "query", "code").distinct()
-        near = hits.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))))
-        found = near if found is None else found.join(waiting.select("query_id"), "query_id", "left_semi").unionByName(near).distinct()
-        found = materialize(found, f"search-found{radius}", True)
-        top = found.join(codes, "code").select("query_id", "distance", F.explode("ids").alias("neighbor_id")).filter("neighbor_id <> query_id")
-        ranked = materialize(top.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), f"search-top{radius}", True)
-        covered = SEGMENTS * (radius + 1) - 1
+        probes = probes.select("query_id", "query", "segment", F.col("value").bitwiseXOR(F.col("base")).alias("value"))
+        # a pair is met in every segment that is near enough: only the first of its nearest segments counts
+        once = (F.least(*by_segment) == radius) & (F.array_position(F.array(*by_segment), F.lit(radius)) == F.col("segment") + 1)
+        # there are far more probes than their plan's size tells, so no side may be broadcast
+        hits = probes.join(index.hint("merge"), ["segment", "value"]).filter(once).select("query_id", "query", "code", "first_id", F.bit_count(apart).alias("distance"))
+        pool = hits if best is None else hits.unionByName(best.join(waiting.select("query_id"), "query_id", "left_semi"))
+        # each code before the k-th answer gives an answer itself or is the query's own
+        best = materialize(pool.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1).drop("r"), f"search-best{radius}")
+        top = best.join(codes.hint("merge"), "code").select("query_id", "distance", F.explode("ids").alias("neighbor_id")).filter("neighbor_id <> query_id")
+        ranked = materialize(top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), f"search-top{radius}")
         state = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
-        sure = (F.col("n") >= F.lit(min(k, max(0, total - 1)))) & (F.col("kth") <= covered) if radius < BITS else F.lit(True)
-        ready = materialize(state.filter(sure).select("query_id"), f"search-ready{radius}", True)
+        covered = SEGMENTS * (radius + 1) - 1
+        sure = (F.col("n") >= F.col("wanted")) & (F.col("kth") <= covered) if radius < BITS else F.lit(True)
+        ready = materialize(waiting.join(state, "query_id").filter(sure).select("query_id"), f"search-ready{radius}")
         done.append(ranked.join(ready, "query_id", "left_semi"))
-        waiting = materialize(waiting.join(ready, "query_id", "left_anti"), f"search-waiting{radius}", True)
-        if not waiting.limit(1).count():
+        waiting = materialize(waiting.join(ready, "query_id", "left_anti"), f"search-waiting{radius}")
+        if total == 0 or not waiting.filter("wanted > 0").limit(1).count():
             break
     out = done[0]
     for more in done[1:]:

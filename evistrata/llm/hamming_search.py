@@ -2,8 +2,10 @@
 
 Codes are cut into four segments of 16 bits; an inverted index leads from (segment, value) to codes. Two
 codes at distance d agree in some segment up to d // 4 bits. Queries probe all values within a radius of
-their segments; the radius grows until the distance of the k-th verified code is provably covered: with
-radius r in every segment, everything nearer than 4 * (r + 1) has been seen. Queries that are done leave.
+their segments; the radii grow until the distance of the k-th verified code is provably covered: with
+radius r in the first j segments and r - 1 in the others, all up to distance 4 * (r - 1) + j + 3 has been
+seen. Small radii grow in all segments at once, larger ones in one segment after the other. Queries that
+are done leave.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from evistrata.llm.shared import materialize
 
 SEGMENTS, BITS = 4, 16
 NEIGHBOURS = 10
+#: From this radius on segments grow one by one.
+SINGLE = 3
 
 
 def sign_code(vector: str):
@@ -33,8 +37,15 @@ def ring_masks(radius: int) -> list[int]:
     return [sum(1 << i for i in c) for c in combinations(range(BITS), radius)]
 
 
-def _segments(code: str):
-    return [F.shiftright(F.col(code), BITS * s).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int") for s in range(SEGMENTS)]
+def growth() -> list[tuple[int, range]]:
+    """Radius and the segments that grow to it, step by step."""
+    return [(r, segments) for r in range(BITS + 1) for segments in ([range(SEGMENTS)] if r < SINGLE else [range(s, s + 1) for s in range(SEGMENTS)])]
+
+
+def _segments(code: str, segments: range):
+    """One (segment, value) per segment; explode it."""
+    values = [F.struct(F.lit(s).alias("segment"), F.shiftright(F.col(code), BITS * s).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("value")) for s in segments]
+    return F.array(*values)
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -49,7 +60,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFram
     least = rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("n") <= k + 1)
     codes = materialize(least.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "search-codes")
     total = codes.agg(F.sum(F.size("ids"))).first()[0] or 0
-    index = codes.select("code", F.col("ids")[0].alias("first_id"), F.posexplode(F.array(*_segments("code"))).alias("segment", "value"))
     own = codes.select(F.explode("ids").alias("query_id")).groupBy("query_id").agg(F.count("*").alias("own"))
     asked = queries.filter("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
     wanted = F.least(F.lit(k), F.lit(total) - F.coalesce("own", F.lit(0))).alias("wanted")
@@ -59,25 +69,26 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFram
     nearest = Window.partitionBy("query_id").orderBy("distance", "first_id")
     order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     best, done = None, []
-    for radius in range(BITS + 1):
+    for step, (radius, segments) in enumerate(growth()):
+        index = codes.select("code", F.col("ids")[0].alias("first_id"), F.inline(_segments("code", segments)))
         masks = F.expr(f"array({', '.join(map(str, ring_masks(radius)))})")
-        probes = waiting.select("query_id", "query", F.posexplode(F.array(*_segments("query"))).alias("segment", "base")).withColumn("value", F.explode(masks))
-        probes = probes.select("query_id", "query", "segment", F.col("value").bitwiseXOR(F.col("base")).alias("value"))
+        probes = waiting.select("query_id", "query", F.inline(_segments("query", segments))).withColumn("mask", F.explode(masks))
+        probes = probes.select("query_id", "query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         # a pair is met in every segment that is near enough: only the first of its nearest segments counts
         once = (F.least(*by_segment) == radius) & (F.array_position(F.array(*by_segment), F.lit(radius)) == F.col("segment") + 1)
         # there are far more probes than their plan's size tells, so no side may be broadcast
         hits = probes.join(index.hint("merge"), ["segment", "value"]).filter(once).select("query_id", "query", "code", "first_id", F.bit_count(apart).alias("distance"))
         pool = hits if best is None else hits.unionByName(best.join(waiting.select("query_id"), "query_id", "left_semi"))
         # each code before the k-th answer gives an answer itself or is the query's own
-        best = materialize(pool.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1).drop("r"), f"search-best{radius}")
+        best = materialize(pool.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1).drop("r"), f"search-best{step}")
         top = best.join(codes.hint("merge"), "code").select("query_id", "distance", F.explode("ids").alias("neighbor_id")).filter("neighbor_id <> query_id")
-        ranked = materialize(top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), f"search-top{radius}")
+        ranked = materialize(top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), f"search-top{step}")
         state = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
-        covered = SEGMENTS * (radius + 1) - 1
-        sure = (F.col("n") >= F.col("wanted")) & (F.col("kth") <= covered) if radius < BITS else F.lit(True)
-        ready = materialize(waiting.join(state, "query_id").filter(sure).select("query_id"), f"search-ready{radius}")
+        covered = SEGMENTS * radius + segments[-1]
+        sure = (F.col("n") >= F.col("wanted")) & (F.col("kth") <= covered) if step + 1 < len(growth()) else F.lit(True)
+        ready = materialize(waiting.join(state, "query_id").filter(sure).select("query_id"), f"search-ready{step}")
         done.append(ranked.join(ready, "query_id", "left_semi"))
-        waiting = materialize(waiting.join(ready, "query_id", "left_anti"), f"search-waiting{radius}")
+        waiting = materialize(waiting.join(ready, "query_id", "left_anti"), f"search-waiting{step}")
         if total == 0 or not waiting.filter("wanted > 0").limit(1).count():
             break
     out = done[0]

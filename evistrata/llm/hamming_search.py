@@ -20,7 +20,7 @@ from evistrata.llm.shared import materialize
 SEGMENTS, BITS = 4, 16
 NEIGHBOURS = 10
 #: From this radius on segments grow one by one.
-SINGLE = 3
+SINGLE = 4
 
 
 def sign_code(vector: str):

@@ -55,8 +55,7 @@ VIEWS: dict[str, str] = {
                1.0::double - l_discount AS confidence, l_partkey % 9 <> 0 AS active, l_partkey % 5 = 0 AS historical_only, CASE WHEN l_partkey % 2 = 0 THEN 'k' || (l_partkey % 7) END AS independence_key,
                l_suppkey % 6 AS source_organization_id, o_custkey % 6 AS target_organization_id, CASE WHEN l_partkey % 2 = 0 THEN 'exact' ELSE 'candidate' END AS source_link_status,
                CASE WHEN l_partkey % 3 = 0 THEN 'exact' ELSE 'unresolved' END AS target_link_status
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-        WHERE l_orderkey % 2 = 0""",
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "v_org": "SELECT c_custkey AS organization_id, 'Acme ' || (c_custkey % 400) || ' SAS' AS name, c_nationkey AS postal_code, c_mktsegment AS segment, c_acctbal AS balance FROM {customer}",
     "v_identity": "SELECT s_suppkey AS identity_id, 'ACME-' || s_suppkey AS name, s_nationkey AS postal_code, s_acctbal AS balance FROM {supplier}",
     "v_edge": "SELECT DISTINCT 'P' || l_partkey AS a, 'S' || l_suppkey AS b FROM {lineitem} WHERE l_orderkey % 211 = 0",

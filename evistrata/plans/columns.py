@@ -151,11 +151,11 @@ def search_results(spark, sf_dir):
     return one.union(two).groupBy("url").agg(F.min_by("page_id", F.struct("rank", "provider", "page_id")).alias("representative"), F.min("rank").alias("best_rank"), F.count_distinct("provider").alias("providers"), F.count("*").alias("hits"))
 
 
-@registered("""SELECT l_orderkey, l_linenumber, l_partkey, sum(l_quantity) OVER w AS used, sum(l_quantity) OVER w <= 100 AS allowed FROM lineitem WHERE l_orderkey % 4 = 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)""")
+@registered("""SELECT l_orderkey, l_linenumber, l_partkey, sum(l_quantity) OVER w AS used, sum(l_quantity) OVER w <= 100 AS allowed FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)""")
 def crawl_budget(spark, sf_dir):
     """A budget per target that is used up in order: a running sum and its bound."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0").withColumn("used", F.sum("l_quantity").over(w)).select("l_orderkey", "l_linenumber", "l_partkey", "used", (F.col("used") <= 100).alias("allowed"))
+    return table(spark, sf_dir, "lineitem").withColumn("used", F.sum("l_quantity").over(w)).select("l_orderkey", "l_linenumber", "l_partkey", "used", (F.col("used") <= 100).alias("allowed"))
 
 
 @registered("""WITH k AS (SELECT user_id % 80 AS k, min(event_id) AS v FROM events WHERE event_type = 'view' GROUP BY 1), n AS (SELECT user_id % 90 AS k, max(event_id) AS v FROM events WHERE event_type = 'click' GROUP BY 1)

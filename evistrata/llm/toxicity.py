@@ -4,12 +4,13 @@ Confirmed toxic texts are the positives, all other training texts are taken as u
 model over word and word-beginning features minimises
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``; where the second part falls below zero, the step
 goes the other way, so the model cannot overfit the positives. The vocabulary comes from document
-counts over the whole training side; the fit itself uses a bounded sample.
+counts over the whole training side; only the gradient steps use a bounded sample.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evistrata.llm.quality import train_labels
-from evistrata.llm.shared import materialize, small_batches
+from evistrata.llm.shared import join_checked, materialize, small_batches
 
 _WORD = re.compile(r"\w+")
 #: Word beginnings of these lengths are features beside the words themselves.
@@ -27,6 +28,8 @@ STEMS = (3, 4, 5, 6)
 #: Bounds of the fit: rows of each kind in the sample (smallest hashes first), and features kept.
 SAMPLE = 20_000
 VOCABULARY = 2048
+#: Words that a task counts before it hands its counts on; bounds its memory.
+PARTIAL = 200_000
 #: Least likelihood-ratio statistic of a feature.
 EVIDENCE = 12.0
 STEPS = 400
@@ -94,37 +97,58 @@ def nnpu(positive: list[list[int]], unlabelled: list[list[int]], prior: float, s
     return w, float(b)
 
 
-def _feature_rows(docs: DataFrame) -> DataFrame:
+def _count_words(rows: DataFrame) -> DataFrame:
+    """``word, dp, du``: texts of the positives and of all ``rows`` (``toxic, text``) with each feature; '' has their numbers."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        on_p, on_u = Counter(), Counter()
+
+        def told() -> pd.DataFrame:
+            out = pd.DataFrame({"word": pd.Series(list(on_u), dtype=object), "dp": [on_p[w] for w in on_u], "du": list(on_u.values())})
+            on_p.clear()
+            on_u.clear()
+            return out
+
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "words": [sorted(features(t)) for t in b["text"]]})
+            for toxic, text in zip(b["toxic"], b["text"], strict=True):
+                found = features(text)
+                found.add("")
+                on_u.update(found)
+                if toxic:
+                    on_p.update(found)
+                if len(on_u) > PARTIAL:
+                    yield told()
+        yield told()
 
-    return docs.select("doc_id", "label", "text").mapInPandas(run, "doc_id bigint, label int, words array<string>")
+    return rows.mapInPandas(run, "word string, dp long, du long").groupBy("word").agg(F.sum("dp").alias("dp"), F.sum("du").alias("du"))
 
 
 def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> ToxicityModel:
     """Fit on the positives of ``known`` (``doc_id, label``, materialized) and on unlabelled ``docs``.
 
     Label 1 is confirmed toxic. The unlabelled side is drawn from ``docs`` whatever their label, so it
-    holds toxic texts at their natural rate. At most ``sample`` rows of each kind are used, those with
-    the smallest hash of doc_id, so the ids that are broadcast have that bound. The class prior is the
-    share of positives in ``known``. Without a positive or without an unlabelled row every score is 0.
+    holds toxic texts at their natural rate. The features are chosen by counts over all rows of both
+    kinds. At most ``sample`` rows of each kind take part in the gradient steps, those with the smallest
+    hash of doc_id, so the ids that are broadcast have that bound; a feature that none of them has gets
+    the weight 0. The class prior is the share of positives in ``known``. Without a positive or without
+    an unlabelled row every score is 0.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     positive = known.filter("label = 1").orderBy(*order).limit(sample).select("doc_id", F.lit(1).alias("label"))
     unlabelled = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(*order).limit(sample).select("doc_id", F.lit(0).alias("label"))
     prior = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
     picked = docs.select("doc_id", "text").join(F.broadcast(materialize(positive.unionByName(unlabelled), "toxicity-sample")), "doc_id")
-    rows = materialize(_feature_rows(picked), "toxicity-features")
-    sizes = rows.agg(F.sum((F.col("label") == 1).cast("int")).alias("p"), F.count("*").alias("n")).first()
-    n_p, n_u = sizes["p"] or 0, (sizes["n"] or 0) - (sizes["p"] or 0)
+    confirmed = materialize(known.filter("label = 1").select("doc_id", F.lit(True).alias("toxic")), "toxicity-positives")
+    sides = join_checked(docs.select("doc_id", "text").filter("doc_id is not null"), confirmed, "doc_id", "left")
+    counted = materialize(_count_words(sides.select(F.coalesce("toxic", F.lit(False)).alias("toxic"), "text")), "toxicity-counts")
+    sizes = counted.filter("word = ''").first()
+    n_p, n_u = (sizes["dp"], sizes["du"]) if sizes else (0, 0)
     if not n_p or not n_u:
         return ToxicityModel({}, np.zeros(0), -40.0)
     prior = min(0.9, max(0.01, prior or 0.0))
-    toxic = F.coalesce(F.col("label") == 1, F.lit(False))
-    counted = rows.select(toxic.alias("toxic"), F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.col("toxic").cast("int")).alias("dp"), F.count("*").alias("d"))
+    counted = counted.filter("word <> ''")
     # words whose presence depends on the side, by the likelihood-ratio statistic of the 2 x 2 table
-    p1, u1 = F.col("dp").cast("double"), (F.col("d") - F.col("dp")).cast("double")
+    p1, u1 = F.col("dp").cast("double"), F.col("du").cast("double")
     cells = [(p1, n_p, "d"), (u1, n_u, "d"), (n_p - p1, n_p, "off"), (n_u - u1, n_u, "off")]
     margin = {"d": p1 + u1, "off": float(n_p + n_u) - p1 - u1}
     g2 = sum((F.when(c > 0, c * F.log(c * float(n_p + n_u) / (float(n) * margin[m]))).otherwise(0.0) for c, n, m in cells), F.lit(0.0)) * 2
@@ -133,10 +157,13 @@ def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, vocabulary: int
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "ids": [[number[w] for w in ws if w in number] for ws in b["words"]], "doc_id": b["doc_id"]})
+            yield pd.DataFrame({"toxic": b["label"] == 1, "ids": [sorted(number[w] for w in features(t) if w in number) for t in b["text"]], "doc_id": b["doc_id"]})
 
-    found = rows.select(toxic.alias("toxic"), "words", "doc_id").mapInPandas(narrow, "toxic boolean, ids array<int>, doc_id bigint").orderBy("doc_id").toPandas()
-    w, b = nnpu([list(x) for x in found["ids"][found["toxic"]]], [list(x) for x in found["ids"][~found["toxic"]]], prior, len(kept))
+    found = picked.select("label", "text", "doc_id").mapInPandas(narrow, "toxic boolean, ids array<int>, doc_id bigint").orderBy("doc_id").toPandas()
+    positive, unlabelled = ([list(x) for x in found["ids"][found["toxic"] == side]] for side in (True, False))
+    if not positive or not unlabelled:
+        return ToxicityModel({}, np.zeros(0), -40.0)
+    w, b = nnpu(positive, unlabelled, prior, len(kept))
     return ToxicityModel(number, w, b)
 
 

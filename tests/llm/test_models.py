@@ -74,3 +74,14 @@ def test_nnpu_separates():
     unlabelled = [[0, int(rng.integers(2, 30))] if i % 5 == 0 else [1, int(rng.integers(2, 30))] for i in range(1000)]
     w, b = toxicity.nnpu(positive, unlabelled, 0.2, 30)
     assert w[0] + b > 0 > w[1] + b
+
+
+def test_toxic_words_are_counted_outside_the_sample(spark):
+    ids = [r.doc_id for r in spark.range(400).toDF("doc_id").selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").collect()]
+    toxic = set(ids[::2])
+    docs = spark.createDataFrame([(d, "common vile" + " rarity" * (i >= 60) if d in toxic else "common plain") for i, d in enumerate(ids)] + [(None, "common vile")], "doc_id long, text string")
+    known = spark.createDataFrame([(d, int(d in toxic)) for d in ids], "doc_id long, label int")
+    model = toxicity.fit(docs, known, sample=20)
+    assert {"vile", "rarity", "plain"} <= set(model.vocabulary)  # no row of the sample has "rarity"
+    got = {(r.word): (r.dp, r.du) for r in toxicity._count_words(spark.createDataFrame([(True, "a b"), (False, "b B"), (False, None)], "toxic boolean, text string")).collect()}
+    assert got == {"": (1, 3), "a": (1, 1), "b": (1, 2)}

@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. The first pass judges each block by itself: its link
 density, its length and its density of stop words (of all languages here at once, so no language needs
 to be known), and whether the markup around it names a menu, footer, advert, form or the like. Blocks too short to judge stay
-undecided. The second pass gives those the label of their nearest decided neighbours.
+undecided. On a page where no block has enough stop words the length counts in their place. The second pass gives those the label of their nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -143,16 +143,19 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
+def _frame(b: Block) -> bool:
+    """Whether markup, links or a copyright line make a block none of the text, however it is worded."""
+    return b.away or b.linked > MAX_LINKS * len(b.text) or b.text.startswith("©") and len(b.text) < LONG or b.text.startswith("Copyright") and len(b.text) < SHORT and not b.heading
+
+
 def first_pass(b: Block) -> str:
     """``good``, ``bad``, or what is undecided: ``near`` (tends to good) and ``short``."""
-    if b.away or b.linked > MAX_LINKS * len(b.text):
-        return "bad"
-    if b.text.startswith(("©", "Copyright")):
+    if _frame(b):
         return "bad"
+    if len(b.text) < SHORT or b.heading:
+        return "short"
     words = _WORD.findall(b.text.lower())
     density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if len(b.text) < SHORT or b.heading:
-        return "bad" if b.linked else "short"
     if density >= STOP_HIGH:
         return "good" if len(b.text) >= LONG else "near"
     if density >= STOP_LOW:
@@ -161,6 +164,14 @@ def first_pass(b: Block) -> str:
     return "short" if b.region else "bad"
 
 
+def judge_by_length(found: list[Block]) -> None:
+    """Where no block reaches a density, the page's language is unknown and the length decides alone."""
+    if not any(b.label in ("good", "near") for b in found):
+        for b in found:
+            if len(b.text) >= SHORT and not b.heading and not _frame(b):
+                b.label = "good" if len(b.text) >= LONG else "near"
+
+
 def second_pass(found: list[Block]) -> None:
     """Undecided blocks take the label of their nearest decided neighbours in the same article or outside of all.
 
@@ -205,6 +216,7 @@ def main_text(html: str | None) -> str:
         found = [b for b in found if b.region]
     for b in found:
         b.label = first_pass(b)
+    judge_by_length(found)
     second_pass(found)
     return " ".join(b.text for b in found if b.label == "good")
 

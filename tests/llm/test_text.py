@@ -45,6 +45,22 @@ def test_pages(spark):
     assert sorted(r.text for r in html_extract.extract(odd).collect()) == ["", "", "hi"]
 
 
+LINKED = "See the <a href=/r>report</a> for the full list of the results."
+POLISH = "Rada miasta przyjęła wczoraj nowy budżet, który przewiduje większe wydatki dotyczące szkół oraz transportu publicznego. " * 3
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><p>{PROSE}</p><p>{LINKED}</p><h2>The <a href=/x>next</a> big part</h2><p>{PROSE}</p></article>", f"{PROSE}See the report for the full list of the results. The next big part {PROSE.strip()}"),
+        (f"<p>{PROSE}</p><p>Copyright {PROSE}</p><p>Copyright 2020 Us</p>", f"{PROSE}Copyright {PROSE.strip()}"),
+        (f"<div><a href=/>Start</a></div><h1>Budżet</h1><p>{POLISH}</p><p>{POLISH}</p><div><a href=/>Kontakt</a></div>", f"Budżet {POLISH}{POLISH.strip()}"),
+    ],
+)
+def test_short_linked_copyright_and_unknown_language(html, text):
+    assert html_extract.main_text(html) == text
+
+
 MODEL = pieces.read_model(pieces.DEFAULT_MODEL)
 
 

@@ -47,6 +47,10 @@ _AWAY_NAME = re.compile(
     r"comments?|comment-\w+|disqus|replies|reply|respond|widget|pagination|pager|skip|copyright|legal|disclaimer|search)(?=$|[\s_-]|\d)",
     re.I,
 )
+#: Names that tell a state or a subject and not what the element is: ``has-sidebar``, ``category-legal``.
+_STATE_NAME = re.compile(r"(?:has|no|not|with|without|category|cat|tag|topic)[_-]", re.I)
+#: Share of the candidate text above which an element is the page's wrapper, whatever its name.
+WRAPPER = 0.75
 #: Comments and declarations; tags with well-formed attributes; other tags; a tag that the page's end cuts off.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>"
@@ -65,6 +69,7 @@ class Block:
     away: bool  # inside something that its markup names as no main text
     heading: bool
     label: str = ""
+    named: tuple[int, ...] = ()  # numbers of the enclosing elements that only their name marks as frame
 
 
 def _away(tag: str, attributes: str, in_main: bool) -> bool:
@@ -72,25 +77,61 @@ def _away(tag: str, attributes: str, in_main: bool) -> bool:
         return True
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
-        if name in ("class", "id") and _AWAY_NAME.search(value) or name == "role" and value.lower() in _AWAY_ROLE:
+        if name == "role" and value.lower() in _AWAY_ROLE:
             return tag not in ("body", "html")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return False
 
 
+def _named_away(tag: str, attributes: str) -> bool:
+    """Whether a class or id names the element as frame; never said of a page's root, article or main."""
+    if tag in ("body", "html") or tag in _MAIN:
+        return False
+    values = (a or b or c for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id"))
+    return any(_AWAY_NAME.search(n) and not _STATE_NAME.match(n) for v in values if _AWAY_NAME.search(v) for n in v.split())
+
+
+def _settle_names(found: list[Block], opened: list[tuple[int, ...]]) -> None:
+    """Set ``away`` in elements with a frame's name, outer ones first, except in those that are wrappers.
+
+    A wrapper holds most of the candidate text: of the marked articles outside of such elements if there
+    are any, else of all marked articles, else of the page. ``opened`` has the ``named`` of every region.
+    """
+    inside: dict[int, dict[int, int]] = {}
+    total: dict[int, int] = {}
+    for b in found:
+        if not b.away and b.linked <= MAX_LINKS * len(b.text):
+            total[b.region] = total.get(b.region, 0) + len(b.text)
+            for n in b.named:
+                inside.setdefault(n, {})[b.region] = inside.setdefault(n, {}).get(b.region, 0) + len(b.text)
+    lifted: set[int] = set()
+    marked = [r for r in total if r]
+    judged: list[int] = []
+    for n in sorted(inside):
+        if not judged:
+            judged = [r for r in marked if lifted.issuperset(opened[r])] or marked or [0]
+            whole = sum(total.get(r, 0) for r in judged)
+        if sum(inside[n].get(r, 0) for r in judged) > WRAPPER * whole:
+            lifted.add(n)
+            judged = []
+    for b in found:
+        b.away = b.away or not lifted.issuperset(b.named)
+
+
 def blocks(html: str) -> list[Block]:
     """Blocks in page order with their text (references decoded, white space joined) and surroundings."""
     found: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, away, region
-    state = {"linked": 0, "links": 0, "regions": 0, "heading": False}
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, away, region, named
+    opened: list[tuple[int, ...]] = [()]
+    state = {"linked": 0, "links": 0, "regions": 0, "names": 0, "heading": False}
 
     def close_block() -> None:
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
-            away, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            found.append(Block(text, min(state["linked"], len(text)), region, away, state["heading"]))
+            away, region, named = stack[-1][1:] if stack else (False, 0, ())
+            found.append(Block(text, min(state["linked"], len(text)), region, away, state["heading"], "", named))
         parts.clear()
         state["linked"] = 0
 
@@ -122,6 +163,8 @@ def blocks(html: str) -> list[Block]:
         if tag not in _BLOCK:
             continue
         close_block()
+        if not closing and tag != "head" and stack and stack[-1][0] == "head":  # </head> can be omitted
+            stack.pop()
         if tag in _VOID:
             continue
         state["heading"] = bool(re.fullmatch("h[1-6]", tag)) and not closing
@@ -134,12 +177,17 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag in ("p", "li", "dt", "dd", "option") and stack and stack[-1][0] == tag:
             stack.pop()
-        away, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        away, region, named = stack[-1][1:] if stack else (False, 0, ())
+        if _named_away(tag, attributes):
+            state["names"] += 1
+            named = (*named, state["names"])
         if tag in _MAIN:
             state["regions"] += 1
             region = state["regions"]
-        stack.append((tag, away or _away(tag, attributes, region > 0), region))
+            opened.append(named)
+        stack.append((tag, away or _away(tag, attributes, region > 0), region, named))
     close_block()
+    _settle_names(found, opened)
     return found
 
 

@@ -61,6 +61,23 @@ def test_short_linked_copyright_and_unknown_language(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<div class='site has-sidebar'><div class=c><p>{PROSE}</div><div class=sidebar>{PROSE}</div></div>", PROSE.strip()),
+        (f"<article class='post category-legal tag-search'><p>{PROSE}</p></article>", PROSE.strip()),
+        (f"<main id=search><p>{PROSE}</p><div class=related>{PROSE[:120]}</div></main>", PROSE.strip()),
+        (f"<div class=legal-page><div><p>{PROSE}<p>{PROSE}</div><div class=footer>{PROSE[:120]}</div></div>", f"{PROSE}{PROSE.strip()}"),
+        (f"<div class=widget><article><p>{PROSE}</article><div class=comments><article>{PROSE * 9}</article></div></div>", f"{PROSE.strip()}"),
+        (f"<article><p>{PROSE}</article><div id=comments><article class=c>{PROSE * 9}</article></div>", PROSE.strip()),
+        (f"<html><head><title>T</title><body><p>{PROSE}</p></body></html>", PROSE.strip()),
+        (f"<html><head><title>T</title></head><body><div class=nav>{PROSE[:120]}</div><p>{PROSE}</p></body></html>", PROSE.strip()),
+    ],
+)
+def test_names_of_wrappers_and_open_head(html, text):
+    assert html_extract.main_text(html) == text
+
+
 MODEL = pieces.read_model(pieces.DEFAULT_MODEL)
 
 

@@ -60,7 +60,7 @@ VIEWS: dict[str, str] = {
     "v_identity": "SELECT s_suppkey AS identity_id, 'ACME-' || s_suppkey AS name, s_nationkey AS postal_code, s_acctbal AS balance FROM {supplier}",
     "v_edge": "SELECT 'P' || event_id AS a, 'S' || (event_id * event_id % 997) AS b FROM {events} UNION SELECT 'S' || (event_id * event_id % 997) AS a, 'T' || (event_id * event_id % 997 % 60) AS b FROM {events}",
     "v_technology": "SELECT p_partkey AS technology_id, p_brand AS vendor, 'p' || (p_partkey % 7) AS product, CASE WHEN p_partkey % 13 <> 0 THEN p_size || '.' || (p_partkey % 20) || CASE WHEN p_partkey % 6 = 0 THEN 'rc1' ELSE '' END END AS version, 0.5::double + (p_partkey % 50) / 100.0::double AS confidence, p_partkey % 17 = 0 AS expired, CASE WHEN p_partkey % 4 = 0 THEN 'linux' ELSE 'windows' END AS platform FROM {part}",
-    "v_range": "SELECT p_partkey AS range_id, p_partkey % 30 AS vulnerability_id, p_brand AS vendor, 'p' || (p_partkey % 7) AS product, CASE WHEN p_partkey % 3 = 0 THEN 'linux' END AS platform, (p_size % 20) || '.2' AS introduced, (p_size % 20 + 12) || '.0' AS fixed, p_partkey % 4 <> 0 AS introduced_inclusive, p_partkey % 5 = 0 AS fixed_inclusive, p_partkey % 11 = 0 AS backported_fix, CASE WHEN p_partkey % 9 = 0 THEN 'rpm' ELSE 'semver' END AS scheme FROM {part} WHERE p_partkey % 3 = 1",
+    "v_range": "SELECT p_partkey AS range_id, p_partkey % 30 AS vulnerability_id, p_brand AS vendor, 'p' || (p_partkey % 7) AS product, CASE WHEN p_partkey % 3 = 0 THEN 'linux' END AS platform, (p_size % 20) || '.2' AS introduced, (p_size % 20 + 12) || '.0' AS fixed, p_partkey % 4 <> 0 AS introduced_inclusive, p_partkey % 5 = 0 AS fixed_inclusive, p_partkey % 11 = 0 AS backported_fix, CASE WHEN p_partkey % 9 = 0 THEN 'rpm' ELSE 'semver' END AS scheme FROM {part}",
     "v_signal": """
         SELECT event_id AS signal_id, user_id % 60 AS organization_id, 'e' || (event_id // 2) AS evidence_id, 's' || (event_id % 5) AS corroboration_key, ts - to_days(cast(event_id % 500 AS int)) AS effective_at,
                CASE WHEN event_id % 3 <> 0 THEN ts + to_days(cast(event_id % 40 AS int)) END AS expires_at, least(1.0::double, value / 200.0::double) AS confidence,

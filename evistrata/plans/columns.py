@@ -169,12 +169,12 @@ def upsert(spark, sf_dir):
     return merge_rows(stored, new, ["k"])
 
 
-@registered("SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 1 AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE event_id % 10 = 0)")
+@registered("SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 1 AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE event_id % 2 = 0)")
 def insert_new(spark, sf_dir):
     from evistrata.operators.sinks import only_new
 
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
-    return only_new(e.filter("event_id % 10 = 0").drop("event_id"), e.filter("event_id % 2 = 1").drop("event_id"), ["user_id", "event_type"])
+    return only_new(e.filter("event_id % 2 = 0").drop("event_id"), e.filter("event_id % 2 = 1").drop("event_id"), ["user_id", "event_type"])
 
 
 @registered("SELECT DISTINCT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN sha256('pepper' || c_name) ELSE c_name END AS name, c_custkey % 9 = 0 AS erased FROM customer")

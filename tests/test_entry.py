@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from evistrata.plans.bindings import AS_OF, for_spark
+from evistrata.plans.bindings import AS_OF, for_spark, view
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,3 +40,10 @@ def test_entry(spark):
 
 def test_dialect():
     assert for_spark("a // 6") == "a div 6" and "TIMESTAMP_NTZ" in for_spark(AS_OF) and for_spark("to_days(cast(x % 3 AS int))") == "make_dt_interval(cast(x % 3 AS int))"
+
+
+def test_views_and_sinks_read_whole_tables(spark):
+    assert view(spark, SF, "v_range").count() == spark.read.parquet(f"{SF}/part.parquet").count()
+    pairs = [(r.user_id, r.event_type, r.event_id % 2) for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
+    new = {(r.user_id, r.event_type) for r in entry.queries()["insert_new"](spark, SF).collect()}
+    assert new == {p[:2] for p in pairs} - {p[:2] for p in pairs if p[2] == 0}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,28 +65,80 @@ def quality_states(runs: DataFrame, key: str, order: list[str]) -> DataFrame:
 
     A run is judged against the smoothed baseline: record counts outside [0.2, 5] times it, a field that
     was mostly filled and drops, or a schema fingerprint that was not seen while warming up. Only runs
-    without a finding, or the first three, move the baseline. The history of a source is one array: runs
-    of a source are few beside the records that they bring.
+    without a finding, or the first three, move the baseline. A source's runs come sorted to one task,
+    which folds them batch by batch and holds nothing but the state.
     """
-    per = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "records", "population", "fingerprint"))).alias("_runs"))
-    start = F.expr("named_struct('n', 0, 'level', cast(null as double), 'field', cast(null as double), 'known', cast(array() as array<string>), 'volume', 0, 'fields', 0, 'schema', 0, 'rejected', 0)")
-
-    def step(s: Column, x: Column) -> Column:
-        warm = s["n"] < WARM_UP
-        volume = ~warm & F.when(s["level"] == 0, x["records"] > 0).otherwise((x["records"] < s["level"] * LOW) | (x["records"] > s["level"] * HIGH))
-        field = ~warm & (s["field"] >= EXPECTED) & (x["population"] < s["field"] - DROP)
-        schema = ~warm & ~F.array_contains(s["known"], x["fingerprint"])
-        take = warm | ~(volume | field | schema)
-        ewma = lambda old, new: F.when(take, F.when(old.isNull(), new.cast("double")).otherwise((1 - ALPHA) * old + ALPHA * new)).otherwise(old)
-        one = lambda c: F.when(c, 1).otherwise(0)
-        known = F.when(warm, F.array_union(s["known"], F.array(x["fingerprint"]))).otherwise(s["known"])
-        return F.struct(
-            (s["n"] + one(take)).alias("n"), ewma(s["level"], x["records"]).alias("level"), ewma(s["field"], x["population"]).alias("field"), known.alias("known"), (s["volume"] + one(volume)).alias("volume"),
-            (s["fields"] + one(field)).alias("fields"), (s["schema"] + one(schema)).alias("schema"), (s["rejected"] + one(~take)).alias("rejected"),
-        )
-
-    folded = per.select(key, F.size("_runs").alias("runs"), F.aggregate("_runs", start, step).alias("_state"))
-    return folded.select(key, "runs", F.col("_state.n").alias("samples"), "_state.level", F.col("_state.volume").alias("volume_anomalies"), F.col("_state.fields").alias("field_anomalies"), F.col("_state.schema").alias("schema_drifts"), "_state.rejected")
+    columns = [f"`{key}` {runs.schema[key].dataType.simpleString()}", "runs int", "samples int", "level double", "volume_anomalies int", "field_anomalies int", "schema_drifts int", "rejected int"]
+    facts = [F.col("records").cast("double").alias("records"), F.col("population").cast("double").alias("population"), F.col("fingerprint").cast("string").alias("fingerprint")]
+    ordered = runs.repartition(key).sortWithinPartitions(key, *order, "records", "population", "fingerprint").select(F.col(key), *facts)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, kind = None, None, None
+        for b in batches:
+            kind, done = b.schema.field(0).type, []
+            for k, *run in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if state is None or k != at and (k == k or at == at):
+                    if state is not None:
+                        done.append((at, state))
+                    at, state = k, _Baseline()
+                state.take(*run)
+            if done:
+                yield _told(key, done, kind)
+        if state is not None:
+            yield _told(key, [(at, state)], kind)
+
+    return ordered.mapInArrow(fold, ", ".join(columns))
+
+
+def _told(key: str, done: list[tuple[object, _Baseline]], kind: pa.DataType) -> pa.RecordBatch:
+    counts = ("runs", "n", "level", "volume", "fields", "schema", "rejected")
+    arrays = [pa.array([getattr(s, c) for _, s in done], pa.float64() if c == "level" else pa.int32()) for c in counts]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], kind), *arrays], names=[key, "runs", "samples", "level", "volume_anomalies", "field_anomalies", "schema_drifts", "rejected"])
+
+
+def _less(a: float | None, b: float | None) -> bool | None:
+    """``a < b`` as in SQL: null for a null, and NaN is the largest number."""
+    return None if a is None or b is None else a < b or b != b and a == a
+
+
+def _any(*facts: bool | None) -> bool | None:
+    """OR of SQL: true for a true one, else null for a null."""
+    return True if True in facts else None if None in facts else False
+
+
+class _Baseline:
+    """The state of one source: counters, two smoothed values, fingerprints of at most ``WARM_UP`` runs."""
+
+    def __init__(self) -> None:
+        self.runs = self.n = self.volume = self.fields = self.schema = self.rejected = 0
+        self.level: float | None = None
+        self.field: float | None = None
+        self.known: list[str | None] = []
+
+    def take(self, records: float | None, population: float | None, fingerprint: str | None) -> None:
+        self.runs += 1
+        if self.n < WARM_UP:
+            if fingerprint not in self.known:
+                self.known.append(fingerprint)
+            self._move(records, population)
+            return
+        scaled = lambda x: None if self.level is None else self.level * x
+        volume = _less(0.0, records) if self.level == 0 else _any(_less(records, scaled(LOW)), _less(scaled(HIGH), records))
+        filled, dropped = _less(self.field, EXPECTED), _less(population, None if self.field is None else self.field - DROP)
+        field = False if filled is True or dropped is False else None if filled is None or dropped is None else True
+        known = None if fingerprint is None else True if fingerprint in self.known else None if None in self.known else False
+        finding = _any(volume, field, None if known is None else not known)
+        self.volume += volume is True
+        self.fields += field is True
+        self.schema += known is False
+        self.rejected += finding is True
+        if finding is False:
+            self._move(records, population)
+
+    def _move(self, records: float | None, population: float | None) -> None:
+        smooth = lambda old, new: new if old is None else None if new is None else (1 - ALPHA) * old + ALPHA * new
+        self.n += 1
+        self.level, self.field = smooth(self.level, records), smooth(self.field, population)
 
 
 def circuit_states(outcomes: DataFrame, key: str, order: list[str], threshold: int) -> DataFrame:

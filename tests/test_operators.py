@@ -81,6 +81,21 @@ def test_quality_fold_matches_a_loop(spark):
         assert got[s] == (n, rejected, bad)
 
 
+def test_quality_state_goes_on_between_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    runs = [(s, i, [10, 12, None, 200, 0][(i * i + len(s or "")) % 5], [0.9, None, 0.1][i % 3 if i > 5 else 0], [None, "a", "b"][(i + 1) % 3]) for s in ("big", "x", None) for i in range(90 if s == "big" else 4)]
+    table = spark.createDataFrame(runs, "s string, i long, records long, population double, fingerprint string")
+    whole = sorted(map(tuple, metrics.quality_states(table, "s", ["i"]).collect()), key=repr)
+    try:
+        spark.conf.set(name, "7")
+        states = metrics.quality_states(table, "s", ["i"])
+        assert sorted(map(tuple, states.collect()), key=repr) == whole and {(r[0], r[1]) for r in whole} == {("big", 90), ("x", 4), (None, 4)}
+        assert "collect_list" not in states._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_sinks(spark):
     make = lambda rows: spark.createDataFrame(rows, "k long, v string")
     assert sorted((r.k, r.v, r.action) for r in sinks.merge_rows(make([(1, "a"), (2, "b")]), make([(2, None), (3, "c")]), ["k"]).collect()) == [(1, "a", "keep"), (2, "b", "update"), (3, "c", "insert")]

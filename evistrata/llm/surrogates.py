@@ -4,7 +4,8 @@ Every detected value is brought to a canonical form; equal forms are one entity
 entity's surrogate comes from a keyed hash and keeps the type: addresses stay addresses, card numbers
 keep their length and check digit, names keep script, case and the gender that their title tells. One
 surrogate for two entities, or one that is a real value of the corpus, is drawn anew until all are
-distinct. Each place gets the surrogate in the form in which the value was written there.
+distinct. Within a text, names that are parts of a fuller name with a title are the same person, with or
+without a title, and get the same parts of its surrogate. Each place gets the surrogate in the form in which the value was written there.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evistrata.llm.html_extract import STOP_WORDS
 from evistrata.llm.shared import join_checked, materialize, small_batches
 
 #: Titles that show a person's gender; the capitalised words after one are a name.
@@ -26,6 +30,10 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Sra", "Doña", "Signora", "Госпожа", "Κυρία"),
 }
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+#: The first letter of a name; a letter with a full stop or alone is an initial.
+_UPPER = r"[^\W\d_a-zа-яα-ω]"
+_NAME_WORD = re.compile(r"[^\s.]+\.?")
+_PART = re.compile(r"\w+(?:-\w+)*")
 _PATTERNS = (
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
@@ -34,7 +42,7 @@ _PATTERNS = (
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-])"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"),
-    ("name", r"\b(?P<title>" + "|".join(sorted(_GENDER, key=lambda t: (-len(t), t))) + r")\.? (?P<person>[^\W\d_a-zа-яα-ω]\w+(?:[ -][^\W\d_a-zа-яα-ω]\w+){0,2})"),
+    ("name", r"\b(?P<title>" + "|".join(sorted(_GENDER, key=lambda t: (-len(t), t))) + r")\.? (?P<person>(?:U\. ?|U (?=U)){0,3}U\w+(?:[ -](?:U\. ?|U (?=U)){0,2}U\w+){0,2})".replace("U", _UPPER)),
 )
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS))
 #: A text without any of these has nothing to find.
@@ -60,7 +68,73 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         if m["name"]:
             start, end, kind = *m.span("person"), "name"
         found.append((start, end, kind, canonical(kind, text[start:end], m["title"])))
-    return [f for f in found if f[3]]
+    return _linked(text, [f for f in found if f[3]])
+
+
+def _forms(words: tuple[str, ...]) -> set[tuple[str, ...]]:
+    """The ways to name a person in part: some of the words in order, those before the last also as initials."""
+    found = set()
+    for n in range(1, len(words) + 1):
+        for some in combinations(words, n):
+            if n > 1:
+                found |= {(*heads, some[-1]) for heads in product(*((w, w[0]) for w in some[:-1]))}
+            elif len(some[0]) > 1 and some[0] not in STOP_WORDS:
+                found.add(some)
+    return found | {words}
+
+
+def _linked(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``found`` with mentions of one person under one name, the fullest with a title in the text, also where they have no title.
+
+    Of several persons that a mention can mean, it means the one named last before it, else the first after it.
+    """
+    titled = [(at, *value.split(":", 1)) for at, _, kind, value in found if kind == "name"]
+    if not titled:
+        return found
+    names = {(g, tuple(name.split(" "))) for _, g, name in titled}
+    meant: dict[tuple[str, ...], set[tuple[str, tuple[str, ...]]]] = {}
+    for g, words in names:
+        for form in _forms(words):
+            meant.setdefault(form, set()).add((g, words))
+    part = {(g, w) for g, w in names if any(o[0] == g and o[1] != w for o in meant[w])}
+    places: dict[tuple[str, tuple[str, ...]], list[int]] = {}
+    for at, g, name in titled:
+        places.setdefault((g, tuple(name.split(" "))), []).append(at)
+
+    def person(form: tuple[str, ...], at: int, gender: str | None = None) -> str:
+        whole = [o for o in meant.get(form, ()) if o not in part and gender in (None, o[0])]
+        if not whole:
+            return ""
+        before = {o: bisect_right(places[o], at) for o in whole}
+        g, words = min(whole, key=lambda o: ((0, -places[o][before[o] - 1]) if before[o] else (1, places[o][0]), o))
+        return f"{g}:{' '.join(words)}"
+
+    out = []
+    for start, end, kind, value in found:
+        if kind == "name":
+            gender, _, name = value.partition(":")
+            value = person(tuple(name.split(" ")), start, gender)
+        out.append((start, end, kind, value))
+    most, known = max(len(w) for _, w in names), {w for form in meant for w in form}
+    spans, at, free = iter([*found, (len(text) + 1, len(text) + 1, "", "")]), 0, []
+    for start, end, *_ in spans:
+        free.append((at, start))
+        at = end
+    for low, high in free:
+        parts = [m for m in _PART.finditer(text, low, min(high, len(text))) if not m[0][0].islower() and m[0].lower() in known]
+        i = 0
+        while i < len(parts):
+            run = 1
+            while run < most and i + run < len(parts) and re.fullmatch(r"\.?\s+|\.", text[parts[i + run - 1].end() : parts[i + run].start()]) and (text[parts[i + run - 1].end()] != "." or len(parts[i + run - 1][0]) == 1):
+                run += 1
+            for n in range(run, 0, -1):
+                form = tuple(m[0].lower() for m in parts[i : i + n])
+                if form in meant and (who := person(form, parts[i].start())):
+                    out.append((parts[i].start(), parts[i + n - 1].end(), "name", who))
+                    i += n - 1
+                    break
+            i += 1
+    return sorted(out)
 
 
 def canonical(kind: str, value: str, title: str | None = None) -> str:
@@ -75,7 +149,7 @@ def canonical(kind: str, value: str, title: str | None = None) -> str:
     if kind == "iban":
         return value.replace(" ", "")
     if kind == "name":
-        return f"{_GENDER[title]}:{' '.join(value.lower().split())}"
+        return f"{_GENDER[title]}:{' '.join(w.rstrip('.') for w in _NAME_WORD.findall(value.lower()))}"
     return value
 
 
@@ -132,15 +206,25 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     return d.like(value)
 
 
-def written_like(kind: str, replacement: str, original: str) -> str:
-    """``replacement`` (canonical) in the way in which ``original`` is written."""
+def written_like(kind: str, replacement: str, original: str, value: str | None = None) -> str:
+    """``replacement`` (canonical) in the way in which ``original`` is written; a part of the name ``value`` gets the same part."""
     if kind in ("phone", "card", "ssn", "iban"):
         left = iter(replacement)
         return "".join(next(left, "") if c.isalnum() else c for c in original)
     if kind == "name":
-        words = iter(replacement.partition(":")[2].split(" "))
-        pieces = re.split(r"(\s+)", original)
-        return "".join(p if p.isspace() else _cased(next(words, ""), p) for p in pieces)
+        words, full = replacement.partition(":")[2].split(" "), (value or "").partition(":")[2].split(" ")
+        at = 0
+
+        def same_part(m: re.Match) -> str:
+            nonlocal at
+            w = m[0].rstrip(".").lower()
+            same = [j for j in range(at, len(full)) if full[j] == w] or [j for j in range(at, len(full)) if len(w) == 1 and full[j].startswith(w)]
+            at = same[0] if same else at
+            word = words[at] if at < len(words) else ""
+            at += 1
+            return word[:1].upper() + m[0][1:] if len(w) == 1 else _cased(word, m[0])
+
+        return _NAME_WORD.sub(same_part, original)
     if kind == "email":
         return replacement.upper() if original.isupper() else replacement
     return replacement
@@ -196,7 +280,7 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     small_batches(docs.sparkSession)
     spans = materialize(detect(docs), "pii-spans")
     names = name_surrogates(spans, key)
-    placed = spans.join(names, ["kind", "value"]).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind", "written", "surrogate"))).alias("places"))
+    placed = spans.join(names, ["kind", "value"]).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind", "value", "written", "surrogate"))).alias("places"))
     placed = materialize(placed, "pii-places")
 
     @F.pandas_udf("string")
@@ -208,7 +292,7 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
                 continue
             parts, at = [], 0
             for p in ps:
-                parts += [t[at : p["start"]], written_like(p["kind"], p["surrogate"], p["written"])]
+                parts += [t[at : p["start"]], written_like(p["kind"], p["surrogate"], p["written"], p["value"])]
                 at = p["stop"]
             out.append("".join(parts) + t[at:])
         return pd.Series(out, dtype=object)

@@ -152,3 +152,17 @@ def test_collisions_are_drawn_anew(spark):
     small = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(0, 400)], "kind string, value string")
     got = surrogates.name_surrogates(small, b"k").collect()
     assert len({r.surrogate for r in got}) == 400 and not {r.surrogate for r in got} & {r.value for r in got}
+
+
+def test_parts_of_a_name_are_one_person(spark):
+    text = "Mr John Smith met Mr J. Smith. Mr Smith left; Smith, SMITH and John Smith's dog too. Mrs Smith and smith stay. Frau Keller"
+    found = surrogates.find(text)
+    assert [(text[a:b], v) for a, b, _, v in found] == [
+        ("John Smith", "m:john smith"), ("J. Smith", "m:john smith"), ("Smith", "m:john smith"), ("Smith", "m:john smith"), ("SMITH", "m:john smith"),
+        ("John Smith", "m:john smith"), ("Smith", "f:smith"), ("Keller", "f:keller"),
+    ]
+    got = surrogates.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").first().text
+    given, family = re.match(r"Mr (\w+) (\w+) met", got).groups()
+    assert got.startswith(f"Mr {given} {family} met Mr {given[0]}. {family}. Mr {family} left; {family}, {family.upper()} and {given} {family}'s dog too.")
+    two = "Mr Adam Smith and Mr John Smith. Mr Smith spoke. Mr. J.R. Miller"
+    assert [v for *_, v in surrogates.find(two)] == ["m:adam smith", "m:john smith", "m:john smith", "m:j r miller"]

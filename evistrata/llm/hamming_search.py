@@ -1,7 +1,7 @@
 """Exact top-k search of 64-bit codes by Hamming distance with incremental multi-index hashing.
 
-Codes are cut into segments of about log2(number of codes) bits, so a value of a segment leads to about
-one code at every size of the table. An inverted index from (segment, value) to codes is written once,
+Codes are cut into segments of about log2(number of codes / 8) bits, so a value of a segment leads to about
+eight codes at every size of the table: a probe, which is shuffled, costs more than a code that is checked. An inverted index from (segment, value) to codes is written once,
 bucketed and sorted by that key. Two codes at distance d agree in some of m segments up to d // m bits.
 Queries probe all values within a radius of their segments; the radii grow until the distance of the
 k-th verified code is provably covered: with radius r in the first j segments and r - 1 in the others,
@@ -24,6 +24,8 @@ BITS = 64
 NEIGHBOURS = 10
 #: From this radius on segments grow one by one.
 SINGLE = 4
+#: Codes to which one value of a segment should lead.
+LIST = 8
 #: Index rows of a bucket.
 BUCKET_ROWS = 500_000
 
@@ -39,7 +41,7 @@ def sign_code(vector: str) -> Column:
 
 def layout(codes: int) -> list[tuple[int, int]]:
     """(first bit, width) of the segments for a table of so many codes: widths near its logarithm, at most one apart."""
-    n = min(16, max(2, round(BITS / math.log2(max(16, codes)))))
+    n = min(16, max(2, round(BITS / math.log2(max(16, codes / LIST)))))
     widths = [BITS // n + (i < BITS % n) for i in range(n)]
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 

@@ -3,24 +3,32 @@
 The index is a table with one row per distinct text, bucketed and sorted by the SHA-256 of the text.
 A batch is reduced to one winner per digest before anything is shuffled by digest, and the winners
 that the index lacks are found by a sort-merge anti-join that reads the index in its bucket order, so
-the index itself is never shuffled. Those winners are then appended. DataFrame functions only.
+the index itself is never shuffled. Those winners are then appended, and what stays is read back from the
+index. A whole table goes through it in batches of falling ids. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evistrata.llm.shared import join_checked, materialize, shared_dir
+from evistrata.llm.shared import materialize, shared_dir, spare_names
 
-#: Digest buckets of an index; fixed when the index is made.
-BUCKETS = 32
+#: Rows of a bucket for which an index is laid out; a new index has at least ``BUCKETS``.
+BUCKET_ROWS, BUCKETS = 2_000_000, 32
+#: Batches in which a whole table meets a new index.
+BATCHES = 2
+#: Repeated rows are written out in runs of at most this many.
+RUN = 4096
 
 
 class DigestIndex:
-    """A bucketed table ``digest, keep_id, batch``; reopened by giving the same name and path."""
+    """A bucketed table ``digest, keep_id, batch``; reopened by giving the same name and path.
+
+    Every append adds a file to each bucket; ``compact`` writes the buckets anew as one file each.
+    """
 
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = BUCKETS) -> None:
         self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
@@ -30,9 +38,10 @@ class DigestIndex:
         )
 
     @classmethod
-    def fresh(cls, spark: SparkSession, buckets: int = BUCKETS) -> DigestIndex:
+    def fresh(cls, spark: SparkSession, rows: int = 0) -> DigestIndex:
+        """A new index for about ``rows`` texts."""
         tag = uuid.uuid4().hex
-        return cls(spark, f"digest_index_{tag}", f"{shared_dir(spark).rstrip('/')}/digest-index-{tag}", buckets)
+        return cls(spark, f"digest_index_{tag}", f"{shared_dir(spark).rstrip('/')}/digest-index-{tag}", max(BUCKETS, -(-rows // BUCKET_ROWS)))
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -43,66 +52,118 @@ class DigestIndex:
 
     def append(self, winners: DataFrame, batch: str) -> None:
         """Add ``digest, keep_id`` rows that are not there yet, bucketed and sorted."""
-        (
-            winners.select("digest", F.col("keep_id").cast("long").alias("keep_id"), F.lit(batch).alias("batch"))
-            .repartition(self.buckets, "digest")
-            .write.mode("append")
-            .format("parquet")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.name, path=self.path)
-        )
+        self._write(winners.select("digest", F.col("keep_id").cast("long").alias("keep_id"), F.lit(batch).alias("batch")))
 
+    def _write(self, rows: DataFrame) -> None:
+        rows.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name, path=self.path)
+
+    def compact(self) -> DigestIndex:
+        """The same rows in a new index with one file per bucket; this one's table is dropped."""
+        tag = uuid.uuid4().hex
+        new = DigestIndex(self.spark, f"{self.name}_{tag}", f"{self.path.rstrip('/')}-{tag}", self.buckets)
+        new._write(self.rows())
+        self.drop()
+        return new
 
-def digest(text: str = "text"):
+    def drop(self) -> None:
+        """Forget the table; its files stay in the shared folder until that is cleared."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def digest(text: str = "text") -> Column:
     """Lower-case hexadecimal SHA-256 of the UTF-8 text; null counts as empty."""
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
+def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``digest, id, n``: equal rows become one with a count before they meet, so repeated rows are no hot key."""
+    return materialize(docs.select(digest(text_col).alias("digest"), F.col(id_col).alias("id")).groupBy("digest", "id").agg(F.count("*").alias("n")), "digest-units")
+
+
+def _admit(units: DataFrame, index: DigestIndex, batch: str) -> None:
+    """Append the largest id of each digest that the index lacks."""
+    winners = materialize(units.groupBy("digest").agg(F.max("id").alias("keep_id")), "digest-winners")
+    index.append(materialize(index.unseen(winners), "digest-new"), batch)
+
+
+def _decide(units: DataFrame, index: DigestIndex, batches: list[str]) -> DataFrame:
+    """``digest, id, n, keep_id, group_size, wins``: what the index says of each unit.
+
+    A unit wins if the index keeps its id since one of ``batches``. The files of the index are read
+    without their buckets, so a digest with very many ids can be split between tasks.
+    """
+    known = index.spark.read.schema(index.rows().schema).parquet(index.path)
+    sizes = units.groupBy("digest").agg(F.sum("n").alias("group_size"))
+    facts = materialize(sizes.join(known, "digest"), "digest-facts")
+    wins = F.col("batch").isin(*batches) & F.col("id").eqNullSafe(F.col("keep_id"))
+    return units.join(facts.hint("merge"), "digest").select("digest", "id", "n", "keep_id", "group_size", wins.alias("wins"))
+
+
+def _row_by_row(decided: DataFrame, id_col: str) -> DataFrame:
+    """As many rows as there were; of those that repeat a winner the first is kept."""
+    runs = decided.withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {RUN}"))))
+    last = F.least(F.lit(RUN).cast("long"), F.col("n") - F.col("run") * RUN).cast("int")
+    rows = runs.withColumn("at", F.explode(F.sequence(F.lit(1), last)))
+    return rows.select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", (F.col("wins") & (F.col("run") == 0) & (F.col("at") == 1)).alias("kept"))
+
+
 def dedup_batch(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Decide every row of ``docs`` and append what is new to ``index``.
+    """Append what is new to ``index`` and decide every row of ``docs`` by it.
 
     One row per input row: ``id_col, digest, keep_id, group_size, kept``. Of equal texts the largest id
     stays (null ids rank lowest), unless the index knew the text already: then ``keep_id`` is the id
     known there and nothing of the batch stays. Null text counts as empty text; an empty table gives an
     empty result. Rows repeated with the same id and text are counted, and exactly one of them stays.
-    Extra columns of ``docs`` are ignored.
+    Extra columns of ``docs`` are ignored. A batch that is run again gets the same answer.
     """
-    rows = materialize(docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest")), "digests")
-    # equal rows become one with a count before they meet, so a text that many rows share is no hot key
-    units = materialize(rows.groupBy("digest", "id").agg(F.count("*").alias("n")), "digest-units")
-    winners = materialize(units.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size")), "digest-winners")
-    known = index.rows().filter(F.col("batch") != batch).groupBy("digest").agg(F.min("keep_id").alias("known_id"))
-    fresh = materialize(index.unseen(winners).select("digest", "keep_id"), "digest-new")
-    if index.rows().limit(1).count():
-        winners = materialize(winners.join(known, "digest", "left"), "digest-known")
-    else:
-        winners = winners.withColumn("known_id", F.lit(None).cast("long"))
-    index.append(fresh, batch)
-    decided = units.join(winners, "digest").select(
-        F.col("id").alias(id_col),
-        "digest",
-        F.coalesce("known_id", "keep_id").alias("keep_id"),
-        "group_size",
-        (F.col("known_id").isNull() & F.col("id").eqNullSafe(F.col("keep_id"))).alias("wins"),
-        F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"),
-    )
-    return decided.select(id_col, "digest", "keep_id", "group_size", (F.col("wins") & (F.col("copy") == 1)).alias("kept"))
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; columns as they came.
-
-    The losing (id, digest) pairs are few beside the table in most corpora: they are taken away by an
-    anti-join, broadcast only when counted small. Where equal rows repeat the winner, one of them stays.
+    units = _units(docs, id_col, text_col)
+    _admit(units, index, batch)
+    return _row_by_row(_decide(units, index, [batch]), id_col)
+
+
+def _in_batches(units: DataFrame, index: DigestIndex, batches: int) -> list[str]:
+    """Let ``units`` meet the index in batches of falling ids, so that what the index keeps is the largest id of all."""
+    cuts = units.agg(F.percentile_approx("id", [1 - (i + 1) / batches for i in range(batches - 1)])).first()[0] if batches > 1 else []
+    names, above = [], None
+    for i, cut in enumerate([*(cuts or []), None]):
+        part = units if above is None else units.filter(F.col("id").isNull() | (F.col("id") <= above))
+        _admit(part if cut is None else part.filter(F.col("id") > cut), index, f"part-{i}")
+        names.append(f"part-{i}")
+        above = cut if cut is not None else above
+    return names
+
+
+def dedup_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+    """A whole table decided by a new index that it passes in ``batches``; the result is that of ``dedup_batch``. Ids are numbers."""
+    units = _units(docs, id_col, text_col)
+    index = DigestIndex.fresh(docs.sparkSession, units.count())
+    decided = _decide(units, index, _in_batches(units, index, batches))
+    index.drop()
+    return _row_by_row(decided, id_col)
+
+
+def keep_winners(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that lost; columns as they came.
+
+    ``decided`` has one row for each (``id``, ``digest``) that is judged, with its number ``n`` of rows and
+    whether it ``wins``; rows that it does not name stay. Losers are taken away by an anti-join. There may
+    be as many as documents, so it is a sort-merge join at every size. Of ``n`` equal rows that win one stays.
     """
-    spark = docs.sparkSession
-    decided = dedup_batch(docs, DigestIndex.fresh(spark), "batch", id_col, text_col)
-    marks = materialize(decided.groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")), "digest-marks")
-    tagged = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_digest": digest(text_col)})
-    key = F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_id")
-    single = join_checked(tagged, materialize(marks.filter("not _kept or _n > 1").select(key, "_digest"), "digest-losers"), ["_id", "_digest"], "left_anti")
-    again = materialize(marks.filter("_kept and _n > 1").select(key, "_digest"), "digest-again")
-    repeated = join_checked(tagged, again, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]) if again.limit(1).count() else None
-    out = single if repeated is None else single.unionByName(repeated)
-    return out.select(*docs.columns)
+    key, sha = spare_names(docs, "dedup_id", "dedup_digest")
+    named = lambda d: d.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias(key), F.col("digest").alias(sha))
+    losers = materialize(named(decided.filter("not wins or n > 1")), "digest-losers")
+    again = materialize(named(decided.filter("wins and n > 1")), "digest-again")
+    tagged = docs.withColumns({key: F.coalesce(F.col(id_col).cast("string"), F.lit("")), sha: digest(text_col)})
+    out = tagged.join(losers.hint("merge"), [key, sha], "left_anti")
+    if again.limit(1).count():
+        out = out.unionByName(tagged.join(again, [key, sha], "left_semi").dropDuplicates([key, sha]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+    """``docs`` without the rows whose text another row keeps; columns as they came. Where equal rows repeat the winner, one of them stays."""
+    units = _units(docs, id_col, text_col)
+    index = DigestIndex.fresh(docs.sparkSession, units.count())
+    decided = _decide(units, index, _in_batches(units, index, batches))
+    index.drop()
+    return keep_winners(docs, decided, id_col, text_col)

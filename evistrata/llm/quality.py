@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evistrata.llm.doc_stats import NAMES, stats_matrix
-from evistrata.llm.shared import materialize, small_batches
+from evistrata.llm.exact_dedup import digest, keep_winners
+from evistrata.llm.shared import materialize, small_batches, summed
 
 FEATURES = 192
 WIDTH = 3.0
@@ -62,18 +63,19 @@ def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, stats array<double>`` of every whole text."""
+    """``id_col, digest, stats array<double>`` of every whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "stats": list(stats_matrix(b["text"]))})
+            yield pd.DataFrame({"id": b["id"], "digest": b["digest"], "stats": list(stats_matrix(b["text"]))})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, stats array<double>").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, f"id {kind}, digest string, stats array<double>").withColumnRenamed("id", id_col)
 
 
 def _summed(rows: DataFrame, part) -> np.ndarray:
-    """Sum over partitions of ``part(stats, label)``, a matrix of fixed shape, added up row by row."""
+    """Sum over partitions of ``part(stats, label)``, a matrix of fixed shape; the JVM adds the parts up place by place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -84,11 +86,13 @@ def _summed(rows: DataFrame, part) -> np.ndarray:
         if total is not None:
             yield pd.DataFrame({"row": np.arange(len(total)), "v": list(total)})
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"row": group["row"].iloc[:1], "v": [np.vstack(group["v"].to_numpy()).sum(0)]})
-
-    found = rows.select("stats", "label").mapInPandas(run, "row int, v array<double>").groupBy("row").applyInPandas(add, "row int, v array<double>").orderBy("row").collect()
-    return np.array([r["v"] for r in found])
+    parts = rows.select("stats", "label").mapInPandas(run, "row int, v array<double>")
+    found = summed(parts, "row").toPandas()  # as many rows as the matrix has places
+    if not len(found):
+        return np.zeros((0, 0))
+    out = np.zeros((found["row"].max() + 1, found["pos"].max() + 1))
+    out[found["row"], found["pos"]] = found["v"]
+    return out
 
 
 def fit(labelled: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE, seed: int = SEED) -> QualityModel:
@@ -126,15 +130,15 @@ def fit(labelled: DataFrame, features: int = FEATURES, width: float = WIDTH, rid
 
 
 def score(stats: DataFrame, model: QualityModel, id_col: str = "doc_id") -> DataFrame:
-    """``id_col, score`` for rows ``id_col, stats``. The model has a fixed size and travels with the function."""
+    """``id_col, digest, score`` for rows ``id_col, digest, stats``. The model has a fixed size and travels with the function."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.vstack(b["stats"].to_numpy()) if len(b) else np.zeros((0, len(NAMES)))
-            yield pd.DataFrame({"id": b["id"], "score": model.score(x)})
+            yield pd.DataFrame({"id": b["id"], "digest": b["digest"], "score": model.score(x)})
 
     kind = stats.schema[id_col].dataType.simpleString()
-    return stats.select(F.col(id_col).alias("id"), "stats").mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return stats.select(F.col(id_col).alias("id"), "digest", "stats").mapInPandas(run, f"id {kind}, digest string, score double").withColumnRenamed("id", id_col)
 
 
 def train_labels(labels: DataFrame, column: str, modulus: int, held_out: int) -> DataFrame:
@@ -143,6 +147,13 @@ def train_labels(labels: DataFrame, column: str, modulus: int, held_out: int) ->
     return labels.filter((rest != held_out) & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label"))
 
 
+def _scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, QualityModel]:
+    small_batches(docs.sparkSession)
+    stats = materialize(document_stats(docs), "quality-stats")
+    model = fit(stats.join(train_labels(labels, "quality", 4, 2), "doc_id"))
+    return score(stats, model), model
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
@@ -150,8 +161,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     each; extra columns are ignored; an empty table gives an empty result. Rows with a null doc_id are
     scored and count as not held out.
     """
-    small_batches(docs.sparkSession)
-    stats = materialize(document_stats(docs), "quality-stats")
-    model = fit(stats.join(train_labels(labels, "quality", 4, 2), "doc_id"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return score(stats, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return _scored(docs, labels)[0].select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``docs`` without the rows whose text scores below ``threshold``; columns as they came.
+
+    Rows are told apart by doc_id and text. Without any label to learn from nothing is rejected.
+    """
+    scored, model = _scored(docs, labels)
+    if not model.weights.any():
+        return docs
+    rejected = scored.filter(F.col("score") < threshold).select(F.col("doc_id").alias("id"), "digest", F.lit(1).alias("n"), F.lit(False).alias("wins"))
+    return keep_winners(docs, rejected.distinct())

@@ -35,7 +35,7 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.dedup_batch(_table(spark, sf_dir, "documents"), exact_dedup.DigestIndex.fresh(spark), "batch")
+    found = exact_dedup.dedup_table(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 

@@ -1,15 +1,14 @@
-"""Helpers that several operators use: shared storage, size-checked joins, connected components."""
+"""Helpers that several operators use: shared storage, batches of texts, sums of arrays, connected components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when a count of its rows has shown it to be at most this long.
-BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,42 +23,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Tables counted to be at most this long are read as one partition, so what follows needs no shuffle.
-SMALL_ROWS = 500_000
-
-
-def materialize(df: DataFrame, label: str, maybe_small: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
-
-    With ``maybe_small`` the rows are counted (from file footers): up to ``SMALL_ROWS`` are read as one
-    partition, more are read as they were written. The plan is the same, only its shuffles fall away.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    return out.coalesce(1) if maybe_small and few(out, SMALL_ROWS) else out
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+#: Rows and bytes that go to a Python worker at once where whole texts go there; bounds its memory.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
-#: Rows that go to a Python worker at once where whole texts go there; bounds its memory.
-BATCH_ROWS = 500
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Send texts to Python workers in batches of at most ``rows`` and about ``size`` bytes, unless the session asks for less.
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Send texts to Python workers in batches of at most ``rows``, unless the session asks for fewer."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
-        spark.conf.set(name, str(rows))
+    A setting of the session, as the plans that need it run after the operator has returned.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name, None)
+        if now is not None and not 0 < int(re.sub(r"\D", "", now) or 0) <= most:
+            spark.conf.set(name, str(most))
 
 
-def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` (materialized) has at most ``rows`` rows."""
-    return df.count() <= rows
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
-def join_checked(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
-    """Join; ``right`` is broadcast only if its counted size is within the bound, else Spark shuffles both."""
-    return left.join(F.broadcast(right) if few(right) else right, on, how)
+def summed(parts: DataFrame, *by: str) -> DataFrame:
+    """``by, pos, v``: arrays ``v`` of equal length added up place by place, in the JVM with partial sums."""
+    return parts.select(*by, F.posexplode("v").alias("pos", "v")).groupBy(*by, "pos").agg(F.sum("v").alias("v"))
 
 
 def text_size(text: str = "text"):
@@ -80,7 +81,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     lineage stays short. Rounds grow with the logarithm of the longest path.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = materialize(edges.select("a", "b").filter("a <> b").distinct(), "cc", True)
+    now = materialize(edges.select("a", "b").filter("a <> b").distinct(), "cc")
     state = None
     for _ in range(max_rounds):
         # large star: every neighbour above a node is tied to the least node around it
@@ -91,7 +92,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.filter("a > b").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = materialize(small.filter("a <> b").distinct(), "cc", True)
+        now = materialize(small.filter("a <> b").distinct(), "cc")
         got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (got["n"], got["h"]) == state:
             break

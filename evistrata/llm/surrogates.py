@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evistrata.llm.html_extract import STOP_WORDS
-from evistrata.llm.shared import join_checked, materialize, small_batches
+from evistrata.llm.shared import materialize, small_batches
 
 #: Titles that show a person's gender; the capitalised words after one are a name.
 TITLES = {
@@ -298,7 +298,7 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    joined = join_checked(keyed, placed.withColumnRenamed("row_key", "_row_key"), "_row_key", "left")
+    joined = keyed.join(placed.withColumnRenamed("row_key", "_row_key").hint("merge"), "_row_key", "left")
     changed = F.when(F.col("places").isNull(), F.col("text")).otherwise(splice("text", "places"))
     kept = [c for c in docs.columns if c not in ("text", "n_entities")]
     return joined.select(*kept, changed.alias("text"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_entities")).withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long")))

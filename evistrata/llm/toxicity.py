@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evistrata.llm.quality import train_labels
-from evistrata.llm.shared import join_checked, materialize, small_batches
+from evistrata.llm.shared import materialize, small_batches
 
 _WORD = re.compile(r"\w+")
 #: Word beginnings of these lengths are features beside the words themselves.
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, vocabulary: int
     prior = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
     picked = docs.select("doc_id", "text").join(F.broadcast(materialize(positive.unionByName(unlabelled), "toxicity-sample")), "doc_id")
     confirmed = materialize(known.filter("label = 1").select("doc_id", F.lit(True).alias("toxic")), "toxicity-positives")
-    sides = join_checked(docs.select("doc_id", "text").filter("doc_id is not null"), confirmed, "doc_id", "left")
+    sides = docs.select("doc_id", "text").filter("doc_id is not null").join(confirmed.hint("merge"), "doc_id", "left")
     counted = materialize(_count_words(sides.select(F.coalesce("toxic", F.lit(False)).alias("toxic"), "text")), "toxicity-counts")
     sizes = counted.filter("word = ''").first()
     n_p, n_u = (sizes["dp"], sizes["du"]) if sizes else (0, 0)

@@ -9,18 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evistrata.llm import exact_dedup, mixing, ngram_join, pieces, quality
-from evistrata.llm.shared import join_checked, materialize
+from evistrata.llm.shared import materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject.
-
-    Rows with a null doc_id can't be told apart by id and stay; of rows that share an id, all go if one
-    of them is rejected.
-    """
-    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = materialize(judged.filter("predicted = 0").select("doc_id").distinct(), "pipeline-rejected")
-    return join_checked(docs, rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the quality classifier does not reject; without labels to learn from all stay."""
+    return quality.drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +23,7 @@ def drop_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that the five-word Jaccard links of 0.8 or more connect, the smallest doc_id."""
+    """Of each group that the five-word Jaccard links of 0.8 or more connect, the row with the smallest doc_id."""
     return ngram_join.one_of_each_group(docs, words=5, percent=80)
 
 

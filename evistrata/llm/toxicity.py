@@ -1,10 +1,11 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives, all other training texts are taken as unlabelled. A logistic
+Confirmed toxic texts are the positives, all training texts are taken as unlabelled. A logistic
 model over word and word-beginning features minimises
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``; where the second part falls below zero, the step
 goes the other way, so the model cannot overfit the positives. The vocabulary comes from document
-counts over the whole training side; only the gradient steps use a bounded sample.
+counts over the whole training side, and every gradient step sums over all of it: tasks add up their
+rows, the JVM adds up the tasks' vectors, and only vectors as long as the vocabulary reach the driver.
 """
 
 from __future__ import annotations
@@ -16,24 +17,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evistrata.llm.quality import train_labels
-from evistrata.llm.shared import materialize, small_batches
+from evistrata.llm.shared import materialize, small_batches, summed
 
 _WORD = re.compile(r"\w+")
 #: Word beginnings of these lengths are features beside the words themselves.
 STEMS = (3, 4, 5, 6)
-#: Bounds of the fit: rows of each kind in the sample (smallest hashes first), and features kept.
-SAMPLE = 20_000
+#: Features kept.
 VOCABULARY = 2048
 #: Words that a task counts before it hands its counts on; bounds its memory.
 PARTIAL = 200_000
 #: Least likelihood-ratio statistic of a feature.
 EVIDENCE = 12.0
-STEPS = 400
-RATE = 0.05
+STEPS = 30
+RATE = 0.1
 PENALTY = 2e-3
 SLACK = 0.0
 
@@ -61,38 +62,55 @@ class ToxicityModel:
         return [i for i in map(get, features(text)) if i is not None]
 
 
-def nnpu(positive: list[list[int]], unlabelled: list[list[int]], prior: float, size: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the non-negative risk with the logistic loss; rows are lists of feature numbers."""
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def pack(rows):
-        return np.concatenate([np.asarray(r, dtype=np.int64) for r in rows] or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)
 
-    def logits(w, b, packed):
-        at, row, n = packed
-        return b + np.bincount(row, w[at], n)
+def _sums(rows: DataFrame, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+    """For all rows and for the positives: the gradient of the summed loss at label 0 (the last place is that of the bias) and the summed loss itself.
 
-    def back(packed, slope):
-        at, row, _ = packed
-        return np.bincount(at, slope[row], size), slope.sum()
-
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    softplus = lambda z: np.logaddexp(0, z)
-    p, u = pack(positive), pack(unlabelled)
+    ``rows`` has ``toxic, ids``; the numbers are made in the tasks, the JVM sums them.
+    """
+    size = len(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size + 2))
+        for batch in batches:
+            toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            lists = batch.column(1)
+            at = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
+            z = b + np.bincount(row, w[at], len(toxic))
+            slope, loss = _sigmoid(z), np.logaddexp(0, z)
+            for side, weight in enumerate((np.ones(len(toxic)), toxic)):
+                total[side] += np.concatenate([np.bincount(at, (slope * weight)[row], size), [(slope * weight).sum(), (loss * weight).sum()]])
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["side", "v"])
+
+    found = summed(rows.mapInArrow(run, "side int, v array<double>"), "side").toPandas()
+    out = np.zeros((2, size + 2))
+    out[found["side"], found["pos"]] = found["v"]
+    return out[0], out[1]
+
+
+def nnpu(rows: DataFrame, positive: np.ndarray, n_p: int, n_u: int, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk with the logistic loss.
+
+    ``rows`` are the feature numbers ``ids`` of all training texts and whether each is a positive;
+    ``positive`` has the number of positives with each feature.
+    """
+    size = len(positive)
+    seen = np.append(positive, n_p) / n_p
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        zp, zu = logits(w, b, p), logits(w, b, u)
-        negative = softplus(zu).mean() - prior * softplus(zp).mean()
-        gu, gub = back(u, sigmoid(zu) / u[2])
-        gn, gnb = back(p, prior * sigmoid(zp) / p[2])
-        if negative >= -SLACK:
-            gp, gpb = back(p, -prior * sigmoid(-zp) / p[2])
-            g = np.append(gp + gu - gn, gpb + gub - gnb)
-        else:
-            g = np.append(gn - gu, gnb - gub)
+        u, p = _sums(rows, w, b)
+        # the slope of the loss at label 1 is that at label 0 less one
+        gu, gn = u[:-1] / n_u, prior * p[:-1] / n_p
+        negative = u[-1] / n_u - prior * p[-1] / n_p
+        g = (gn - prior * seen) + gu - gn if negative >= -SLACK else gn - gu
         g[:-1] += PENALTY * prior * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        step = RATE * 0.5 * (1 + np.cos(np.pi * (t - 1) / steps)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     return w, float(b)
 
@@ -123,24 +141,19 @@ def _count_words(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "word string, dp long, du long").groupBy("word").agg(F.sum("dp").alias("dp"), F.sum("du").alias("du"))
 
 
-def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> ToxicityModel:
+def fit(docs: DataFrame, known: DataFrame, vocabulary: int = VOCABULARY) -> ToxicityModel:
     """Fit on the positives of ``known`` (``doc_id, label``, materialized) and on unlabelled ``docs``.
 
-    Label 1 is confirmed toxic. The unlabelled side is drawn from ``docs`` whatever their label, so it
+    Label 1 is confirmed toxic. All ``docs`` with an id are the unlabelled side whatever their label, so it
     holds toxic texts at their natural rate. The features are chosen by counts over all rows of both
-    kinds. At most ``sample`` rows of each kind take part in the gradient steps, those with the smallest
-    hash of doc_id, so the ids that are broadcast have that bound; a feature that none of them has gets
-    the weight 0. The class prior is the share of positives in ``known``. Without a positive or without
-    an unlabelled row every score is 0.
+    sides, and all rows take part in every step. The class prior is the share of positives in ``known``.
+    Without a positive or without an unlabelled row every score is 0.
     """
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    positive = known.filter("label = 1").orderBy(*order).limit(sample).select("doc_id", F.lit(1).alias("label"))
-    unlabelled = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(*order).limit(sample).select("doc_id", F.lit(0).alias("label"))
     prior = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
-    picked = docs.select("doc_id", "text").join(F.broadcast(materialize(positive.unionByName(unlabelled), "toxicity-sample")), "doc_id")
     confirmed = materialize(known.filter("label = 1").select("doc_id", F.lit(True).alias("toxic")), "toxicity-positives")
-    sides = docs.select("doc_id", "text").filter("doc_id is not null").join(confirmed.hint("merge"), "doc_id", "left")
-    counted = materialize(_count_words(sides.select(F.coalesce("toxic", F.lit(False)).alias("toxic"), "text")), "toxicity-counts")
+    sides = docs.select("doc_id", "text").filter("doc_id is not null").join(confirmed.hint("merge"), "doc_id", "left").select(F.coalesce("toxic", F.lit(False)).alias("toxic"), "text")
+    sides = materialize(sides, "toxicity-sides")
+    counted = materialize(_count_words(sides), "toxicity-counts")
     sizes = counted.filter("word = ''").first()
     n_p, n_u = (sizes["dp"], sizes["du"]) if sizes else (0, 0)
     if not n_p or not n_u:
@@ -152,18 +165,17 @@ def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, vocabulary: int
     cells = [(p1, n_p, "d"), (u1, n_u, "d"), (n_p - p1, n_p, "off"), (n_u - u1, n_u, "off")]
     margin = {"d": p1 + u1, "off": float(n_p + n_u) - p1 - u1}
     g2 = sum((F.when(c > 0, c * F.log(c * float(n_p + n_u) / (float(n) * margin[m]))).otherwise(0.0) for c, n, m in cells), F.lit(0.0)) * 2
-    kept = [r["word"] for r in counted.withColumn("g2", g2).filter(F.col("g2") >= EVIDENCE).orderBy(F.col("g2").desc(), "word").limit(vocabulary).collect()]
-    number = {w: i for i, w in enumerate(kept)}
+    kept = counted.withColumn("g2", g2).filter(F.col("g2") >= EVIDENCE).orderBy(F.col("g2").desc(), "word").limit(vocabulary).select("word", "dp").collect()
+    if not kept:
+        return ToxicityModel({}, np.zeros(0), float(np.log(prior / (1 - prior))))
+    number = {r["word"]: i for i, r in enumerate(kept)}
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"toxic": b["label"] == 1, "ids": [sorted(number[w] for w in features(t) if w in number) for t in b["text"]], "doc_id": b["doc_id"]})
+            yield pd.DataFrame({"toxic": b["toxic"], "ids": [sorted(number[w] for w in features(t) if w in number) for t in b["text"]]})
 
-    found = picked.select("label", "text", "doc_id").mapInPandas(narrow, "toxic boolean, ids array<int>, doc_id bigint").orderBy("doc_id").toPandas()
-    positive, unlabelled = ([list(x) for x in found["ids"][found["toxic"] == side]] for side in (True, False))
-    if not positive or not unlabelled:
-        return ToxicityModel({}, np.zeros(0), -40.0)
-    w, b = nnpu(positive, unlabelled, prior, len(kept))
+    rows = materialize(sides.mapInPandas(narrow, "toxic boolean, ids array<int>"), "toxicity-features")
+    w, b = nnpu(rows, np.array([r["dp"] for r in kept], np.float64), n_p, n_u, prior)
     return ToxicityModel(number, w, b)
 
 

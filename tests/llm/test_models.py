@@ -68,20 +68,30 @@ def test_toxicity_is_learned(spark, awkward, empty):
     assert {r.predicted for r in toxicity.classify(awkward, labels.limit(0)).collect()} == {0}
 
 
-def test_nnpu_separates():
+def test_nnpu_separates(spark):
     rng = np.random.default_rng(3)
     positive = [[0, int(rng.integers(2, 30))] for _ in range(100)]
-    unlabelled = [[0, int(rng.integers(2, 30))] if i % 5 == 0 else [1, int(rng.integers(2, 30))] for i in range(1000)]
-    w, b = toxicity.nnpu(positive, unlabelled, 0.2, 30)
+    other = [[0, int(rng.integers(2, 30))] if i % 5 == 0 else [1, int(rng.integers(2, 30))] for i in range(1000)]
+    rows = spark.createDataFrame([(True, x) for x in positive] + [(False, x) for x in other], "toxic boolean, ids array<int>").repartition(3)
+    seen = np.bincount(np.concatenate(positive), minlength=30).astype(float)
+    w, b = toxicity.nnpu(rows, seen, 100, 1100, 0.2)
     assert w[0] + b > 0 > w[1] + b
+    for side, some in ((0, positive + other), (1, positive)):  # the sums are those of a loop over all rows
+        z = np.array([b + w[x].sum() for x in some])
+        want = np.zeros(32)
+        for x, s in zip(some, 1 / (1 + np.exp(-z)), strict=True):
+            want[x] += s
+            want[30] += s
+        want[31] = np.logaddexp(0, z).sum()
+        assert np.allclose(toxicity._sums(rows, w, b)[side], want)
 
 
-def test_toxic_words_are_counted_outside_the_sample(spark):
+def test_toxic_words_are_counted_over_all_texts(spark):
     ids = [r.doc_id for r in spark.range(400).toDF("doc_id").selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").collect()]
     toxic = set(ids[::2])
     docs = spark.createDataFrame([(d, "common vile" + " rarity" * (i >= 60) if d in toxic else "common plain") for i, d in enumerate(ids)] + [(None, "common vile")], "doc_id long, text string")
     known = spark.createDataFrame([(d, int(d in toxic)) for d in ids], "doc_id long, label int")
-    model = toxicity.fit(docs, known, sample=20)
-    assert {"vile", "rarity", "plain"} <= set(model.vocabulary)  # no row of the sample has "rarity"
+    model = toxicity.fit(docs, known)
+    assert {"vile", "rarity", "plain"} <= set(model.vocabulary)
     got = {(r.word): (r.dp, r.du) for r in toxicity._count_words(spark.createDataFrame([(True, "a b"), (False, "b B"), (False, None)], "toxic boolean, text string")).collect()}
     assert got == {"": (1, 3), "a": (1, 1), "b": (1, 2)}

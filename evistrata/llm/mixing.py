@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evistrata.llm.shared import materialize, text_size, uniform
+from evistrata.llm.shared import materialize, spare_names, text_size, uniform
 
 #: Mean number of documents that meet in one block of the reduction tree.
 FAN_IN = 128
@@ -36,15 +36,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     capped = ranked.withColumns({"weight": weight, "cap": F.col("source_size") * float(most)})
     # level: the target is least(cap, level * weight); sources reach their caps in the order of cap / weight
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))
-    leveled = capped.withColumn("level", level).withColumn("line", F.first(fits, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    before = Window.orderBy(F.col("cap") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    run = materialize(capped.withColumns({c: F.coalesce(F.sum(v).over(before), F.lit(0.0)) for c, v in (("caps", "cap"), ("weights", "weight"))}), "mix-source-run")
+    whole = run.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    leveled = run.crossJoin(F.broadcast(whole)).withColumn("level", (F.col("all_size") - F.col("caps")) / (F.col("all_weight") - F.col("weights")))
+    reach = F.col("cap") / F.col("weight")
+    line = leveled.filter(F.col("level") <= reach).agg(F.min_by("level", F.struct(reach.alias("reach"), "rank")).alias("line"))  # one row each
     target = F.least(F.col("cap"), F.coalesce(F.col("line") * F.col("weight"), F.col("cap")))
-    return leveled.select("source", "source_size", target.cast("double").alias("target"))
+    return leveled.crossJoin(F.broadcast(line)).select("source", "source_size", target.cast("double").alias("target"))
 
 
 #: One exchange: ``s`` is what is undecided so far, ``x`` the next document. With weight w = size * rows,
@@ -74,6 +73,14 @@ aggregate(
 """
 
 
+def _told_apart(units: DataFrame) -> DataFrame:
+    """``units`` in which no two share an ``id``: where hashes meet, the later ones count up from it."""
+    if not units.groupBy("id").count().filter("count > 1").limit(1).count():
+        return units
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("doc_id", "source", "size")) - 1
+    return _told_apart(materialize(units.withColumn("id", F.col("id") + turn), "mix-units-apart"))
+
+
 def _level(open_units: DataFrame, level: int, seed: int, fan_in: int) -> DataFrame:
     """Let the undecided units of each (source, block) meet; ``folded`` has the decided ones and the one left."""
     turn = F.struct("id", "w", "p", uniform(F.lit(seed), F.lit(level), F.col("id")).alias("u"))
@@ -98,7 +105,8 @@ def copies(rows: DataFrame, seed: int = 17, fan_in: int = FAN_IN, weights: Seque
             (F.col("size") * F.col("rows")).cast("double").alias("w"), "units", F.xxhash64(F.lit(seed), "doc_id", "source", "size").alias("id"),
         ),
         "mix-units",
-    )
+    )
+    units = _told_apart(units)
     # a unit of no words or without a fractional part has nothing to exchange
     blocks = F.greatest(F.lit(1), F.ceil(F.col("units") / fan_in)).cast("long")
     now = units.filter("p > 0 and w > 0").select("source", "id", "w", "p", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("blocks")))
@@ -146,6 +154,7 @@ def draw_mix(docs: DataFrame, seed: int = 17, text_col: str = "text") -> DataFra
     join at every size.
     """
     units, _ = copies(materialize(docs.select("doc_id", "source", text_size(text_col).alias("size")), "mix-rows"), seed)
-    taken = materialize(units.filter("copies > 0 and size > 0"), "mix-taken").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (text_size(text_col) == F.col("_size"))
-    return docs.join(taken.hint("merge"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    i, s, n, c, k = spare_names(docs, "mix_id", "mix_source", "mix_size", "mix_copies", "mix_copy")
+    taken = materialize(units.filter("copies > 0 and size > 0"), "mix-taken").select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").alias(c))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (text_size(text_col) == F.col(n))
+    return docs.join(taken.hint("merge"), same).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(c)))).select(*[F.col(f"`{x}`") for x in docs.columns])

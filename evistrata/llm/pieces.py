@@ -74,6 +74,12 @@ class PieceVocabulary:
             self.decoded[i] = p.replace(MARK, " ").encode()
         for b, i in enumerate(self.bytes):
             self.decoded[i] = bytes([b])
+        #: Code points of every piece, padded with zeros, and their number.
+        self.lengths = np.zeros(n, np.int64)
+        self.codes = np.zeros((n, self.longest), np.uint32)
+        for p, i in pieces.items():
+            self.lengths[i] = len(p)
+            self.codes[i, : len(p)] = np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32)
         # open-address table over the hashes of all pieces
         self.bits = 18
         self.keys, self.ids = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
@@ -229,6 +235,17 @@ def _part_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+def _misread(v: PieceVocabulary, codes: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of chosen pieces whose characters are not those of the text."""
+    size = np.diff(np.append(at, len(codes)))
+    length = np.where(ids >= 0, v.lengths[ids], 1)
+    wrong = [at[size != length]]
+    for k in range(int(length.max(initial=0))):
+        some = np.flatnonzero((ids >= 0) & (length > k) & (size > k))
+        wrong.append(at[some[v.codes[ids[some], k] != codes[at[some] + k]]])
+    return np.concatenate(wrong)
+
+
 def _sample_chunk(lattices: Lattices, texts: list[str], keys: list[int], seed: int) -> list[np.ndarray]:
     v = lattices.v
     true = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -257,6 +274,11 @@ def _sample_chunk(lattices: Lattices, texts: list[str], keys: list[int], seed: i
     for part, inside, ids in lattices.sample(base, ends - starts, key, starts - bounds[doc], seed):
         chosen[starts[part] + inside] = ids
     at = np.flatnonzero(chosen != -2)
+    wrong = _misread(v, codes, at, chosen[at])
+    if len(wrong):  # hashes of two substrings met: such a text is written in bytes
+        for d in np.unique(np.searchsorted(bounds, wrong, side="right") - 1).tolist():
+            chosen[bounds[d] : bounds[d + 1]] = -1
+        at = np.flatnonzero(chosen != -2)
     ids = chosen[at]
     literal = np.flatnonzero(ids == -1)
     times = np.ones(len(at), np.int64)

@@ -5,8 +5,9 @@ position; rows that a full shard can't take go on clockwise to the next point. L
 tightly: with n rows, the first ``n mod shards`` shards take one row more than the others, so counts are
 at most one apart, and most rows stay where the ring alone would put them.
 
-What overflows depends on counts alone: the rows of an arc are ranked by position, the driver plans with
-one count for each arc (a fixed number), and the plan says which ranks of an arc go to which shard.
+What overflows depends on counts alone: the rows of an arc are ranked by position (in cells, and by hash
+within a cell, so that no key needs one task), the driver plans with one count for each arc (a fixed number),
+and the plan says which ranks of an arc go to which shard. Nothing depends on how the rows are stored.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from evistrata.llm.shared import materialize
 
 SHARDS = 24
-#: Points of a shard on the ring; pieces of an arc in which rows are ranked apart.
-POINTS, PIECES = 64, 64
+#: Points of a shard on the ring; cells of an arc, and parts of a cell, in which rows are ranked apart.
+POINTS, CELLS, PARTS = 64, 16, 8
+#: Equal rows are written out in runs of at most this many.
+RUN = 4096
 SEED = 3
 
 
@@ -81,17 +84,24 @@ def assign(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, seed: in
     cells = 1 << 12
     spans = bounds.select("arc", "after", "upto", F.explode(F.sequence(F.shiftright(F.greatest(F.col("after"), F.lit(0)), 50), F.shiftright(F.least("upto", F.lit((1 << 62) - 1)), 50))).alias("cell")).filter(F.col("cell") < cells)
     placed = rows.withColumn("cell", F.shiftright("position", 50)).join(F.broadcast(spans), "cell").filter("position > after and position <= upto")
-    # the piece spreads an arc, and also rows of one key, over several windows
-    piece = F.pmod(F.xxhash64("key", "text_crc32", "size", F.spark_partition_id()), F.lit(PIECES)).cast("int")
-    placed = materialize(placed.select("key", "size", "text_crc32", "position", "arc").withColumn("piece", piece), "shard-rows")
-    counts = materialize(placed.groupBy("arc", "piece").agg(F.count("*").alias("n")), "shard-counts")
+    # cells follow the position; parts spread the rows of a cell, also those of one key; equal rows are one unit
+    cell = F.least(F.lit(CELLS - 1), F.floor((F.col("position") - F.col("after")) / ((F.col("upto") - F.col("after") + 1) / CELLS))).cast("int")
+    piece = cell * PARTS + F.pmod(F.xxhash64("text_crc32", "size"), F.lit(PARTS)).cast("int")
+    units = placed.groupBy("key", "size", "text_crc32", "position", "arc", piece.alias("piece")).agg(F.count("*").alias("n"))
+    units = materialize(units, "shard-units")
+    counts = materialize(units.groupBy("arc", "piece").agg(F.sum("n").alias("n")), "shard-counts")  # at most points * shards * CELLS * PARTS rows
     offset = F.coalesce(F.sum("n").over(Window.partitionBy("arc").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.withColumn("before", offset).drop("n")
     per_arc = {r["arc"]: r["n"] for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # at most shards * points rows
     by_arc = [per_arc.get(a, 0) for a in range(len(points_))]
     moves = plan(by_arc, [s for _, s in points_], capacities(sum(by_arc), shards))
     moves = docs.sparkSession.createDataFrame(moves, "arc int, lo long, hi long, shard int, slot0 long")
-    order = Window.partitionBy("arc", "piece").orderBy("position", "key", "text_crc32", "size")
-    ranked = placed.join(F.broadcast(offsets), ["arc", "piece"]).withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
-    taken = ranked.join(F.broadcast(moves), "arc").filter("rank >= lo and rank < hi")
-    return taken.select(F.col("key").alias(key_col), "size", "text_crc32", "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot"))
+    order = Window.partitionBy("arc", "piece").orderBy("position", "key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = units.join(F.broadcast(offsets), ["arc", "piece"]).withColumn("rank", F.col("before") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+    met = ranked.join(F.broadcast(moves), "arc").filter("rank < hi and rank + n > lo")
+    first = F.greatest("rank", "lo")
+    runs = met.select("key", "size", "text_crc32", "shard", (F.col("slot0") + first - F.col("lo")).alias("slot0"), (F.least(F.col("rank") + F.col("n"), F.col("hi")) - first).alias("n"))
+    runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {RUN}"))))
+    last = F.least(F.lit(RUN).cast("long"), F.col("n") - F.col("run") * RUN).cast("int")
+    rows = runs.withColumn("at", F.explode(F.sequence(F.lit(0), last - 1)))
+    return rows.select(F.col("key").alias(key_col), "size", "text_crc32", "shard", (F.col("slot0") + F.col("run") * RUN + F.col("at")).cast("long").alias("slot"))

@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evistrata.llm.exact_dedup import digest
 from evistrata.llm.html_extract import STOP_WORDS
-from evistrata.llm.shared import materialize, small_batches
+from evistrata.llm.shared import materialize, small_batches, spare_names
 
 #: Titles that show a person's gender; the capitalised words after one are a name.
 TITLES = {
@@ -39,14 +40,19 @@ _PATTERNS = (
     ("key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"),
+    ("ip6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-])"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|0[1-9](?:[ .]\d{2}){4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"),
     ("name", r"\b(?P<title>" + "|".join(sorted(_GENDER, key=lambda t: (-len(t), t))) + r")\.? (?P<person>(?:U\. ?|U (?=U)){0,3}U\w+(?:[ -](?:U\. ?|U (?=U)){0,2}U\w+){0,2})".replace("U", _UPPER)),
 )
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS))
 #: A text without any of these has nothing to find.
-_MAY = re.compile(r"@|\d[\d .()-]{5}|AKIA|ASIA|\b(?:" + "|".join(_GENDER) + r")\b")
+_MAY = re.compile(r"@|\d[\d .()-]{5}|AKIA|ASIA|[0-9A-Fa-f]:[0-9A-Fa-f]|\b(?:" + "|".join(_GENDER) + r")\b")
+#: The same for the JVM, which may find more texts: only these are joined with their surrogates.
+_MAY_SQL = r"@|\p{Nd}[\p{Nd} .()-]{5}|AKIA|ASIA|[0-9A-Fa-f]:[0-9A-Fa-f]|" + "|".join(_GENDER)
+#: Attempts after which a surrogate may grow by one more character.
+WIDEN = 6
 _VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
 _CONSONANTS = {"latin": "bcdfghklmnprstvz", "cyrillic": "бвгдзклмнпрст", "greek": "βγδζκλμνπρστ"}
 
@@ -57,6 +63,11 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def iban_digits(country: str, body: str) -> str:
+    """The two check digits that make an account number valid: the whole, read as a number, leaves 1 modulo 97."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country) + '00') % 97:02d}"
+
+
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of all entities of a whole text, in order."""
     if not text or not _MAY.search(text):
@@ -139,7 +150,7 @@ def _linked(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int
 
 def canonical(kind: str, value: str, title: str | None = None) -> str:
     """What all ways to write one entity have in common; '' if the value fails its type's check."""
-    if kind == "email":
+    if kind in ("email", "ip6"):
         return value.lower()
     if kind == "card":
         digits = re.sub(r"\D", "", value)
@@ -178,11 +189,12 @@ def _script(word: str) -> str:
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """Canonical form of the replacement; the same for the same arguments."""
     d = _Draw(key, kind, value, attempt)
+    longer = attempt // WIDEN  # where short forms run out, names and mailboxes grow
     if kind == "ip":
         return ".".join(str(1 + d.below(254)) for _ in range(4))
     if kind == "email":
         local, _, domain = value.partition("@")
-        return f"{d.like(local)}@{domain}"
+        return f"{d.like(local)}{''.join(chr(97 + d.below(26)) for _ in range(longer))}@{domain}"
     if kind == "card":
         body = value[0] + d.like(value[1:-1])
         return body + (luhn_digit(body) if luhn_digit(value[:-1]) == value[-1] else d.like(value[-1]))
@@ -191,13 +203,16 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "phone":  # the country code and the exchange tell the type
         return value[:1] + d.like(value[1:]) if len(value) <= 10 else value[:-10] + d.like(value[-10:])
     if kind == "iban":
-        return value[:2] + d.like(value[2:])
+        body = d.like(value[4:])
+        return f"{value[:2]}{iban_digits(value[:2], body)}{body}"
+    if kind == "ip6":
+        return "".join("0123456789abcdef"[d.below(16)] if c != ":" else c for c in value)
     if kind == "name":
         gender, _, words = value.partition(":")
         out = []
         for i, w in enumerate(words.split(" ")):
             script = _script(w)
-            n = max(3, len(w))
+            n = max(3, len(w)) + longer
             name = "".join((_CONSONANTS if j % 2 == 0 else _VOWELS)[script][d.below(len((_CONSONANTS if j % 2 == 0 else _VOWELS)[script]))] for j in range(n))
             if i == 0:  # a given name ends as most of its gender do
                 name = name[:-1] + (_VOWELS[script][0] if gender == "f" else _CONSONANTS[script][d.below(len(_CONSONANTS[script]))])
@@ -235,17 +250,17 @@ def _cased(word: str, like: str) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """``row_key, start, stop, kind, value, written``: every entity of every text."""
+    """``text_key, start, stop, kind, value, written``: every entity of every distinct text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, s, e, kind, v, t[s:e]) for k, t in zip(b["row_key"], b["text"], strict=True) if isinstance(t, str) for s, e, kind, v in find(t)]
-            yield pd.DataFrame(rows, columns=["row_key", "start", "stop", "kind", "value", "written"])
+            rows = [(k, s, e, kind, v, t[s:e]) for k, t in zip(b["text_key"], b["text"], strict=True) if isinstance(t, str) for s, e, kind, v in find(t)]
+            yield pd.DataFrame(rows, columns=["text_key", "start", "stop", "kind", "value", "written"])
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInPandas(run, "row_key bigint, start int, stop int, kind string, value string, written string").distinct()
+    return docs.select(digest("text").alias("text_key"), "text").mapInPandas(run, "text_key string, start int, stop int, kind string, value string, written string").distinct()
 
 
-def name_surrogates(entities: DataFrame, key: bytes, most_rounds: int = 50) -> DataFrame:
+def name_surrogates(entities: DataFrame, key: bytes, most_rounds: int = 200) -> DataFrame:
     """``kind, value, surrogate`` with distinct surrogates of which none is a value of ``entities``."""
 
     def draw(attempt: int):
@@ -278,10 +293,12 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     column of ``docs`` called ``n_entities`` is replaced.
     """
     small_batches(docs.sparkSession)
-    spans = materialize(detect(docs), "pii-spans")
+    may = F.coalesce(F.col("text").rlike(_MAY_SQL), F.lit(False))
+    spans = materialize(detect(docs.filter(may)), "pii-spans")
     names = name_surrogates(spans, key)
-    placed = spans.join(names, ["kind", "value"]).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind", "value", "written", "surrogate"))).alias("places"))
-    placed = materialize(placed, "pii-places")
+    text_key, places = spare_names(docs, "pii_text_key", "pii_places")
+    placed = spans.join(names, ["kind", "value"]).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind", "value", "written", "surrogate"))).alias(places))
+    placed = materialize(placed.withColumnRenamed("text_key", text_key), "pii-places")
 
     @F.pandas_udf("string")
     def splice(texts: pd.Series, places: pd.Series) -> pd.Series:
@@ -297,8 +314,10 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
             out.append("".join(parts) + t[at:])
         return pd.Series(out, dtype=object)
 
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(placed.withColumnRenamed("row_key", "_row_key").hint("merge"), "_row_key", "left")
-    changed = F.when(F.col("places").isNull(), F.col("text")).otherwise(splice("text", "places"))
-    kept = [c for c in docs.columns if c not in ("text", "n_entities")]
-    return joined.select(*kept, changed.alias("text"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_entities")).withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long")))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_entities")]
+    # a text in which nothing can be found needs no join
+    plain = docs.filter(~may).select(*kept, F.col("text"), F.lit(0).cast("long").alias("n_entities"))
+    joined = docs.filter(may).withColumn(text_key, digest("text")).join(placed.hint("merge"), text_key, "left")
+    changed = F.when(F.col(places).isNull(), F.col("text")).otherwise(splice("text", F.col(places)))
+    found = joined.select(*kept, changed.alias("text"), F.greatest(F.coalesce(F.size(places), F.lit(0)), F.lit(0)).cast("long").alias("n_entities"))
+    return plain.unionByName(found)

@@ -21,6 +21,8 @@ from evistrata.llm.shared import small_batches
 
 #: First pass: most share of linked characters; characters below which a block is short, above which long; densities.
 MAX_LINKS = 0.33
+#: The same for short blocks of a marked article, where one link can be most of a sentence.
+SHORT_LINKS = 0.5
 SHORT, LONG = 80, 200
 STOP_LOW, STOP_HIGH = 0.12, 0.22
 #: Second pass: a heading is judged by what follows within this many characters.
@@ -36,6 +38,8 @@ STOP_WORDS = frozenset(
 
 _BLOCK = frozenset("address article aside blockquote body br button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "object", "math", "title")
+#: Of these, an element that closes itself has no content.
+_FOREIGN = ("svg", "math")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _AWAY = frozenset("nav footer aside form menu dialog button head".split())
 _MAIN = frozenset(("article", "main"))
@@ -153,7 +157,7 @@ def blocks(html: str) -> list[Block]:
         if not tag:
             continue
         if tag in _RAW_END:
-            if not closing:
+            if not closing and not (tag in _FOREIGN and attributes.rstrip().endswith("/")):
                 end = _RAW_END[tag].search(html, at)
                 at = end.end() if end else len(html)
                 parts.append(" ")
@@ -193,7 +197,7 @@ def blocks(html: str) -> list[Block]:
 
 def _frame(b: Block) -> bool:
     """Whether markup, links or a copyright line make a block none of the text, however it is worded."""
-    return b.away or b.linked > MAX_LINKS * len(b.text) or b.text.startswith("©") and len(b.text) < LONG or b.text.startswith("Copyright") and len(b.text) < SHORT and not b.heading
+    return b.away or b.linked > (SHORT_LINKS if b.region and len(b.text) < SHORT and not b.heading else MAX_LINKS) * len(b.text) or b.text.startswith("©") and len(b.text) < LONG or b.text.startswith("Copyright") and len(b.text) < SHORT and not b.heading
 
 
 def first_pass(b: Block) -> str:

@@ -166,3 +166,16 @@ def test_parts_of_a_name_are_one_person(spark):
     assert got.startswith(f"Mr {given} {family} met Mr {given[0]}. {family}. Mr {family} left; {family}, {family.upper()} and {given} {family}'s dog too.")
     two = "Mr Adam Smith and Mr John Smith. Mr Smith spoke. Mr. J.R. Miller"
     assert [v for *_, v in surrogates.find(two)] == ["m:adam smith", "m:john smith", "m:john smith", "m:j r miller"]
+
+
+def test_article_text_is_not_lost():
+    said = "This is a paragraph of the article and it has many of the usual words in it so that it is clearly a part of the main text of the page, as it should be."
+    page = lambda body: html_extract.main_text(f"<html><body>{body}</body></html>")
+    for name in ("post legal-analysis", "search-engines"):
+        assert page(f'<article class="{name}"><p>{said}</p></article>') == said
+    law = "Copyright law in the EU is a field that has grown in the last years and it is a subject of many of the debates, as the text of the law shows in its detail."
+    assert page(f"<article><p>{said}</p><p>{law}</p></article>") == f"{said} {law}"
+    assert page(f"<article><p>{said}</p><p>See <a href=x>the report</a> for details.</p><p>{said}</p></article>") == f"{said} See the report for details. {said}"
+    assert page(f'<article><p>{said}</p><svg class="i" /><p>two {said}</p></article>') == f"{said} two {said}"
+    unspaced = "\u8fd9\u662f\u4e00\u4e2a\u5173\u4e8e\u7ecf\u6d4e\u53d1\u5c55\u7684\u6587\u7ae0" * 20
+    assert page(f"<div><p>{unspaced}</p><p>{unspaced}</p></div>") == f"{unspaced} {unspaced}"

@@ -33,9 +33,9 @@ from evistrata.llm.shingles import mix64, shingle_sets
 WORDS = 4
 PERCENT = 85
 #: Bounds of the count table (powers of two; one byte for each slot is broadcast) and bytes of text for each slot.
-LEAST_BITS, MOST_BITS, SLOT_BYTES = 16, 26, 256
+LEAST_BITS, MOST_BITS, SLOT_BYTES = 16, 26, 2048
 #: Slots that a task counts before it hands its counts on; bounds its memory.
-PARTIAL = 1 << 20
+PARTIAL = 1 << 22
 #: Longest posting list whose pairs are listed one by one.
 SHORT_LIST = 32
 #: A block of a cluster holds about this many shingles, each set counting 256 more.

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -73,15 +74,52 @@ def uniform(*cols):
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) * F.lit(2.0**-53)
 
 
+#: Edges that a task contracts at once; bounds its memory.
+CONTRACT = 200_000
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """``edges`` (``a, b``) as stars: what a task can connect by itself is tied to its least node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+        seen, schema = 0, None
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def told() -> pa.RecordBatch:
+            pairs = [(x, root(x)) for x in list(up)]
+            tied = [(x, r) for x, r in pairs if x != r]
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array([t[i] for t in tied], schema.field(i).type) for i in (0, 1)], schema=schema)
+
+        for b in batches:
+            schema = b.schema
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                up[max(x, y)] = min(x, y)
+            seen += b.num_rows
+            if seen >= CONTRACT:
+                yield told()
+                seen = 0
+        if schema is not None:
+            yield told()
+
+    return edges.mapInArrow(run, edges.schema)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
-    ``edges`` has columns ``a``, ``b`` (comparable). Returns ``node``, ``component``.
-    Alternates large-star and small-star steps; every round is written to the shared folder, so
-    lineage stays short. Rounds grow with the logarithm of the longest path.
+    ``edges`` has columns ``a``, ``b`` (comparable, not null). Returns ``node``, ``component``.
+    Tasks contract their own edges to stars, then large-star and small-star steps alternate; every round
+    is written to the shared folder, so lineage stays short. Rounds grow with the logarithm of the longest path.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = materialize(edges.select("a", "b").filter("a <> b").distinct(), "cc")
+    now = materialize(_contracted(edges.select("a", "b").filter("a <> b")), "cc")
     state = None
     for _ in range(max_rounds):
         # large star: every neighbour above a node is tied to the least node around it
@@ -89,7 +127,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = near.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its smaller neighbours are tied to the least of them
-        down = large.filter("a > b").distinct()
+        down = large.filter("a > b").repartition("a").dropDuplicates(["a", "b"])
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         now = materialize(small.filter("a <> b").distinct(), "cc")

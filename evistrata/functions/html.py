@@ -32,7 +32,7 @@ class _Page(HTMLParser):
             self.lang = a.get("lang") or None
         elif tag == "meta":
             name = (a.get("name") or a.get("property") or "").lower()
-            if name == "robots":
+            if name in ("robots", "googlebot"):
                 self.robots |= {x.strip() for x in a.get("content", "").lower().split(",")}
             elif name:
                 self.meta.setdefault(name, a.get("content", ""))
@@ -50,7 +50,7 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-        elif not self.depth:
+        if not self.depth:
             self.text.append(data)
 
 
@@ -62,7 +62,7 @@ def parse(html: str | None) -> _Page:
 
 
 def visible(html: str | None, most: int | None = None) -> dict:
-    """Title, language, visible text and whether robots may index or archive the page."""
+    """Title, language, visible text (the title is its beginning) and whether robots may index or archive the page."""
     p = parse(html)
     text = " ".join(" ".join(p.text).split())
     return {"title": " ".join("".join(p.title).split()) or None, "lang": p.lang, "text": text[:most], "noindex": "noindex" in p.robots, "noarchive": "noarchive" in p.robots}

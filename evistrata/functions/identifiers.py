@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evistrata.functions.text import canonical_url
+
 
 def _bare(value: Column) -> Column:
     return F.regexp_replace(F.upper(F.trim(value)), "[^A-Z0-9]+", "")
@@ -124,3 +129,55 @@ def hmac_sha256(key: bytes, value: Column) -> Column:
     block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = (F.unhex(F.lit(bytes(b ^ x for b in block).hex())) for x in (0x36, 0x5C))
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(value, "UTF-8")), 256))), 256)
+
+
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Ranges that are not public: this network, private, shared, loopback, link-local, tests, multicast, reserved.
+_NOT_PUBLIC = (
+    r"^(0|10|127)\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.168\.|^192\.0\.[02]\.|^198\.(1[89]|51\.100)\.|^203\.0\.113\.|^(22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
+)
+
+
+def ipv4(value: Column) -> Column:
+    """A public IPv4 address."""
+    v = F.trim(value)
+    return F.when(v.rlike(rf"^({_OCTET}\.){{3}}{_OCTET}$") & ~v.rlike(_NOT_PUBLIC), v)
+
+
+def ipv6(value: Column) -> Column:
+    """A public IPv6 address in its shortest form, in Arrow batches; the JVM has no function for it."""
+
+    @F.pandas_udf("string")
+    def short(values: pd.Series) -> pd.Series:
+        return values.map(_short_ipv6, na_action=None)
+
+    return short(value)
+
+
+def _short_ipv6(value: str | None) -> str | None:
+    try:
+        address = ipaddress.IPv6Address((value or "").strip())
+    except ValueError:
+        return None
+    return address.compressed.lower() if address.is_global and not address.is_multicast else None
+
+
+def indicator(kind: Column, value: Column) -> Column:
+    """An indicator's comparable form by its kind; null if it is invalid."""
+    return (
+        F.when(kind == "ipv4", ipv4(value)).when(kind == "ipv6", ipv6(value)).when(kind == "domain", domain(value)).when(kind == "url", canonical_url(value)).when(kind == "file_hash", hash_key(value))
+        .when(kind == "certificate_fingerprint", hash_key(value, True)).when(kind == "email_address", email(value))
+    )
+
+
+def asset(kind: Column, value: Column) -> Column:
+    """An asset's comparable form by its kind; null if it is invalid."""
+    return (
+        F.when(kind.isin("domain", "hostname"), domain(value)).when(kind == "ipv4", ipv4(value)).when(kind == "ipv6", ipv6(value)).when(kind == "certificate", fingerprint(value))
+        .when(kind == "asn", asn(value)).when(kind == "cloud_resource", cloud_resource(value))
+    )
+
+
+def row_digest(*columns: str) -> Column:
+    """SHA-256 of the columns as JSON with sorted keys: equal rows have equal digests, a null is told from a missing value."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,20 +38,22 @@ JOB_TERMS = (
 
 def matched_terms(text: Column, terms) -> Column:
     """The terms that the lower-cased text contains anywhere, in the given order."""
-    low = F.lower(text)
-    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))
+    low = F.lower(text)  # plain expressions, so that it is lowered once for all terms in generated code
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms]))
 
 
 def service_families(text: Column) -> Column:
     """Array of (family, number of matched terms, confidence) for families with a match."""
-    found = [F.struct(F.lit(f).alias("family"), F.size(matched_terms(text, t)).alias("n")) for f, t in SERVICE_TERMS.items()]
+    low = F.lower(text)
+    count = lambda terms: reduce(lambda a, b: a + b, [F.coalesce(F.contains(low, F.lit(t)).cast("int"), F.lit(0)) for t in terms])
+    found = [F.struct(F.lit(f).alias("family"), count(t).alias("n")) for f, t in SERVICE_TERMS.items()]
     some = F.filter(F.array(*found), lambda x: x["n"] > 0)
     return F.transform(some, lambda x: F.struct(x["family"].alias("family"), x["n"].alias("n"), F.least(F.lit(0.95), 0.72 + 0.06 * x["n"]).alias("confidence")))
 
 
 def cyber_terms(text: Column) -> Column:
     """All matched terms once, by family in order, then the generic ones."""
-    return F.array_distinct(F.concat(*[matched_terms(text, t) for t in SERVICE_TERMS.values()], matched_terms(text, GENERIC_TERMS)))
+    return matched_terms(text, dict.fromkeys([t for terms in SERVICE_TERMS.values() for t in terms] + list(GENERIC_TERMS)))
 
 
 def spaced_name(name: Column) -> Column:
@@ -93,3 +97,24 @@ def credential_marker(text: Column) -> Column:
     """Whether the text shows a private key, an access key or a token."""
     # fixed values: the four patterns
     return text.rlike(r"-----BEGIN [A-Z ]*PRIVATE KEY-----|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}")
+
+
+def relevant(*texts: Column) -> Column:
+    """Whether any service or generic term occurs in the texts."""
+    return F.size(cyber_terms(F.concat_ws(" ", *texts))) > 0
+
+
+def same_origin(first: Column, second: Column) -> Column:
+    """Whether two addresses have the scheme, host and port in common; case and a default port do not count."""
+    base = lambda v: F.regexp_extract(canonical_url(v), r"^(https?://[^/?#]+)", 1)
+    return F.coalesce((base(first) == base(second)) & (base(first) != ""), F.lit(False))
+
+
+def version_text(value: Column) -> Column:
+    """Version in lower case without surrounding space and without a ``v`` before its number."""
+    return F.nullif(F.regexp_replace(F.lower(F.trim(value)), "^v(?=[0-9])", ""), F.lit(""))
+
+
+def identifier_set(values: Column) -> Column:
+    """Sorted distinct identifiers with single spaces, in lower case; blank ones left out."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(values, spaced_name), lambda v: v != "")))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evistrata.operators.reconcile import every, some
 
 RESEARCH_ONLY = "research_only_weak_signal"
-# Caps and weights of the confidence, freshness steps in days, time to live in days by horizon.
+# Caps and weights of the confidence, freshness steps in days, time to live in days by horizon,
+# and below them the classes by urgency and the terms of tenders and of job postings.
 WEAK_CAP, HISTORICAL_CAP, RESEARCH_CAP = 0.58, 0.45, 0.40
 CONTRADICTION, NEGATIVE = 0.40, 0.30
 FRESHNESS = ((30, 1.0), (90, 0.9), (180, 0.75), (365, 0.55))
@@ -96,39 +99,47 @@ def contributions(signals: DataFrame, as_of: Column) -> DataFrame:
 
 def has_term(text: Column, terms) -> Column:
     """Whether the lower-cased text contains one of the terms, anywhere."""
-    return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(text), t))
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in terms])
 
 
 def buying_intent(signals: DataFrame, as_of: Column, window_days: int = 90, ttl_days: int = 30) -> DataFrame:
     """Opportunity scores per organization from recent tenders and job postings, with their components.
 
-    ``components`` is an array of (rule, value, weight); ``score`` their weighted sum within 0..100.
+    A signal counts if its title, summary or matched terms contain a term of its kind. ``components`` is an
+    array of (rule, value, weight, kind); ``score`` is their weighted sum within 0..100, penalties taken away.
     """
     tender, job = F.col("signal_type") == "public_tender", F.col("signal_type") == "job_posting"
     recent = signals.filter((F.col("effective_at") >= as_of - F.make_dt_interval(F.lit(window_days))) & F.coalesce(F.col("expires_at") > as_of, F.lit(True)))
-    matched = recent.filter(F.when(tender, has_term(F.col("title"), TENDER_TERMS)).otherwise(has_term(F.col("title"), JOB_TERMS)))
+    said = F.concat_ws(" ", "title", "summary", F.concat_ws(" ", "matched_terms"))
+    matched = recent.filter(F.when(tender, has_term(said, TENDER_TERMS)).otherwise(has_term(said, JOB_TERMS)))
     per = matched.groupBy("organization_id").agg(
         F.count(F.when(tender, 1)).alias("tenders"), F.count(F.when(job, 1)).alias("jobs"), F.max("effective_at").alias("last_evidence_at"), F.avg("confidence").alias("confidence"), F.count_distinct("evidence_id").alias("evidence"), F.count("*").alias("signals")
     )
     both = (F.col("tenders") > 0) & (F.col("jobs") > 0)
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     fresh = F.greatest(F.lit(0.0), 1.0 - age_days("last_evidence_at", as_of) / window_days)
-    # fixed values: the rules of the score with their weights; the last one takes points away
+    # fixed values: the rules of the score with their weights
     rules = (
         ("public-tender-intent", one(F.col("tenders") > 0), 45.0), ("security-operations-hiring", F.least(F.col("jobs") / 3.0, F.lit(1.0)), 25.0), ("cross-source-corroboration", one(both), 15.0),
-        ("signal-freshness", fresh, 10.0), ("source-confidence", F.col("confidence"), 5.0), ("single-evidence-penalty", F.when(F.col("evidence") == 1, 0.25).otherwise(0.0), -20.0),
+        ("signal-freshness", F.round(fresh, 6), 10.0), ("evidence-confidence", F.round("confidence", 6), 5.0), ("single-source-penalty", F.when(F.col("evidence") == 1, 0.25).otherwise(0.0), 20.0),
     )
-    parts = F.array(*[F.struct(F.lit(r).alias("rule"), v.alias("value"), F.lit(w).alias("weight")) for r, v, w in rules])
-    scored = per.withColumn("components", parts).withColumn("raw_score", F.aggregate("components", F.lit(0.0), lambda s, c: s + c["value"] * c["weight"]))
+    parts = F.array(*[F.struct(F.lit(r).alias("rule"), v.alias("value"), F.lit(w).alias("weight"), F.lit("penalty" if r.endswith("penalty") else "reward").alias("kind")) for r, v, w in rules])
+    scored = per.withColumn("components", parts).withColumn("raw_score", F.aggregate("components", F.lit(0.0), lambda s, c: s + signed(c["value"] * c["weight"], c["kind"])))
     quality = F.when(both & (F.col("evidence") >= 2), "complete").otherwise("partial")
     return scored.withColumns({"score": clamp(F.col("raw_score"), 0.0, 100.0), "data_quality": quality, "expires_at": as_of + F.make_dt_interval(F.lit(ttl_days))})
 
 
+def signed(amount: Column, kind: Column) -> Column:
+    """What a component adds: penalties are taken away."""
+    return F.when(kind == "penalty", -amount).otherwise(amount)
+
+
 def override(components: DataFrame, overrides: DataFrame) -> DataFrame:
     """Scores after analysts replaced values of rules; ``components`` is one row per (organization, rule)."""
     o = overrides.select("organization_id", "rule", F.col("value").alias("analyst_value"))
     merged = components.join(o, ["organization_id", "rule"], "left").withColumn("used", F.coalesce("analyst_value", "value"))
-    return merged.groupBy("organization_id").agg(clamp(F.sum(F.col("used") * F.col("weight")), 0.0, 100.0).alias("score"), F.count("analyst_value").alias("overridden"))
+    return merged.groupBy("organization_id").agg(clamp(F.sum(signed(F.col("used") * F.col("weight"), F.col("kind"))), 0.0, 100.0).alias("score"), F.count("analyst_value").alias("overridden"))
 
 
 def rank_sources(options: DataFrame) -> DataFrame:

@@ -69,8 +69,21 @@ VIEWS: dict[str, str] = {
                event_id % 10 = 0 AS is_explicit, event_id % 6 = 0 AS historical_only,
                CASE event_id % 3 WHEN 0 THEN ['incident_urgency', 'external_exposure'] WHEN 1 THEN ['explicit_procurement'] ELSE ['capability_build'] END AS hypothesis_classes,
                CASE event_id % 4 WHEN 0 THEN ['siem', 'soc'] WHEN 1 THEN ['iam'] WHEN 2 THEN ['audit'] ELSE ['siem'] END AS service_families,
-               CASE event_id % 5 WHEN 0 THEN 'Managed SIEM renewal' WHEN 1 THEN 'SOC analyst wanted' WHEN 2 THEN 'Splunk engineer' WHEN 3 THEN 'Office chairs' ELSE 'xdr and log management' END AS title
+               CASE event_id % 5 WHEN 0 THEN 'Managed SIEM renewal' WHEN 1 THEN 'SOC analyst wanted' WHEN 2 THEN 'Splunk engineer' WHEN 3 THEN 'Office chairs' ELSE 'xdr and log management' END AS title,
+               CASE event_id % 7 WHEN 0 THEN 'needs log management' WHEN 1 THEN 'security operations team' ELSE 'note' END AS summary, CASE WHEN event_id % 9 = 0 THEN ['mdr'] ELSE ['none'] END AS matched_terms
         FROM {events}""",
+    "v_vulnerability": """
+        SELECT event_id AS snapshot_id, 's' || (event_id // 2 % 4) AS source, 'r' || (event_id // 2) AS source_record_key, event_id // 2 % 4 AS source_precedence,
+               CASE WHEN event_id % 3 = 0 THEN 'CVE-2024-' || (event_id // 7) ELSE 'GHSA-' || (event_id // 5) END AS canonical_id, CASE WHEN event_id % 6 = 0 THEN 'GHSA-' || (event_id // 5) END AS alias,
+               CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'title ' || event_id END AS title, CASE WHEN event_id % 4 = 0 THEN 'text ' || (user_id % 30) END AS description,
+               CASE event_type WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'withdrawn' WHEN 'click' THEN 'updated' ELSE 'published' END AS status, ts AS modified_at, ts - to_days(cast(event_id % 30 AS int)) AS published_at,
+               'CWE-' || (user_id % 20) AS cwe, CASE WHEN event_id % 2 = 0 THEN 'epss' ELSE 'cvss_v3' END AS score_system, (event_id % 100) / 10.0::double AS score_value, ts AS assessed_at,
+               'eco' || (user_id % 2) AS ecosystem, CASE WHEN event_id % 2 = 0 THEN 'Prod' ELSE 'prod' END || (user_id % 5) AS product, '1.' || (event_id % 3) AS introduced, '2.' || (event_id % 2) AS fixed,
+               CASE event_id % 3 WHEN 0 THEN 'proof_of_concept' ELSE 'known_exploited' END AS kind, event_id % 5 = 0 AS kind_active, least(1.0::double, value / 250.0::double) AS kind_confidence
+        FROM {events}""",
+    "v_person": """
+        SELECT event_id AS snapshot_id, 'p' || (user_id % 200) AS person_key, 'Name ' || (event_id % 40) AS display_name, 's' || (event_id % 3) AS source_id, least(1.0::double, value / 250.0::double) AS confidence,
+               event_id % 31 = 0 AS suppressed, event_id % 37 = 0 AS deleted, ts AS observed_at, ts + to_days(cast(event_id % 60 AS int)) AS retention_until FROM {events}""",
     "v_outcome": "SELECT doc_id AS outcome_id, least(100.0::double, n_chars / 50.0::double) AS score, quality = 1 AND toxic = 0 AS accepted, toxic = 1 AS false_positive, (doc_id % 7) * 1.5::double AS cost, n_chars AS latency FROM {labels} JOIN {documents} USING (doc_id)",
     "v_run": "SELECT user_id AS source_id, ts AS run_at, event_id, cast(floor(value) AS bigint) AS records, 'f' || (event_id % 37 // 36) AS fingerprint, CASE WHEN event_id % 23 = 0 THEN 0.2::double ELSE 0.9::double END AS population FROM {events}",
     "v_contract": "SELECT o_orderkey AS contract_id, o_custkey AS buyer_id, c_name AS buyer_name, n_name AS country, o_totalprice AS amount, CASE o_orderstatus WHEN 'F' THEN 'ended' WHEN 'O' THEN 'open' ELSE 'planned' END AS status, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate + to_days(cast(o_orderkey % 700 AS int)) END AS renewal_at, o_orderdate AS published_at, o_orderpriority AS family FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey",

@@ -8,33 +8,68 @@ from pyspark.sql import functions as F
 UNCOMPARABLE = ("rpm", "deb", "unknown")
 
 
-def version_key(version: str | Column, width: int = 12) -> Column:
-    """Array of (is word, number, word) that orders versions; missing tokens count as the number 0.
-
-    Tokens are runs of digits or of letters after a leading ``v``; a number sorts after a word.
-    """
+def version_tokens(version: str | Column) -> Column:
+    """Array of (is number, number, word): runs of digits or of letters after a leading ``v``; null without any."""
     text = F.lower(F.trim(F.col(version) if isinstance(version, str) else version))
     tokens = F.regexp_extract_all(F.regexp_replace(text, "^v(?=[0-9])", ""), F.lit("([0-9]+|[a-z]+)"), F.lit(1))
     struct = lambda t: F.struct(t.rlike("^[0-9]").alias("number"), F.when(t.rlike("^[0-9]"), t).cast("decimal(38,0)").alias("value"), F.when(~t.rlike("^[0-9]"), t).alias("word"))
+    return F.when(F.size(tokens) > 0, F.transform(tokens, struct))
+
+
+def _padded(tokens: Column, width: Column) -> Column:
+    """Missing tokens count as the number 0."""
     zero = F.struct(F.lit(True).alias("number"), F.lit(0).cast("decimal(38,0)").alias("value"), F.lit(None).cast("string").alias("word"))
-    found = F.transform(tokens, struct)
-    return F.when(F.size(tokens) > 0, F.concat(found, F.array_repeat(zero, F.greatest(F.lit(0), F.lit(width) - F.size(tokens)))))
+    return F.concat(tokens, F.array_repeat(zero, F.greatest(F.lit(0), width - F.size(tokens))))
+
+
+def version_key(version: str | Column, width: int = 12) -> Column:
+    """A value that orders versions of up to ``width`` tokens; a number sorts after a word."""
+    return _padded(version_tokens(version), F.lit(width))
+
+
+def compared(left: Column, right: Column, left_tokens: Column, right_tokens: Column, scheme: Column) -> Column:
+    """-1, 0 or 1 by the order of two versions of any length; null where the scheme has none, unless the texts are equal."""
+    width = F.greatest(F.size(left_tokens), F.size(right_tokens))
+    a, b = _padded(left_tokens, width), _padded(right_tokens, width)
+    order = F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+    return F.when(F.lower(F.trim(left)) == F.lower(F.trim(right)), 0).when(~scheme.isin(*UNCOMPARABLE), order)
+
+
+#: Attributes of a product that a range may ask for beside vendor and product.
+ATTRIBUTES = ("component", "edition", "ecosystem", "platform")
 
 
 def assess(technologies: DataFrame, ranges: DataFrame) -> DataFrame:
     """One row per (technology, vulnerability of the same product) with state and confidence.
 
-    An equi-join on vendor and product; ranges with a platform match only that platform. The first range
-    that applies decides, else the first that can't be compared, else the product is not affected.
+    An equi-join on vendor and product; what a range says of other attributes or identifiers must fit, what
+    it leaves open fits all. A version must lie in all bounds of a range: after ``introduced``, before ``fixed``
+    and ``limit`` (each with or without its end), up to ``last_affected``. The first range that applies
+    decides, else the first that can't be compared, else the product is not affected. Columns that a
+    table lacks count as null.
     """
-    t = technologies.select("technology_id", "vendor", "product", F.col("platform").alias("t_platform"), "version", "confidence", "expired", version_key("version").alias("vk"))
-    r = ranges.select("range_id", "vulnerability_id", "vendor", "product", "platform", "introduced_inclusive", "fixed_inclusive", "backported_fix", "scheme", version_key("introduced").alias("ik"), version_key("fixed").alias("fk"))
+    missing = lambda d, c, kind="string": F.col(c) if c in d.columns else F.lit(None).cast(kind)
+    t = technologies.select(
+        "technology_id", "vendor", "product", "version", "confidence", "expired", version_tokens("version").alias("vt"), missing(technologies, "identifiers", "array<string>").alias("t_identifiers"),
+        *[missing(technologies, c).alias(f"t_{c}") for c in ATTRIBUTES],
+    )
+    bounds = ("introduced", "fixed", "limit", "last_affected")
+    r = ranges.select(
+        "range_id", "vulnerability_id", "vendor", "product", "introduced_inclusive", "fixed_inclusive", "backported_fix", "scheme", missing(ranges, "identifiers", "array<string>").alias("identifiers"), *[missing(ranges, c).alias(c) for c in ATTRIBUTES],
+        *[missing(ranges, c).alias(c) for c in bounds], *[version_tokens(missing(ranges, c)).alias(f"{c}_t") for c in bounds],
+    )
     met = t.join(r, ["vendor", "product"])
-    fits = F.col("platform").isNull() | (F.col("platform") == F.col("t_platform"))
-    unknown = F.col("version").isNull() | F.col("backported_fix") | F.col("scheme").isin(*UNCOMPARABLE)
-    low = F.when(F.col("introduced_inclusive"), F.col("vk") >= F.col("ik")).otherwise(F.col("vk") > F.col("ik"))
-    high = F.when(F.col("fixed_inclusive"), F.col("vk") <= F.col("fk")).otherwise(F.col("vk") < F.col("fk"))
-    per = met.withColumns({"fits": fits, "unknown": unknown, "inside": ~unknown & low & high}).groupBy("technology_id", "vulnerability_id").agg(
+    fits = F.coalesce(F.size("identifiers") <= 0, F.lit(True)) | F.coalesce(F.arrays_overlap("identifiers", "t_identifiers"), F.lit(False))
+    for c in ATTRIBUTES:
+        fits = fits & (F.col(c).isNull() | F.coalesce(F.col(c) == F.col(f"t_{c}"), F.lit(False)))
+    met = met.withColumns({"fits": fits} | {f"c_{c}": compared(F.col("version"), F.col(c), F.col("vt"), F.col(f"{c}_t"), F.col("scheme")) for c in bounds})
+    inside, unknown = F.lit(True), F.col("version").isNull() | F.col("backported_fix")
+    for c in bounds:
+        at = F.col(f"c_{c}")
+        holds = {"introduced": F.when(F.col("introduced_inclusive"), at >= 0).otherwise(at > 0), "last_affected": at <= 0}.get(c, F.when(F.col("fixed_inclusive"), at <= 0).otherwise(at < 0))
+        inside = inside & (F.col(c).isNull() | F.coalesce(holds, F.lit(False)))
+        unknown = unknown | (F.col(c).isNotNull() & at.isNull())
+    per = met.withColumns({"unknown": unknown, "inside": ~unknown & inside}).groupBy("technology_id", "vulnerability_id").agg(
         F.first("version").alias("version"), F.first("confidence").alias("confidence"), F.first("expired").alias("expired"), F.bool_or("fits").alias("fits"),
         F.min(F.when(F.col("fits") & F.col("inside"), F.col("range_id"))).alias("applies"), F.min(F.when(F.col("fits") & F.col("unknown"), F.col("range_id"))).alias("unsure"),
     )

@@ -141,7 +141,7 @@ def _key(v: str) -> str:
 
 
 @registered(f"""WITH t AS (SELECT *, CASE WHEN version IS NOT NULL THEN {_key('version')} END AS vk FROM v_technology), r AS (SELECT *, platform AS rp, {_key('introduced')} AS ik, {_key('fixed')} AS fk FROM v_range),
-    m AS (SELECT technology_id, vulnerability_id, version, confidence, expired, range_id, rp IS NULL OR rp = t.platform AS fits, version IS NULL OR backported_fix OR scheme = 'rpm' AS unsure,
+    m AS (SELECT technology_id, vulnerability_id, version, confidence, expired, range_id, rp IS NULL OR rp = t.platform AS fits, version IS NULL OR backported_fix OR (scheme = 'rpm' AND (lower(version) <> introduced OR lower(version) <> fixed)) AS unsure,
         CASE WHEN introduced_inclusive THEN vk >= ik ELSE vk > ik END AND CASE WHEN fixed_inclusive THEN vk <= fk ELSE vk < fk END AS inside FROM t JOIN r USING (vendor, product)),
     g AS (SELECT technology_id, vulnerability_id, any_value(version) AS version, any_value(confidence) AS confidence, any_value(expired) AS expired, bool_or(fits) AS fits, min(range_id) FILTER (fits AND NOT unsure AND inside) AS applies, min(range_id) FILTER (fits AND unsure) AS un FROM m GROUP BY 1, 2)
     SELECT technology_id, vulnerability_id, CASE WHEN expired THEN 'withdrawn' WHEN NOT fits THEN 'not_applicable' WHEN applies IS NOT NULL THEN 'applicable' WHEN un IS NOT NULL AND version IS NULL THEN 'unknown' WHEN un IS NOT NULL THEN 'review_required' ELSE 'not_applicable' END AS state,

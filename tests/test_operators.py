@@ -55,6 +55,22 @@ def test_components_match_union_find(spark):
     assert got == {i: root(i) for i in up}
 
 
+def test_ranges_ask_for_all_that_they_name(spark):
+    from evistrata.operators import applicability
+
+    technologies = spark.createDataFrame([(1, "v", "p", "1.0", 0.9, False, "linux", "ent", ["a"]), (2, "v", "p", ".".join(["1"] * 15) + ".3", 0.9, False, "linux", None, None)], "technology_id long, vendor string, product string, version string, confidence double, expired boolean, platform string, edition string, identifiers array<string>")
+    long_ = ".".join(["1"] * 15)
+    cases = [  # range, edition, scheme, introduced, fixed, limit, last affected, identifiers, states of the two
+        ("semver", None, None, None, None, "1.0", None, ("applicable", "not_applicable")), ("rpm", None, None, None, None, "1.0", None, ("applicable", "review_required")), ("deb", None, "0.9", None, None, None, None, ("review_required", "review_required")),
+        ("semver", "ent", "0.1", None, None, None, None, ("applicable", "not_applicable")), ("semver", None, f"{long_}.2", f"{long_}.4", None, None, None, ("not_applicable", "applicable")), ("semver", None, "0.1", None, "1.0", None, None, ("not_applicable", "not_applicable")),
+        ("semver", None, "0.1", None, None, None, ["a", "b"], ("applicable", "not_applicable")),
+    ]
+    rows = [(i, i, "v", "p", None, s, e, lo, fixed, limit, last, ids, True, False, False) for i, (s, e, lo, fixed, limit, last, ids, _) in enumerate(cases)]
+    ranges = spark.createDataFrame(rows, "range_id long, vulnerability_id long, vendor string, product string, platform string, scheme string, edition string, introduced string, fixed string, limit string, last_affected string, identifiers array<string>, introduced_inclusive boolean, fixed_inclusive boolean, backported_fix boolean")
+    got = {(r.vulnerability_id, r.technology_id): r.state for r in applicability.assess(technologies, ranges).collect()}
+    assert [(got[i, 1], got[i, 2]) for i in range(len(cases))] == [c[-1] for c in cases]
+
+
 def test_versions_order_numbers_after_words(spark):
     rows = spark.createDataFrame([(v,) for v in ("1.10", "1.9", "v1.9.1", "1.9rc1", "1.9.0", "2")], "v string")
     assert [r.v for r in rows.orderBy(version_key("v"), "v").collect()] == ["1.9rc1", "1.9", "1.9.0", "v1.9.1", "1.10", "2"]
@@ -147,10 +163,13 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     for i in range(3):
         events.filter(f"snapshot_id % 3 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    reconcile = lambda rows: revisions.latest_by(rows, RevisionSpec())
-    refresh.follow(stream, str(tmp_path / "h"), str(tmp_path / "p"), str(tmp_path / "c"), ["snapshot_id"], reconcile).awaitTermination(120)
-    last = max((p for p in (tmp_path / "p").iterdir()), key=lambda p: int(p.name.split("=")[1]))
-    assert sorted(r.snapshot_id for r in spark.read.parquet(str(last)).collect()) == sorted(r.snapshot_id for r in reconcile(events).collect())
+    reconcile = lambda rows: revisions.latest_by(rows, RevisionSpec(keys=("source_record_key",)))
+    refresh.follow(stream, str(tmp_path / "h"), str(tmp_path / "p"), str(tmp_path / "c"), ["snapshot_id"], "source_record_key", reconcile).awaitTermination(120)
+    now = refresh.current_projection(spark, str(tmp_path / "p"), "source_record_key")
+    assert sorted(r.snapshot_id for r in now.collect()) == sorted(r.snapshot_id for r in reconcile(events).collect())
+    assert spark.read.parquet(str(tmp_path / "h")).count() == events.count() and len([x for x in (tmp_path / "p").iterdir() if x.name.startswith("version")]) == 3
+    refresh.compact_projection(spark, str(tmp_path / "p"), str(tmp_path / "q"), "source_record_key")
+    assert refresh.current_projection(spark, str(tmp_path / "q"), "source_record_key").count() == now.count()
 
 
 def test_jobs(spark):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import re
 import zipfile
 from html.parser import HTMLParser
@@ -159,3 +160,87 @@ def zipped_csv(body: bytes, delimiter: str = ";", most_bytes: int = 500_000_000)
                 raise ValueError(f"refused archive member {i.filename}")
             rows += csv.DictReader(io.StringIO(z.read(i).decode("utf-8-sig")), delimiter=delimiter)
     return rows
+
+
+_TIMES = {"article:published_time": "published", "article:modified_time": "updated"}
+_SECRET = re.compile(r"pass|token|secret|api_?key|authorization|cookie|session", re.I)
+MOST_JOB_TEXT = 20_000
+
+
+class _Structured(HTMLParser):
+    """The bodies of scripts that hold linked data."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open, self.bodies = False, []
+
+    def handle_starttag(self, tag, attrs):
+        self.open = tag == "script" and (dict(attrs).get("type") or "").lower() in ("application/ld+json", "application/json")
+        if self.open:
+            self.bodies.append("")
+
+    def handle_endtag(self, tag):
+        self.open = self.open and tag != "script"
+
+    def handle_data(self, data):
+        if self.open:
+            self.bodies[-1] += data
+
+
+def _leaves(value, key: str = ""):
+    """(key, text) of all texts in a JSON value; what hangs on a key that names a secret is left out."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            if not _SECRET.search(k):
+                yield from _leaves(v, k)
+    elif isinstance(value, list):
+        for v in value:
+            yield from _leaves(v, key)
+    elif isinstance(value, str) and value.strip():
+        yield key, " ".join(value.split())
+
+
+def semantics(html: str | None) -> dict:
+    """What a page says of itself in meta elements and linked data: title, times, texts, number of records."""
+    meta = parse(html).meta
+    reader = _Structured()
+    reader.feed(html or "")
+    reader.close()
+    found = {"title": next((meta[k].strip() for k in ("og:title", "twitter:title") if meta.get(k, "").strip()), None), "published": None, "updated": None, "records": 0}
+    found |= {to: meta[k].strip() or None for k, to in _TIMES.items() if k in meta}
+    texts: dict[str, None] = {}
+    for body in reader.bodies:
+        try:
+            leaves = list(_leaves(json.loads(body)))
+        except ValueError:
+            continue
+        found["records"] += 1
+        texts |= dict.fromkeys(v for _, v in leaves)
+        for key, to in (("datePublished", "published"), ("dateModified", "updated")):
+            found[to] = found[to] or next((v for k, v in leaves if k == key), None)
+    return found | {"structured_text": " ".join(texts)}
+
+
+def job_text(html: str | None) -> str:
+    """Visible text of a job description, bounded."""
+    return " ".join(" ".join(parse(html).text).split())[:MOST_JOB_TEXT]
+
+
+def plain_text(body: bytes, most: int = 1_000_000) -> str | None:
+    """Text of a plain file with white space joined; null for binary content."""
+    return None if b"\0" in body[:4096] else " ".join(body[: 4 * most].decode("utf-8", "replace").split())[:most]
+
+
+OFFICE = tuple(f"application/vnd.openxmlformats-officedocument.{k}" for k in ("wordprocessingml.document", "spreadsheetml.sheet", "presentationml.presentation"))
+
+
+def public_content(mime: str | None, body: bytes) -> tuple[str | None, str | None]:
+    """(title, text) of a fetched body by its type; nulls for a type that has no reader."""
+    kind = (mime or "").partition(";")[0].strip().lower()
+    if kind == "text/html":
+        page = body.decode("utf-8", "replace")
+        seen = visible(page)
+        return semantics(page)["title"] or seen["title"], seen["text"]
+    if kind == "text/plain":
+        return None, plain_text(body)
+    return None, office_text(body) if kind in OFFICE else None

@@ -31,3 +31,16 @@ ORACLE_SQL["page_links"] = """
     u AS (SELECT page_id, i, regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_replace(replace(h, '&amp;', '&'), '#.*$', '') AS link FROM l),
     f AS (SELECT page_id, link, min(i) AS i FROM u GROUP BY ALL)
     SELECT page_id, cast(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS int) AS pos, link FROM f"""
+
+#: Visible text by patterns: these pages are written plainly, with three kinds of character references.
+ORACLE_SQL["page_texts"] = r"""
+    WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '<(?:script|SCRIPT)\b[^>]*>.*?</(?:script|SCRIPT)>', ' ', 'gs'), '<style\b[^>]*>.*?</style>', ' ', 'gs'), '<!--.*?-->', ' ', 'gs') AS h FROM pages),
+    s AS (SELECT page_id, html, regexp_replace(regexp_replace(h, '<noscript\b[^>]*>.*?</noscript>', ' ', 'gs'), '<[a-zA-Z/!][^>]*>', ' ', 'g') AS h FROM b),
+    t AS (SELECT page_id, html, replace(replace(replace(replace(h, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&') AS h FROM s)
+    SELECT page_id, nullif(trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang, false AS noindex,
+        length(trim(regexp_replace(h, '\s+', ' ', 'g'))) AS n_chars FROM t"""
+
+ORACLE_SQL["page_references"] = r"""
+    WITH f AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<(?:a|img|script|link|form|iframe|video|audio|source|embed)\b[^>]*?\s(?:href|src|action)="[^"]*"')) AS t FROM pages),
+    g AS (SELECT page_id, url, regexp_extract(t, '^<([a-z]+)', 1) AS kind, replace(regexp_extract(t, '"([^"]*)"$', 1), '&amp;', '&') AS h FROM f)
+    SELECT DISTINCT page_id, kind, CASE WHEN h LIKE 'http%' THEN h ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_replace(h, '#.*$', '') END AS target FROM g WHERE h LIKE '/%' OR h LIKE 'http%'"""

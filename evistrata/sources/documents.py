@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evistrata.functions import html
+from evistrata.functions import html, text
 
 
 def _exploded(rows: DataFrame, schema: str, columns: list[str], each) -> DataFrame:
@@ -84,3 +84,64 @@ def union_registries(parts: list[DataFrame], key: str = "source_id") -> DataFram
         out = out.unionByName(p, allowMissingColumns=True)
     twice = out.groupBy(key).count().filter("count > 1").select(key, F.lit("duplicate key").alias("violation"))
     return out.join(twice, key, "left")
+
+
+def page_semantics(pages: DataFrame) -> DataFrame:
+    """``page_id, title, published, updated, records, structured_text`` from meta elements and linked data."""
+    names = ("title", "published", "updated", "records", "structured_text")
+    each = lambda r: [(r.page_id, *(html.semantics(r.html)[k] for k in names))]
+    return _exploded(pages.select("page_id", "html"), "page_id long, title string, published string, updated string, records int, structured_text string", ["page_id", *names], each)
+
+
+def public_contents(fetched: DataFrame) -> DataFrame:
+    """``path, title, text`` of bodies ``path, mime, content, quarantined, tombstoned`` by their type; what is set aside or gone is not read."""
+    each = lambda r: [(r.path, *html.public_content(r.mime, bytes(r.content)))]
+    return _exploded(fetched.filter("not quarantined and not tombstoned").select("path", "mime", "content"), "path string, title string, text string", ["path", "title", "text"], each)
+
+
+def contact_files(files: DataFrame) -> DataFrame:
+    """``path, field, values`` of security contact files read as ``binaryFile``."""
+    each = lambda r: [(r.path, k, v) for k, v in html.contact_file(bytes(r.content).decode("utf-8", "replace"))]
+    return _exploded(files.select("path", "content"), "path string, field string, value string", ["path", "field", "value"], each).groupBy("path", "field").agg(F.array_sort(F.collect_list("value")).alias("values"))
+
+
+def job_texts(jobs: DataFrame) -> DataFrame:
+    """``jobs`` with the text of its column ``description``, which holds markup."""
+
+    @F.pandas_udf("string")
+    def to_text(values: pd.Series) -> pd.Series:
+        return values.map(html.job_text, na_action=None)
+
+    return jobs.withColumn("description", to_text("description"))
+
+
+#: A state that a page had when it was fetched, as the collector keeps it.
+STATE = "array<struct<kind:string,source_locator:string,payload_json:string,source_url:string,http_status:int,media_type:string,extractor_id:string>>"
+
+
+def structured_states(results: DataFrame) -> DataFrame:
+    """One row for each captured state of ``resource_version_id, organization_id, fetched_url, states`` (JSON text)."""
+    found = results.select("organization_id", "resource_version_id", F.col("fetched_url").alias("page_url"), F.inline_outer(F.from_json("states", STATE)))
+    return found.filter("kind is not null").withColumn("payload_hash", F.sha2("payload_json", 256))
+
+
+def response_references(responses: DataFrame) -> DataFrame:
+    """References that response headers make: ``page_id, kind, target`` of link, location and content policy headers (``headers map<string,string>``)."""
+    h = responses.select("page_id", F.explode("headers").alias("name", "value")).withColumn("name", F.lower("name"))
+    links = h.filter("name = 'link'").select("page_id", F.lit("header_link").alias("kind"), F.explode(F.regexp_extract_all("value", F.lit("<([^>]+)>"), F.lit(1))).alias("target"))
+    moved = h.filter("name in ('location', 'content-location')").select("page_id", F.col("name").alias("kind"), F.col("value").alias("target"))
+    policy = h.filter("name = 'content-security-policy'").select("page_id", F.lit("policy").alias("kind"), F.explode(F.regexp_extract_all("value", F.lit(r"(https?://[^\s;]+)"), F.lit(1))).alias("target"))
+    return links.unionByName(moved).unionByName(policy).distinct()
+
+
+def paged_rows(rows: DataFrame, order: str, offset: int, most: int) -> DataFrame:
+    """A page of an archive's rows in their order."""
+    return rows.orderBy(order).offset(offset).limit(most)
+
+
+def in_scope(links: DataFrame, hosts: list[str], most: int) -> DataFrame:
+    """The first ``most`` canonical links of each file (``path, pos, link``) to the given hosts, each once."""
+    shown = links.withColumn("link", text.canonical_url(F.col("link"))).filter(text.host_of(F.col("link")).isin(*hosts))
+    first = shown.groupBy("path", "link").agg(F.min("pos").alias("pos"))
+    w = Window.partitionBy("path").orderBy("pos")
+    return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("path", "pos", "link")

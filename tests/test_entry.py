@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import duckdb
 import pytest
 
@@ -21,10 +23,22 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module")
+def results(spark):
+    """All queries, several at a time: most of a small query's time is planning."""
+
+    def run(name):
+        df = entry.queries()[name](spark, SF)
+        return df.columns, df.collect()
+
+    with ThreadPoolExecutor(6) as pool:
+        yield {name: pool.submit(run, name) for name in OWN}
+
+
 @pytest.mark.parametrize("name", OWN)
-def test_query_matches_its_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
-    rows, cols = df.collect(), sorted(df.columns)
+def test_query_matches_its_sql(results, duck, name):
+    columns, rows = results[name].result()
+    cols = sorted(columns)
     if name not in entry.oracle_sql():
         assert rows
         return

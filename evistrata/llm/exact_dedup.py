@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from evistrata.llm.shared import materialize, shared_dir, spare_names
 
-#: Rows of a bucket for which an index is laid out; a new index has at least ``BUCKETS``.
-BUCKET_ROWS, BUCKETS = 2_000_000, 32
+#: Rows of a bucket for which an index is laid out.
+BUCKET_ROWS = 2_000_000
 #: Batches in which a whole table meets a new index.
 BATCHES = 2
 #: Repeated rows are written out in runs of at most this many.
@@ -30,22 +30,28 @@ class DigestIndex:
     Every append adds a file to each bucket; ``compact`` writes the buckets anew as one file each.
     """
 
-    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
+    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int | None = None) -> None:
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} (digest STRING, keep_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
+        told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
+        self.spark, self.name, self.path, self.buckets = spark, name, path, int(told["Num Buckets"])
 
     @classmethod
     def fresh(cls, spark: SparkSession, rows: int = 0) -> DigestIndex:
-        """A new index for about ``rows`` texts."""
+        """A new index for about ``rows`` texts, with as many buckets at least as the session's shuffles have partitions."""
         tag = uuid.uuid4().hex
-        return cls(spark, f"digest_index_{tag}", f"{shared_dir(spark).rstrip('/')}/digest-index-{tag}", max(BUCKETS, -(-rows // BUCKET_ROWS)))
+        return cls(spark, f"digest_index_{tag}", f"{shared_dir(spark).rstrip('/')}/digest-index-{tag}", max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS)))
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def files(self) -> DataFrame:
+        """The rows read without their buckets."""
+        return self.spark.read.schema(self.rows().schema).parquet(self.path)
+
     def unseen(self, winners: DataFrame) -> DataFrame:
         """The winners whose digest the index lacks."""
         return winners.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
@@ -61,7 +67,7 @@ class DigestIndex:
         """The same rows in a new index with one file per bucket; this one's table is dropped."""
         tag = uuid.uuid4().hex
         new = DigestIndex(self.spark, f"{self.name}_{tag}", f"{self.path.rstrip('/')}-{tag}", self.buckets)
-        new._write(self.rows())
+        new._write(self.files())
         self.drop()
         return new
 
@@ -92,9 +98,8 @@ def _decide(units: DataFrame, index: DigestIndex, batches: list[str]) -> DataFra
     A unit wins if the index keeps its id since one of ``batches``. The files of the index are read
     without their buckets, so a digest with very many ids can be split between tasks.
     """
-    known = index.spark.read.schema(index.rows().schema).parquet(index.path)
     sizes = units.groupBy("digest").agg(F.sum("n").alias("group_size"))
-    facts = materialize(sizes.join(known, "digest"), "digest-facts")
+    facts = materialize(sizes.join(index.files(), "digest"), "digest-facts")
     wins = F.col("batch").isin(*batches) & F.col("id").eqNullSafe(F.col("keep_id"))
     return units.join(facts.hint("merge"), "digest").select("digest", "id", "n", "keep_id", "group_size", wins.alias("wins"))
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,9 +58,14 @@ def cyber_terms(text: Column) -> Column:
     return matched_terms(text, dict.fromkeys([t for terms in SERVICE_TERMS.values() for t in terms] + list(GENERIC_TERMS)))
 
 
+def folded(value: Column) -> Column:
+    """Lower case for comparing: a sharp s counts as two."""
+    return F.replace(F.lower(value), F.lit("ß"), F.lit("ss"))
+
+
 def spaced_name(name: Column) -> Column:
     """Lower case with white space joined."""
-    return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+    return folded(F.trim(F.regexp_replace(name, r"\s+", " ")))
 
 
 def postal_code(value: Column) -> Column:
@@ -118,3 +125,29 @@ def version_text(value: Column) -> Column:
 def identifier_set(values: Column) -> Column:
     """Sorted distinct identifiers with single spaces, in lower case; blank ones left out."""
     return F.array_sort(F.array_distinct(F.filter(F.transform(values, spaced_name), lambda v: v != "")))
+
+
+def any_url(value: Column) -> Column:
+    """As ``canonical_url``, also for addresses with international or IPv6 hosts and for queries to be encoded anew; in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(_canonical, na_action=None)
+
+    return run(value)
+
+
+def _canonical(value: str | None) -> str | None:
+    try:
+        parts = urlsplit((value or "").strip())
+        if parts.scheme.lower() not in ("http", "https") or parts.username is not None or not parts.hostname:
+            return None
+        host = parts.hostname if ":" in parts.hostname else parts.hostname.rstrip(".").encode("idna").decode("ascii")
+        shown = f"[{host}]" if ":" in host else host
+        scheme, port = parts.scheme.lower(), parts.port
+    except (ValueError, UnicodeError):
+        return None
+    if port and port != {"http": 80, "https": 443}[scheme]:
+        shown += f":{port}"
+    query = urlencode(sorted(parse_qsl(parts.query, keep_blank_values=True)))
+    return urlunsplit((scheme, shown.lower(), parts.path or "/", query, ""))

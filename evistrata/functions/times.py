@@ -34,3 +34,8 @@ def freshness_state(age_seconds: Column, most: int) -> Column:
 def block_reasons(**conditions: Column) -> Column:
     """Names of the conditions that hold, in order: empty means allowed."""
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in conditions.items()]))
+
+
+def midnight(day: Column) -> Column:
+    """The start of a day; null for null."""
+    return day.cast("date").cast("timestamp_ntz")

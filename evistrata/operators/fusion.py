@@ -147,3 +147,18 @@ def rank_sources(options: DataFrame) -> DataFrame:
     score = 0.45 * F.col("value") + 0.35 * F.col("freshness") - 0.15 * F.least(F.col("cost") / 100.0, F.lit(1.0)) - 0.25 * F.col("risk")
     w = Window.partitionBy("purpose").orderBy(F.col("score").desc(), "mode", "cost", "source_id")
     return options.filter("viable").withColumn("score", score).withColumn("rank", F.row_number().over(w))
+
+
+def source_options(sources: DataFrame, purpose: str, category: str, health: DataFrame, values: DataFrame, costs: DataFrame, risks: DataFrame, approvals: DataFrame) -> DataFrame:
+    """What ``rank_sources`` ranks: every source of a purpose with its health, value, cost, risk and approval, each by the source's id.
+
+    A source is viable if it is executable, neither stale nor blocked, and approved for the category where
+    that needs an approval. What a table does not know counts as nothing.
+    """
+    rows = sources.filter(F.array_contains("purposes", purpose) & F.array_contains("categories", category))
+    for d in (health.select("source_id", "freshness_state"), values.groupBy("source_id").agg(F.avg("value").alias("value")), costs.groupBy("source_id").agg(F.sum("cost").alias("cost")), risks.groupBy("source_id").agg(F.max("risk").alias("risk")), approvals.select("source_id", F.lit(True).alias("approved"))):
+        rows = rows.join(d, "source_id", "left")
+    fresh = F.when(F.col("freshness_state") == "fresh", 1.0).when(F.col("freshness_state") == "aging", 0.5).otherwise(0.0)
+    viable = F.col("executable") & F.coalesce(F.col("freshness_state") != "stale", F.lit(True)) & (~F.col("needs_approval") | F.coalesce("approved", F.lit(False)))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return rows.select("source_id", F.lit(purpose).alias("purpose"), zero("value"), fresh.alias("freshness"), zero("cost"), zero("risk"), "mode", viable.alias("viable"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evistrata.functions.text import SERVICE_TERMS, service_families
-from evistrata.functions.times import block_reasons
+from evistrata.functions.times import block_reasons, midnight
 
 # Order of risks, states of plans that may run, offers of each service family, classes told by a signal's kind.
 RISKS = ("low", "medium", "high", "prohibited")
@@ -215,8 +215,8 @@ def contract_relationships(contracts: DataFrame, observed_at: Column) -> tuple[D
     each = contracts.withColumn("provider_id", F.explode("providers"))
     key = F.concat_ws(">", F.col("provider_id").cast("string"), F.col("buyer_id").cast("string"))
     evidence = each.select(
-        key.alias("relationship_key"), "provider_id", "buyer_id", F.lit("supplier").alias("role"), F.lit("contracted").alias("evidence_class"), F.col("signed_on").cast("timestamp_ntz").alias("valid_from"),
-        F.col("ends_on").cast("timestamp_ntz").alias("valid_until"), observed_at.alias("observed_at"), "confidence", F.concat(F.lit("contract:"), F.col("contract_id").cast("string")).alias("source_record_key"),
+        key.alias("relationship_key"), "provider_id", "buyer_id", F.lit("supplier").alias("role"), F.lit("contracted").alias("evidence_class"), midnight(F.col("signed_on")).alias("valid_from"),
+        midnight(F.col("ends_on")).alias("valid_until"), observed_at.alias("observed_at"), "confidence", F.concat(F.lit("contract:"), F.col("contract_id").cast("string")).alias("source_record_key"),
     )
     contexts = each.select(key.alias("relationship_key"), F.explode("families").alias("value")).distinct().withColumn("context_type", F.lit("service_family"))
     return evidence, contexts

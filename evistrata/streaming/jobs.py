@@ -34,7 +34,7 @@ def recover_expired(jobs: DataFrame, at: Column) -> DataFrame:
 def expire_pauses(jobs: DataFrame, at: Column) -> DataFrame:
     """Jobs after pauses for a human that lasted too long ended as failed."""
     late = F.coalesce((F.col("state") == "paused") & (F.col("pause_expires_at") <= at), F.lit(False))
-    return jobs.withColumn("state", F.when(late, "failed").otherwise(F.col("state"))).withColumn("error_code", F.when(late, "human_checkpoint_expired").otherwise(F.col("error_code")))
+    return jobs.withColumns({"state": F.when(late, "failed").otherwise(F.col("state")), "error_code": F.when(late, "human_checkpoint_expired").otherwise(F.col("error_code"))})
 
 
 def circuit_allows(circuits: DataFrame, at: Column) -> DataFrame:

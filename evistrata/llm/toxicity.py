@@ -151,8 +151,8 @@ def fit(docs: DataFrame, known: DataFrame, vocabulary: int = VOCABULARY) -> Toxi
     """
     prior = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
     confirmed = materialize(known.filter("label = 1").select("doc_id", F.lit(True).alias("toxic")), "toxicity-positives")
-    sides = docs.select("doc_id", "text").filter("doc_id is not null").join(confirmed.hint("merge"), "doc_id", "left").select(F.coalesce("toxic", F.lit(False)).alias("toxic"), "text")
-    sides = materialize(sides, "toxicity-sides")
+    # Spark broadcasts the ids of the positives only below its own limit of bytes
+    sides = docs.select("doc_id", "text").filter("doc_id is not null").join(confirmed, "doc_id", "left").select(F.coalesce("toxic", F.lit(False)).alias("toxic"), "text")
     counted = materialize(_count_words(sides), "toxicity-counts")
     sizes = counted.filter("word = ''").first()
     n_p, n_u = (sizes["dp"], sizes["du"]) if sizes else (0, 0)

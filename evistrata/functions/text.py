@@ -6,7 +6,7 @@ from functools import reduce
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Search terms of each service family, generic terms, terms of job postings.
@@ -40,7 +40,11 @@ JOB_TERMS = (
 
 def matched_terms(text: Column, terms) -> Column:
     """The terms that the lower-cased text contains anywhere, in the given order."""
-    low = F.lower(text)  # plain expressions, so that it is lowered once for all terms in generated code
+    return terms_in(F.lower(text), terms)  # plain expressions, so that it is lowered once for all terms in generated code
+
+
+def terms_in(low: Column, terms) -> Column:
+    """The terms that a text in lower case contains anywhere, in the given order."""
     return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms]))
 
 
@@ -53,9 +57,29 @@ def service_families(text: Column) -> Column:
     return F.transform(some, lambda x: F.struct(x["family"].alias("family"), x["n"].alias("n"), F.least(F.lit(0.95), 0.72 + 0.06 * x["n"]).alias("confidence")))
 
 
+def lowered(rows: DataFrame, said: Column, name: str = "_low") -> DataFrame:
+    """``rows`` with the text in lower case as a column of its own.
+
+    A generator makes it, since expressions are moved over a projection: searched for each of very many
+    terms, the text would be lowered as many times.
+    """
+    return rows.withColumn(name, F.explode(F.array(F.lower(said))))
+
+
+def family_rows(rows: DataFrame, said: Column) -> DataFrame:
+    """``rows`` once for each service family of which a term occurs in the text, with ``family, n, confidence``."""
+    count = lambda terms: reduce(lambda a, b: a + b, [F.coalesce(F.contains(F.col("_low"), F.lit(t)).cast("int"), F.lit(0)) for t in terms])
+    found = lowered(rows, said).select(*rows.columns, F.inline(F.array(*[F.struct(F.lit(f).alias("family"), count(t).alias("n")) for f, t in SERVICE_TERMS.items()])))
+    return found.filter("n > 0").withColumn("confidence", F.least(F.lit(0.95), 0.72 + 0.06 * F.col("n")))
+
+
+#: All service terms by family in order, then the generic ones, each once.
+CYBER_TERMS = tuple(dict.fromkeys([t for terms in SERVICE_TERMS.values() for t in terms] + list(GENERIC_TERMS)))
+
+
 def cyber_terms(text: Column) -> Column:
     """All matched terms once, by family in order, then the generic ones."""
-    return matched_terms(text, dict.fromkeys([t for terms in SERVICE_TERMS.values() for t in terms] + list(GENERIC_TERMS)))
+    return matched_terms(text, CYBER_TERMS)
 
 
 def folded(value: Column) -> Column:

@@ -113,8 +113,9 @@ def buying_intent(signals: DataFrame, as_of: Column, window_days: int = 90, ttl_
     recent = signals.filter((F.col("effective_at") >= as_of - F.make_dt_interval(F.lit(window_days))) & F.coalesce(F.col("expires_at") > as_of, F.lit(True)))
     said = F.concat_ws(" ", "title", "summary", F.concat_ws(" ", "matched_terms"))
     matched = recent.filter(F.when(tender, has_term(said, TENDER_TERMS)).otherwise(has_term(said, JOB_TERMS)))
+    mean = F.sum(F.col("confidence").cast("decimal(18,9)")).cast("double") / F.count("*")  # the same in any order of rows
     per = matched.groupBy("organization_id").agg(
-        F.count(F.when(tender, 1)).alias("tenders"), F.count(F.when(job, 1)).alias("jobs"), F.max("effective_at").alias("last_evidence_at"), F.avg("confidence").alias("confidence"), F.count_distinct("evidence_id").alias("evidence"), F.count("*").alias("signals")
+        F.count(F.when(tender, 1)).alias("tenders"), F.count(F.when(job, 1)).alias("jobs"), F.max("effective_at").alias("last_evidence_at"), mean.alias("confidence"), F.count_distinct("evidence_id").alias("evidence"), F.count("*").alias("signals")
     )
     both = (F.col("tenders") > 0) & (F.col("jobs") > 0)
     one = lambda c: F.when(c, 1.0).otherwise(0.0)

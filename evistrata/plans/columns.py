@@ -30,15 +30,14 @@ def _terms(column: str, terms) -> str:
 @registered(f"""WITH f AS (SELECT doc_id, unnest([{", ".join(f"{{'family': '{f}', 'n': len({_terms('text', t)})}}" for f, t in text.SERVICE_TERMS.items())}]) AS x FROM documents)
     SELECT doc_id, x.family AS family, x.n AS n, least(0.95::double, 0.72::double + 0.06::double * x.n) AS confidence FROM f WHERE x.n > 0""")
 def service_families(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.service_families(F.col("text"))).alias("x"))
-    return found.select("doc_id", "x.family", F.col("x.n").alias("n"), "x.confidence")
+    return text.family_rows(table(spark, sf_dir, "documents"), F.col("text")).select("doc_id", "family", "n", "confidence")
 
 
 @registered(f"""SELECT doc_id, array_to_string({_terms('text', text.JOB_TERMS)}, '|') AS job_terms, regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----|AKIA[0-9A-Z]{{16}}|ghp_[A-Za-z0-9]{{36}}|xox[baprs]-[A-Za-z0-9-]{{10,}}') AS credential,
     (SELECT array_to_string(list_distinct_ordered, '|') FROM (SELECT list_concat({", ".join(_terms('text', t) for t in text.SERVICE_TERMS.values())}, {_terms('text', text.GENERIC_TERMS)}) AS l), (SELECT list_transform(list_filter(list_transform(l, lambda x, i: CASE WHEN list_position(l, x) = i THEN x END), lambda x: x IS NOT NULL), lambda x: x) AS list_distinct_ordered)) AS cyber_terms FROM documents""")
 def matched_terms(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.matched_terms(t, text.JOB_TERMS), "|").alias("job_terms"), text.credential_marker(t).alias("credential"), F.array_join(text.cyber_terms(t), "|").alias("cyber_terms"))
+    rows, low = text.lowered(table(spark, sf_dir, "documents"), F.col("text")), F.col("_low")
+    return rows.select("doc_id", F.array_join(text.terms_in(low, text.JOB_TERMS), "|").alias("job_terms"), text.credential_marker(F.col("text")).alias("credential"), F.array_join(text.terms_in(low, text.CYBER_TERMS), "|").alias("cyber_terms"))
 
 
 HOST = r"nullif(regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '^(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.+$', ''), '^www\.', ''), '')"

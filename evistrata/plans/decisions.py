@@ -52,9 +52,9 @@ def source_contributions(spark, sf_dir):
 MATCHED = f"""WITH m AS (SELECT * FROM v_signal WHERE effective_at >= {AS_OF} - to_days(90) AND coalesce(expires_at > {AS_OF}, true)
         AND CASE WHEN signal_type = 'public_tender' THEN regexp_matches(lower(title || ' ' || summary || ' ' || matched_terms[1]), 'siem|soc|security operations center|managed detection and response|mdr|xdr|log management|security monitoring')
             ELSE regexp_matches(lower(title || ' ' || summary || ' ' || matched_terms[1]), 'soc analyst|soc manager|siem engineer|security operations|splunk|microsoft sentinel|sekoia|xdr') END),
-    p AS (SELECT organization_id, count(*) FILTER (signal_type = 'public_tender') AS tenders, count(*) FILTER (signal_type = 'job_posting') AS jobs, max(effective_at) AS last_evidence_at, round(avg(confidence), 6) AS confidence, count(DISTINCT evidence_id) AS evidence FROM m GROUP BY 1),
+    p AS (SELECT organization_id, count(*) FILTER (signal_type = 'public_tender') AS tenders, count(*) FILTER (signal_type = 'job_posting') AS jobs, max(effective_at) AS last_evidence_at, round((sum(confidence::decimal(18,9))::double / count(*))::varchar::decimal(38,20), 6)::double AS confidence, count(DISTINCT evidence_id) AS evidence FROM m GROUP BY 1),
     v AS (SELECT *, CASE WHEN tenders > 0 THEN 1.0 ELSE 0.0 END AS a, least(jobs / 3.0::double, 1.0::double) AS b, CASE WHEN tenders > 0 AND jobs > 0 THEN 1.0 ELSE 0.0 END AS c,
-        round(greatest(0.0::double, 1 - greatest(0.0::double, (epoch_us({AS_OF}) - epoch_us(last_evidence_at)) / 86400000000.0::double) / 90), 6) AS d, CASE WHEN evidence = 1 THEN 0.25 ELSE 0.0 END AS f FROM p)"""
+        round(greatest(0.0::double, 1 - greatest(0.0::double, (epoch_us({AS_OF}) - epoch_us(last_evidence_at)) / 86400000000.0::double) / 90)::varchar::decimal(38,20), 6)::double AS d, CASE WHEN evidence = 1 THEN 0.25 ELSE 0.0 END AS f FROM p)"""
 
 
 @registered(f"""{MATCHED} SELECT organization_id, tenders, jobs, last_evidence_at, round(greatest(0.0::double, least(100.0::double, a * 45 + b * 25 + c * 15 + d * 10 + confidence * 5 - f * 20)), 6) AS score,

@@ -39,6 +39,16 @@ def _time(value: Column | str) -> Column:
     return F.try_to_timestamp(F.col(value) if isinstance(value, str) else value).cast("timestamp_ntz")
 
 
+def _parsed(records: DataFrame, column: str, schema: str) -> DataFrame:
+    """The fields of JSON texts. A generator, over which no filter is moved, so that each text is parsed once."""
+    return records.select(F.inline(F.array(F.from_json(column, schema))))
+
+
+def _with_terms(rows: DataFrame, said: Column, terms) -> DataFrame:
+    """Rows in whose text ``said`` a term occurs, with ``matched_terms``; the text is lowered once."""
+    return text.lowered(rows, said).withColumn("matched_terms", text.terms_in(F.col("_low"), terms)).filter(F.size("matched_terms") > 0)
+
+
 def _english(texts: str) -> Column:
     """The first English text, else the first of all."""
     first = lambda a: F.get(a, F.lit(0))["value"]
@@ -61,7 +71,7 @@ def _snapshot(rows: DataFrame, source: str, **values: Column) -> DataFrame:
 
 def nvd_snapshots(records: DataFrame, column: str = "value") -> DataFrame:
     """Snapshots from catalogue items as JSON lines; a reference tagged as exploit is a proof of concept, confidence 0.6."""
-    r = records.select(F.from_json(column, NVD)["cve"].alias("c")).select("c.*").filter("id is not null")
+    r = _parsed(records, column, NVD).select("cve.*").filter("id is not null")
     weak = F.filter(F.flatten(F.transform("weaknesses", lambda w: F.transform(w["description"], lambda d: F.upper(d["value"])))), lambda v: v.startswith("CWE-"))
     metrics = F.flatten(F.map_values("metrics"))
     at = _time("lastModified")
@@ -76,7 +86,7 @@ def nvd_snapshots(records: DataFrame, column: str = "value") -> DataFrame:
 
 def cve_snapshots(records: DataFrame, column: str = "value", source: str = "cve_org") -> DataFrame:
     """Snapshots from CVE records as JSON lines; only versions stated as affected give ranges."""
-    r = records.select(F.from_json(column, CVE).alias("r")).select("r.cveMetadata.*", "r.containers.cna.*").filter("cveId is not null")
+    r = _parsed(records, column, CVE).select("cveMetadata.*", "containers.cna.*").filter("cveId is not null")
     cwes = F.array_compact(F.flatten(F.transform("problemTypes", lambda p: F.transform(p["descriptions"], lambda d: F.upper(d["cweId"])))))
     found = F.flatten(F.transform("affected", lambda a: F.transform(F.filter(a["versions"], lambda v: v["status"] == "affected"), lambda v: F.struct(
         F.coalesce(a["vendor"], F.lit("unknown")).alias("ecosystem"), a["product"].alias("product"), v["version"].alias("introduced"), v["lessThan"].alias("fixed"), v["lessThanOrEqual"].alias("last_affected"),
@@ -98,14 +108,13 @@ def epss_snapshots(rows: DataFrame) -> DataFrame:
 
 def contract_rows(records: DataFrame, column: str = "value") -> DataFrame:
     """Public contracts from JSON lines: those in which a service or generic term occurs; their end from notification and months."""
-    r = records.select(F.from_json(column, CONTRACT).alias("r")).select("r.*").filter("id is not null")
+    r = _parsed(records, column, CONTRACT).filter("id is not null")
     said = F.concat_ws(" ", "objet", "nature", "procedure", "codeCPV")
     signed = F.to_date(_time("dateNotification"))
     ends = F.add_months(signed, F.col("dureeMois"))
     changed = F.coalesce(F.col("idModification") != "", F.lit(False))
-    terms = text.cyber_terms(said)
-    families = F.transform(text.service_families(said), lambda x: x["family"])
-    return r.withColumn("matched_terms", terms).filter(F.size("matched_terms") > 0).select(
+    families = F.transform(text.service_families(F.col("_low")), lambda x: x["family"])
+    return _with_terms(r, said, text.CYBER_TERMS).select(
         F.concat(F.lit("decp:contract:"), "id").alias("contract_key"), F.concat(F.lit("decp:procedure:"), "id").alias("procedure_key"), F.concat_ws(":", "id", F.nullif("idModification", F.lit(""))).alias("source_record_key"),
         F.when(changed, "amendment").otherwise("award").alias("kind"), F.when(changed, "active").otherwise("awarded").alias("status"), F.col("objet").alias("title"), F.col("acheteur.id").alias("buyer_id"), F.col("acheteur.nom").alias("buyer_name"),
         F.transform("titulaires", lambda t: t["denominationSociale"]).alias("providers"), F.col("montant").alias("amount"), _time("datePublicationDonnees").alias("published_at"), signed.alias("signed_on"), ends.alias("ends_on"),
@@ -118,9 +127,9 @@ def notice_rows(records: DataFrame, now: Column, column: str = "value") -> tuple
 
     A notice without a service or generic term is dropped; a signal needs a deadline ahead of ``now``.
     """
-    r = records.select(F.from_json(column, NOTICE).alias("r")).select("r.*").filter("publication_number is not null")
+    r = _parsed(records, column, NOTICE).filter("publication_number is not null")
     said = F.concat_ws(" ", "title", "description")
-    kept = r.withColumn("matched_terms", text.cyber_terms(said)).filter(F.size("matched_terms") > 0)
+    kept = _with_terms(r, said, text.CYBER_TERMS)
     publications = kept.select(F.concat(F.lit("ted:"), "publication_number").alias("source_record_key"), "title", "buyer_name", "buyer_country", F.lower("notice_type").alias("kind"), _time("published").alias("published_at"), "winners", "matched_terms")
     open_ = kept.filter((F.lower("notice_type") != "award") & (_time("deadline") > now))
     signals = open_.select(name_uuid(F.concat(F.lit("ted:signal:"), "publication_number")).alias("signal_id"), F.lit("public_tender").alias("signal_type"), "title", F.col("description").alias("summary"), "matched_terms", _time("published").alias("effective_at"), _time("deadline").alias("expires_at"))
@@ -133,7 +142,7 @@ def job_signals(jobs: DataFrame, collected_at: Column) -> DataFrame:
     ``jobs`` has ``source_id, source_record_key, organization_id, title, description, department, location, employment_type, confidence``.
     """
     said = F.concat_ws(" ", "title", "description", "department")
-    found = jobs.withColumn("matched_terms", text.matched_terms(said, text.JOB_TERMS)).filter(F.size("matched_terms") > 0)
+    found = _with_terms(jobs, said, text.JOB_TERMS)
     key = F.concat_ws(":", "source_id", F.lit("signal"), "source_record_key")
     return found.select(name_uuid(key).alias("signal_id"), "source_id", "organization_id", F.lit("job_posting").alias("signal_type"), "title", "confidence", "matched_terms", collected_at.alias("collected_at"), (collected_at + F.make_dt_interval(F.lit(JOB_TTL_DAYS))).alias("expires_at"))
 

@@ -39,13 +39,33 @@ PENALTY = 2e-3
 SLACK = 0.0
 
 
-def features(text: str | None) -> set[str]:
-    """Lower-cased words and their beginnings (marked ``^``) of the whole text."""
-    words = set(_WORD.findall((text or "").lower()))
-    found = set(words)
-    for n in STEMS:
-        found.update("^" + w[:n] for w in words if len(w) >= n)
-    return found
+def word_features(word: str) -> tuple[str, ...]:
+    """A lower-cased word and its beginnings (marked ``^``)."""
+    return (word, *("^" + word[:n] for n in STEMS if len(word) >= n))
+
+
+class TextFeatures:
+    """Distinct features of whole texts, as ``of`` makes them from a word; remembers words up to a bound."""
+
+    def __init__(self, of=word_features) -> None:
+        self.of, self.known = of, {}
+
+    def __call__(self, text: str | None) -> set:
+        found = set()
+        for w in set(_WORD.findall((text or "").lower())):
+            got = self.known.get(w)
+            if got is None:
+                if len(self.known) >= PARTIAL:
+                    self.known.clear()
+                got = self.known[w] = self.of(w)
+            if got:
+                found.update(got)
+        return found
+
+
+def numbered(vocabulary: dict[str, int]) -> TextFeatures:
+    """The numbers of a text's features that are in the vocabulary."""
+    return TextFeatures(lambda w: tuple(vocabulary[f] for f in word_features(w) if f in vocabulary))
 
 
 @dataclass(frozen=True)
@@ -57,10 +77,6 @@ class ToxicityModel:
     def logits(self, rows: list[list[int]]) -> np.ndarray:
         return np.array([self.bias + self.weights[r].sum() if r else self.bias for r in rows])
 
-    def ids(self, text: str | None) -> list[int]:
-        get = self.vocabulary.get
-        return [i for i in map(get, features(text)) if i is not None]
-
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -119,7 +135,7 @@ def _count_words(rows: DataFrame) -> DataFrame:
     """``word, dp, du``: texts of the positives and of all ``rows`` (``toxic, text``) with each feature; '' has their numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        on_p, on_u = Counter(), Counter()
+        on_p, on_u, features = Counter(), Counter(), TextFeatures()
 
         def told() -> pd.DataFrame:
             out = pd.DataFrame({"word": pd.Series(list(on_u), dtype=object), "dp": [on_p[w] for w in on_u], "du": list(on_u.values())})
@@ -171,8 +187,9 @@ def fit(docs: DataFrame, known: DataFrame, vocabulary: int = VOCABULARY) -> Toxi
     number = {r["word"]: i for i, r in enumerate(kept)}
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = numbered(number)
         for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "ids": [sorted(number[w] for w in features(t) if w in number) for t in b["text"]]})
+            yield pd.DataFrame({"toxic": b["toxic"], "ids": [sorted(ids(t)) for t in b["text"]]})
 
     rows = materialize(sides.mapInPandas(narrow, "toxic boolean, ids array<int>"), "toxicity-features")
     w, b = nnpu(rows, np.array([r["dp"] for r in kept], np.float64), n_p, n_u, prior)
@@ -183,8 +200,9 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc_id, score`` of every whole text; the model's size is bounded by its vocabulary."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = numbered(model.vocabulary)
         for b in batches:
-            z = model.logits([model.ids(t) for t in b["text"]])
+            z = model.logits([sorted(ids(t)) for t in b["text"]])
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -40, 40)))})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, score double")

@@ -55,7 +55,7 @@ class ToxicityModel:
     bias: float
 
     def logits(self, rows: list[list[int]]) -> np.ndarray:
-        return np.array([self.bias + self.weights[r].sum() if r else self.bias for r in rows])
+        return np.array([self.bias + self.weights[r].sum() if len(r) else self.bias for r in rows])
 
     def ids(self, text: str | None) -> list[int]:
         get = self.vocabulary.get
@@ -142,7 +142,14 @@ def _count_words(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, known: DataFrame, vocabulary: int = VOCABULARY) -> ToxicityModel:
-    """Fit on the positives of ``known`` (``doc_id, label``, materialized) and on unlabelled ``docs``.
+    """The model that ``fit_encoded`` finds."""
+    return fit_encoded(docs, docs, known, vocabulary)[0]
+
+
+def fit_encoded(docs: DataFrame, every: DataFrame, known: DataFrame, vocabulary: int = VOCABULARY) -> tuple[ToxicityModel, DataFrame | None]:
+    """The model, and ``doc_id, train, toxic, ids`` of ``every`` text, so that texts need not be read again to be scored; null where there was nothing to learn.
+
+    ``every`` has the rows of ``docs`` and others, told apart by its column ``train`` if it has one. Fit on the positives of ``known`` (``doc_id, label``, materialized) and on unlabelled ``docs``.
 
     Label 1 is confirmed toxic. All ``docs`` with an id are the unlabelled side whatever their label, so it
     holds toxic texts at their natural rate. The features are chosen by counts over all rows of both
@@ -152,12 +159,14 @@ def fit(docs: DataFrame, known: DataFrame, vocabulary: int = VOCABULARY) -> Toxi
     prior = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
     confirmed = materialize(known.filter("label = 1").select("doc_id", F.lit(True).alias("toxic")), "toxicity-positives")
     # Spark broadcasts the ids of the positives only below its own limit of bytes
-    sides = docs.select("doc_id", "text").filter("doc_id is not null").join(confirmed, "doc_id", "left").select(F.coalesce("toxic", F.lit(False)).alias("toxic"), "text")
+    train = F.col("train") if "train" in every.columns else F.lit(True)
+    sided = lambda rows: rows.join(confirmed, "doc_id", "left").withColumn("toxic", F.coalesce("toxic", F.lit(False)))
+    sides = sided(docs.select("doc_id", "text").filter("doc_id is not null")).select("toxic", "text")
     counted = materialize(_count_words(sides), "toxicity-counts")
     sizes = counted.filter("word = ''").first()
     n_p, n_u = (sizes["dp"], sizes["du"]) if sizes else (0, 0)
     if not n_p or not n_u:
-        return ToxicityModel({}, np.zeros(0), -40.0)
+        return ToxicityModel({}, np.zeros(0), -40.0), None
     prior = min(0.9, max(0.01, prior or 0.0))
     counted = counted.filter("word <> ''")
     # words whose presence depends on the side, by the likelihood-ratio statistic of the 2 x 2 table
@@ -167,16 +176,17 @@ def fit(docs: DataFrame, known: DataFrame, vocabulary: int = VOCABULARY) -> Toxi
     g2 = sum((F.when(c > 0, c * F.log(c * float(n_p + n_u) / (float(n) * margin[m]))).otherwise(0.0) for c, n, m in cells), F.lit(0.0)) * 2
     kept = counted.withColumn("g2", g2).filter(F.col("g2") >= EVIDENCE).orderBy(F.col("g2").desc(), "word").limit(vocabulary).select("word", "dp").collect()
     if not kept:
-        return ToxicityModel({}, np.zeros(0), float(np.log(prior / (1 - prior))))
+        return ToxicityModel({}, np.zeros(0), float(np.log(prior / (1 - prior)))), None
     number = {r["word"]: i for i, r in enumerate(kept)}
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "ids": [sorted(number[w] for w in features(t) if w in number) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "train": b["train"], "toxic": b["toxic"], "ids": [sorted(number[w] for w in features(t) if w in number) for t in b["text"]]})
 
-    rows = materialize(sides.mapInPandas(narrow, "toxic boolean, ids array<int>"), "toxicity-features")
-    w, b = nnpu(rows, np.array([r["dp"] for r in kept], np.float64), n_p, n_u, prior)
-    return ToxicityModel(number, w, b)
+    texts = sided(every.select("doc_id", "text", (train & F.col("doc_id").isNotNull()).alias("train"))).select("doc_id", "train", "toxic", "text")
+    rows = materialize(texts.mapInPandas(narrow, "doc_id bigint, train boolean, toxic boolean, ids array<int>"), "toxicity-features")
+    w, b = nnpu(rows.filter("train").select("toxic", "ids"), np.array([r["dp"] for r in kept], np.float64), n_p, n_u, prior)
+    return ToxicityModel(number, w, b), rows
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -190,6 +200,17 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, score double")
 
 
+def score_encoded(rows: DataFrame, model: ToxicityModel) -> DataFrame:
+    """``doc_id, score`` of texts whose features ``fit_encoded`` has numbered."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            z = model.logits(list(b["ids"]))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -40, 40)))})
+
+    return rows.select("doc_id", "ids").mapInPandas(run, "doc_id bigint, score double")
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
@@ -200,4 +221,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     small_batches(docs.sparkSession)
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = materialize(train_labels(labels, "toxic", 5, 0), "toxicity-labels")
-    return score(docs, fit(docs.filter(rest != 0), known)).select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    every = docs.select("doc_id", "text", F.coalesce(rest != 0, F.lit(False)).alias("train"))
+    model, encoded = fit_encoded(docs.filter(rest != 0), every, known)
+    scored = score(docs, model) if encoded is None else score_encoded(encoded, model)
+    return scored.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evistrata.llm import exact_dedup, hamming_search, html_extract, mixing, ngram_join, pieces, quality, sharding, surrogates, toxicity
+from evistrata.llm import alignment, exact_dedup, filter_audit, hamming_search, html_extract, mixing, ngram_join, pieces, quality, sharding, surrogates, token_counts, toxicity
 
 #: Of the registered query; a real run passes a secret of its own.
 SURROGATE_KEY = b"evistrata example key"
@@ -60,6 +60,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(_table(spark, sf_dir, "documents"))
 
 
+def _vocabulary(name: str) -> bytes:
+    import public_tokenizers
+
+    return pieces.read_model(public_tokenizers.path(name))
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.measure(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
@@ -71,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hamming_search": op8_hamming_search,
     "op9_pieces": op9_pieces,
     "op10_ngram_join": op10_ngram_join,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_counts": op12_token_counts,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,4 +123,32 @@ ORACLE_SQL: dict[str, str] = {
             WHERE q.vec_id % 100 = 0 AND q.embedding IS NOT NULL AND x.embedding IS NOT NULL)
         SELECT query_id, row_number() OVER w AS rank, neighbor_id, distance FROM found
         WINDOW w AS (PARTITION BY query_id ORDER BY distance, neighbor_id) QUALIFY row_number() OVER w <= 10""",
+    "op11_filter_audit": r"""
+        WITH words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+        fails AS (
+            SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+                    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f,
+                words.doc_id IN (SELECT doc_id FROM good) AS good, words.doc_id IN (SELECT doc_id FROM toxic) AS toxic
+            FROM words),
+        cells AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM fails GROUP BY ALL),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+        acts AS (
+            SELECT c.*, filter_order, step, c.f[ascii(filter_order[step]) - 64] AS fails_now,
+                len(list_filter(range(1, step), lambda i: c.f[ascii(filter_order[i]) - 64])) > 0 AS gone,
+                len(list_filter(c.f, lambda b: b)) = 1 AS alone
+            FROM cells c, steps),
+        counted AS (
+            SELECT part, filter_order, step, sum(n) FILTER (NOT gone AND NOT fails_now) AS kept, sum(n) FILTER (NOT gone AND fails_now) AS removed,
+                sum(n) FILTER (gone AND fails_now) AS redundant, sum(n) FILTER (alone AND fails_now) AS unique_fails,
+                sum(good) FILTER (NOT gone AND fails_now) AS good_lost, sum(toxic) FILTER (NOT gone AND fails_now) AS toxic_lost
+            FROM acts GROUP BY part, filter_order, step)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+            CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+            CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter_order[step]), 0) AS BIGINT) AS shapley
+        FROM counted""",
 }

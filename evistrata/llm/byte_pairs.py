@@ -13,7 +13,7 @@ import regex
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points whose class can differ between versions of Unicode; the other planes are private or empty.
 _PLANES = [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)]
-_BLOCK = 4096
+_BLOCK = 512
 
 
 def byte_letters() -> dict[str, int]:

@@ -1,58 +1,13 @@
-"""Structured Streaming: projections that follow a stream of statements, and stateful source health."""
+"""Structured Streaming: counts per window and stateful source health, and the schedule of jobs as tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
-
-from evistrata.operators.sinks import only_new, refresh
-
-
-def follow(stream: DataFrame, history_path: str, projection_path: str, checkpoint: str, record: list[str], key: str, reconcile: Callable[[DataFrame], DataFrame], **trigger) -> StreamingQuery:
-    """Keep a projection in step with a stream of immutable statements.
-
-    Each micro-batch appends the statements that the history lacks (``record`` names one) and reconciles the
-    entities (``key``) that they touch, from their whole history; the rows go beside the older ones, and
-    ``current_projection`` shows the newest of each entity. A batch that is run again after a failure does
-    not count its own statements as stored and overwrites what it wrote: the sink is idempotent.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earlier = _earlier(spark, history_path, batch.schema, number)
-        fresh = only_new(earlier, batch, record)
-        fresh.write.mode("overwrite").parquet(f"{history_path}/batch={number}")
-        fresh = spark.read.schema(batch.schema).parquet(f"{history_path}/batch={number}")
-        refresh(earlier, fresh, key, reconcile).write.mode("overwrite").parquet(f"{projection_path}/version={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def _earlier(spark: SparkSession, path: str, schema: StructType, number: int) -> DataFrame:
-    """The statements that batches before ``number`` stored; none before the first one."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if number == 0 or not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema)
-    stored = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", path).parquet(path)
-    return stored.filter(F.col("batch") < number).drop("batch")
-
-
-def current_projection(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The newest row of each entity over all versions; entities that a later batch left without a row keep their last one."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "version")]), "version").alias("r")
-    return rows.groupBy(key).agg(newest).select(key, "r.*")
-
-
-def compact_projection(spark: SparkSession, path: str, to: str, key: str) -> None:
-    """Write the current rows as one version in a new folder, so that old versions can go."""
-    current_projection(spark, path, key).withColumn("version", F.lit(0)).write.partitionBy("version").parquet(to)
 
 
 def counts_per_window(events: DataFrame, at: str, key: str, width: str, late: str) -> DataFrame:

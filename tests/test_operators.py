@@ -158,20 +158,6 @@ def test_documents(spark, tmp_path):
     assert [r.canonical_id for r in found.collect()] == ["CVE-1"] and [(r.introduced, r.fixed) for r in documents.affected_ranges(found).collect()] == [("1.0", "1.2")]
 
 
-def test_stream_gives_what_a_batch_gives(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("event_id snapshot_id", "'s' || (event_id % 3) source_id", "cast(event_id div 6 as string) source_record_key", "ts modified_at", "value")
-    for i in range(3):
-        events.filter(f"snapshot_id % 3 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    reconcile = lambda rows: revisions.latest_by(rows, RevisionSpec(keys=("source_record_key",)))
-    refresh.follow(stream, str(tmp_path / "h"), str(tmp_path / "p"), str(tmp_path / "c"), ["snapshot_id"], "source_record_key", reconcile).awaitTermination(120)
-    now = refresh.current_projection(spark, str(tmp_path / "p"), "source_record_key")
-    assert sorted(r.snapshot_id for r in now.collect()) == sorted(r.snapshot_id for r in reconcile(events).collect())
-    assert spark.read.parquet(str(tmp_path / "h")).count() == events.count() and len([x for x in (tmp_path / "p").iterdir() if x.name.startswith("version")]) == 3
-    refresh.compact_projection(spark, str(tmp_path / "p"), str(tmp_path / "q"), "source_record_key")
-    assert refresh.current_projection(spark, str(tmp_path / "q"), "source_record_key").count() == now.count()
-
-
 def test_jobs(spark):
     at = F.lit(dt.datetime(2024, 1, 1, 10, 7)).cast("timestamp_ntz")
     sources = spark.createDataFrame([(1, 3600), (2, 3600)], "source_id long, interval_seconds long")

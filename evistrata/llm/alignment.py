@@ -11,8 +11,9 @@ task; the others, each in few documents, are joined by their pair.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from operator import itemgetter
 
@@ -27,7 +28,7 @@ from evistrata.llm.shared import materialize, small_batches
 #: Characters of texts that are aligned together; bounds the memory of a task.
 CHUNK_CHARS = 1 << 20
 #: Pieces of up to so many characters are remembered, so many of them at once.
-SHORT, REMEMBERED = 64, 300_000
+SHORT, REMEMBERED = 64, 500_000
 #: Pairs that travel to every task: 16 bytes each.
 HOT = 1 << 19
 #: Pairs that a task counts before it hands on its sums.
@@ -35,44 +36,48 @@ MOST_PAIRS = 1 << 21
 _BAD = 0xFFFFFFFF
 
 
-class _Known(dict):
-    """Ids of a piece as bytes (uint32 each), or one ``_BAD`` where they do not spell it; what is not known is encoded."""
-
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
-        if len(piece) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class _Tokens:
-    """Token ids of a text with a space before it; ``table`` has the bytes of each id."""
+    """Token ids of texts with a space before each; ``table`` has the bytes of each id.
 
-    table: list[bytes]
+    Pieces over whose borders nothing merges are encoded once for many texts. What the texts of late used is remembered:
+    when ``REMEMBERED`` pieces are, they become the older generation, and those that come again move back.
+    """
 
-    def _checked(self, ids: list[int], text: str) -> bytes:
-        t = self.table
-        return np.array(ids if b"".join([t[i] for i in ids]) == text.encode() else [_BAD], "<u4").tobytes()
+    table: list[bytes]
 
     def finish(self) -> None:
         self.lengths = np.array([len(b) for b in self.table], np.int64)
-        self.known = _Known(self.encode_piece)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def ids(self, spaced: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.pieces(spaced))), "<u4")
+    def _checked(self, ids: list[int], piece: str) -> bytes:
+        """Ids as bytes (uint32 each), or one ``_BAD`` where they do not spell the piece."""
+        t = self.table
+        return np.array(ids if b"".join([t[i] for i in ids]) == piece.encode() else [_BAD], "<u4").tobytes()
+
+    def all_ids(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.pieces(" " + t) for t in texts]
+        if len(self.known) >= REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older, new, once = self.known, self.older, [], {}
+        for p in {p for pieces in cut for p in pieces if p not in known}:
+            if p in older:
+                known[p] = older[p]
+            else:
+                new.append(p)
+        for p, ids in zip(new, self.encode_pieces(new), strict=True):
+            (known if len(p) <= SHORT else once)[p] = self._checked(ids, p)
+        at = {**known, **once}.__getitem__ if once else known.__getitem__
+        return [np.frombuffer(b"".join(map(at, pieces)), "<u4") for pieces in cut]
 
 
 class BytePairTokens(_Tokens):
-    """By a byte-level vocabulary file; words that came before are not encoded again, as nothing merges over their borders."""
+    """By a byte-level vocabulary file."""
 
     def __init__(self, spec: bytes, odd: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks run side by side already
         self.lib = Tokenizer.from_str(spec.decode())
         self.lib.encode_special_tokens = True
         letter = byte_letters()
@@ -83,15 +88,15 @@ class BytePairTokens(_Tokens):
         self.pieces = BytePairs(spec, odd).pieces
         self.finish()
 
-    def encode_piece(self, piece: str) -> bytes:
-        return self._checked(self.lib.encode(piece, add_special_tokens=False).ids, piece)
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
 class SpacePieceTokens(_Tokens):
     """By a SentencePiece model that adds the space itself.
 
     Where no piece of the model goes on from another character to a space, nothing crosses there, so a text is encoded word by
-    word, each with the spaces before it, and words that came before are not encoded again.
+    word, each with the spaces before it.
     """
 
     def __init__(self, model: bytes) -> None:
@@ -105,8 +110,8 @@ class SpacePieceTokens(_Tokens):
         self.space = lib.piece_to_id("▁")
         self.finish()
 
-    def encode_piece(self, piece: str) -> bytes:
-        return self._checked([self.space] if piece == " " else self.lib.encode(piece[1:]), piece)
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        return [ids if p != " " else [self.space] for p, ids in zip(pieces, self.lib.encode([p[1:] for p in pieces], num_threads=1), strict=True)]
 
 
 class _Bits:
@@ -142,10 +147,11 @@ class Aligned:
     """
 
     def __init__(self, texts: list[str | None], first: _Tokens, second: _Tokens) -> None:
-        none, both = np.zeros(0, "<u4"), []
-        for t in texts:
-            a, b = (first.ids(" " + t), second.ids(" " + t)) if t else (none, none)
-            both.append((a, b) if len(a) and len(b) and a.max() != _BAD and b.max() != _BAD else (none, none))
+        none = np.zeros(0, "<u4")
+        some = [t for t in texts if t]
+        told = zip(first.all_ids(some), second.all_ids(some), strict=True)
+        both = [next(told) if t else (none, none) for t in texts]
+        both = [(a, b) if len(a) and len(b) and a.max() != _BAD and b.max() != _BAD else (none, none) for a, b in both]
         stops = lambda sizes: np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         self.a, self.b = (np.concatenate([none, *x]) for x in zip(*both, strict=True)) if both else (none, none)
         self.a_at, self.b_at = (stops([len(x[i]) for x in both]) for i in (0, 1))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evistrata.operators.lineage import cut
+
 UNCOMPARABLE = ("rpm", "deb", "unknown")
 
 
@@ -27,55 +29,145 @@ def version_key(version: str | Column, width: int = 12) -> Column:
     return _padded(version_tokens(version), F.lit(width))
 
 
-def compared(left: Column, right: Column, left_tokens: Column, right_tokens: Column, scheme: Column) -> Column:
-    """-1, 0 or 1 by the order of two versions of any length; null where the scheme has none, unless the texts are equal."""
-    width = F.greatest(F.size(left_tokens), F.size(right_tokens))
-    a, b = _padded(left_tokens, width), _padded(right_tokens, width)
-    order = F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
-    return F.when(F.lower(F.trim(left)) == F.lower(F.trim(right)), 0).when(~scheme.isin(*UNCOMPARABLE), order)
+def order_key(tokens: Column, width: Column | int) -> Column:
+    """Text that sorts, byte by byte, as versions of up to ``width`` tokens do; null without tokens.
+
+    A number is its length and its digits, a word ends in what is less than any letter, and missing tokens are the
+    number 0.
+    """
+
+    def one(t: Column) -> Column:
+        digits = F.ltrim(t, F.lit("0"))
+        return F.when(t.rlike("^[0-9]"), F.concat(F.lit("2"), F.lpad(F.length(digits), 4, "0"), digits)).otherwise(F.concat(F.lit("1"), t, F.lit(" ")))
+
+    missing = F.repeat(F.lit("20000"), F.greatest(F.lit(0), (F.lit(width) if isinstance(width, int) else width) - F.size(tokens)))
+    return F.when(F.size(tokens) > 0, F.concat(F.array_join(F.transform(tokens, one), ""), missing))
+
+
+def version_words(version: Column) -> Column:
+    """The tokens of a version as texts; empty without any, null for null."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(F.trim(version)), "^v(?=[0-9])", ""), F.lit("([0-9]+|[a-z]+)"), F.lit(1))
 
 
 #: Attributes of a product that a range may ask for beside vendor and product.
 ATTRIBUTES = ("component", "edition", "ecosystem", "platform")
+BOUNDS = ("introduced", "fixed", "limit", "last_affected")
+# What the state of an advisory makes of every assessment.
+TERMINAL = {"superseded": "superseded", "withdrawn": "withdrawn", "deleted": "withdrawn"}
+
 
+def spans(points: DataFrame, bounds: DataFrame, product: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Which of the versions of a product a range holds, as an interval of their ranks.
 
-def assess(technologies: DataFrame, ranges: DataFrame) -> DataFrame:
+    ``points`` has ``product, key``; ``bounds`` has ``product, r`` (the range), ``key, lower`` (whether it bounds from
+    below), ``inclusive``. Gives points with ``rank`` and ``n`` (the number of points of the product), and ranges with ``lo, hi``
+    and ``n``. Each product's different versions are ordered once; ranges never meet technologies here.
+    """
+    keys = points.select(*product, "key", F.lit(1).alias("own")).unionByName(bounds.select(*product, "key", F.lit(0).alias("own"))).groupBy(*product, "key").agg(F.max("own").alias("own"))
+    w = Window.partitionBy(*product)
+    ranked = cut(keys.select(*product, "key", "own", F.sum("own").over(w.orderBy("key")).alias("upto"), F.sum("own").over(w).alias("n")))
+    below = F.col("upto") - F.col("own")
+    lo, hi = F.when(F.col("inclusive"), below).otherwise(F.col("upto")), F.when(F.col("inclusive"), F.col("upto")).otherwise(below) - 1
+    met = bounds.join(ranked, [*product, "key"]).groupBy(*product, "r").agg(
+        F.max(F.when(F.col("lower"), lo).otherwise(0)).alias("lo"), F.min(F.when(F.col("lower"), F.col("n") - 1).otherwise(hi)).alias("hi"), F.first("n").alias("n")
+    )
+    return ranked.filter("own = 1").select(*product, "key", (F.col("upto") - 1).alias("rank"), "n"), met.filter("lo <= hi")
+
+
+def held(points: DataFrame, ranges: DataFrame, product: list[str]) -> DataFrame:
+    """``product, key, r``: every version with every range that holds it, and no other pair.
+
+    An interval of ranks is a union of at most two aligned blocks of each size 2^k, and a rank lies in one block of each
+    size, so the two meet by equality of (size, block).
+    """
+    shift = lambda c: F.expr(f"shiftright({c}, level)")
+    levels = lambda n: F.explode(F.sequence(F.lit(0), F.floor(F.log2(n)).cast("int"))).alias("level")
+    blocks = points.select("*", levels("n")).select(*product, "key", "level", shift("rank").alias("block"))
+    size = F.expr("shiftleft(1L, level)")
+    each = ranges.select("*", levels(F.col("hi") - F.col("lo") + 1))
+    left, right = F.expr("shiftright(lo + shiftleft(1L, level) - 1, level)"), F.expr("shiftright(hi + 1, level) - 1")
+    first = each.select(*product, "r", "lo", "hi", "level", left.alias("block")).filter((F.col("block") % 2 == 1) & ((F.col("block") + 1) * size <= F.col("hi") + 1))
+    last = each.select(*product, "r", "lo", "hi", "level", right.alias("block")).filter((F.col("block") % 2 == 0) & (F.col("block") * size >= F.col("lo")))
+    return blocks.join(first.unionByName(last).select(*product, "r", "level", "block"), [*product, "level", "block"]).select(*product, "key", "r")
+
+
+def assess(technologies: DataFrame, ranges: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
     """One row per (technology, vulnerability of the same product) with state and confidence.
 
-    An equi-join on vendor and product; what a range says of other attributes or identifiers must fit, what
-    it leaves open fits all. A version must lie in all bounds of a range: after ``introduced``, before ``fixed``
-    and ``limit`` (each with or without its end), up to ``last_affected``. The first range that applies
-    decides, else the first that can't be compared, else the product is not affected. Columns that a
-    table lacks count as null.
+    What a range says of other attributes or identifiers must fit, what it leaves open fits all. A version must lie in all
+    bounds of a range: after ``introduced``, before ``fixed`` and ``limit`` (each with or without its end), up to
+    ``last_affected``; of a range that is not ``vulnerable`` no version does. The first range that applies decides, else the
+    first that can't be compared (no version, a backported fix, a scheme without an order unless the texts are equal), else the
+    product is not affected. Before all this, ``advisories`` (``vulnerability_id, advisory_state``) ends what was withdrawn
+    or superseded. Columns that a table lacks count as null.
+
+    Versions find the ranges that hold them through an index of ranks (``spans``, ``held``), each different version of a product once.
+    What else a pair needs to know is one row for each vulnerability, product and set of attributes.
     """
     missing = lambda d, c, kind="string": F.col(c) if c in d.columns else F.lit(None).cast(kind)
+    product = ["vendor", "product"]
     t = technologies.select(
-        "technology_id", "vendor", "product", "version", "confidence", "expired", version_tokens("version").alias("vt"), missing(technologies, "identifiers", "array<string>").alias("t_identifiers"),
+        "technology_id", *product, "version", F.lower(F.trim("version")).alias("v"), "confidence", "expired", version_words(F.col("version")).alias("words"), missing(technologies, "identifiers", "array<string>").alias("t_identifiers"),
         *[missing(technologies, c).alias(f"t_{c}") for c in ATTRIBUTES],
     )
-    bounds = ("introduced", "fixed", "limit", "last_affected")
     r = ranges.select(
-        "range_id", "vulnerability_id", "vendor", "product", "introduced_inclusive", "fixed_inclusive", "backported_fix", "scheme", missing(ranges, "identifiers", "array<string>").alias("identifiers"), *[missing(ranges, c).alias(c) for c in ATTRIBUTES],
-        *[missing(ranges, c).alias(c) for c in bounds], *[version_tokens(missing(ranges, c)).alias(f"{c}_t") for c in bounds],
+        "range_id", "vulnerability_id", *product, "introduced_inclusive", "fixed_inclusive", F.coalesce("backported_fix", F.lit(False)).alias("backported"), F.coalesce(~F.col("scheme").isin(*UNCOMPARABLE), F.lit(False)).alias("ordered"),
+        F.coalesce(missing(ranges, "vulnerable", "boolean"), F.lit(True)).alias("vulnerable"), missing(ranges, "identifiers", "array<string>").alias("identifiers"), *[missing(ranges, c).alias(c) for c in ATTRIBUTES],
+        *[F.lower(F.trim(missing(ranges, c))).alias(c) for c in BOUNDS],
+    ).withColumns({f"{c}_w": version_words(F.col(c)) for c in BOUNDS})
+    width = max(1, *[d.agg(F.max(F.greatest(*[F.size(c) for c in cs], F.lit(0)))).first()[0] or 1 for d, cs in ((t, ["words"]), (r, [f"{c}_w" for c in BOUNDS]))])
+    texts = F.filter(F.array(*BOUNDS), lambda x: x.isNotNull())
+    wordless = F.exists(F.array(*[F.when(F.col(c).isNotNull(), F.size(f"{c}_w") < 1).otherwise(False) for c in BOUNDS]), lambda x: x)
+    opens = {c: F.col(c).isNull() | F.coalesce(F.col(f"{'introduced' if c == 'introduced' else 'fixed'}_inclusive"), F.lit(False)) for c in BOUNDS[:3]}
+    kind = F.when(F.size(texts) == 0, "free").when(F.col("ordered") & ~wordless, "ordered").otherwise("opaque")
+    r = r.withColumns({"kind": kind, "same": F.when(F.size(F.array_distinct(texts)) == 1, texts[0]), "equal_inside": F.col("vulnerable") & opens["introduced"] & opens["fixed"] & opens["limit"]})
+    asked = ["identifiers", *ATTRIBUTES]
+
+    # what a pair needs beside the index, for each set of attributes that a vulnerability asks of a product
+    least = lambda c: F.min(F.when(c, F.col("range_id")))
+    is_ = lambda k: F.col("kind") == k
+    by_text = is_("opaque") & ~F.col("backported") & F.col("same").isNotNull()
+    groups = r.groupBy(*product, "vulnerability_id", *asked).agg(
+        F.min("range_id").alias("any"), least(F.col("backported") | (is_("opaque") & F.col("same").isNull())).alias("never"), least(F.col("backported") | is_("ordered")).alias("bounded"),
+        least(is_("free") & ~F.col("backported") & F.col("vulnerable")).alias("free"), F.collect_set(F.when(by_text, F.struct("range_id", "same", "equal_inside"))).alias("by_text"),
     )
-    met = t.join(r, ["vendor", "product"])
-    fits = F.coalesce(F.size("identifiers") <= 0, F.lit(True)) | F.coalesce(F.arrays_overlap("identifiers", "t_identifiers"), F.lit(False))
-    for c in ATTRIBUTES:
-        fits = fits & (F.col(c).isNull() | F.coalesce(F.col(c) == F.col(f"t_{c}"), F.lit(False)))
-    met = met.withColumns({"fits": fits} | {f"c_{c}": compared(F.col("version"), F.col(c), F.col("vt"), F.col(f"{c}_t"), F.col("scheme")) for c in bounds})
-    inside, unknown = F.lit(True), F.col("version").isNull() | F.col("backported_fix")
-    for c in bounds:
-        at = F.col(f"c_{c}")
-        holds = {"introduced": F.when(F.col("introduced_inclusive"), at >= 0).otherwise(at > 0), "last_affected": at <= 0}.get(c, F.when(F.col("fixed_inclusive"), at <= 0).otherwise(at < 0))
-        inside = inside & (F.col(c).isNull() | F.coalesce(holds, F.lit(False)))
-        unknown = unknown | (F.col(c).isNotNull() & at.isNull())
-    per = met.withColumns({"unknown": unknown, "inside": ~unknown & inside}).groupBy("technology_id", "vulnerability_id").agg(
-        F.first("version").alias("version"), F.first("confidence").alias("confidence"), F.first("expired").alias("expired"), F.bool_or("fits").alias("fits"),
-        F.min(F.when(F.col("fits") & F.col("inside"), F.col("range_id"))).alias("applies"), F.min(F.when(F.col("fits") & F.col("unknown"), F.col("range_id"))).alias("unsure"),
+
+    def fits(of: str = "") -> Column:
+        ids = F.col(f"{of}identifiers")
+        ok = F.coalesce(F.size(ids) <= 0, F.lit(True)) | F.coalesce(F.arrays_overlap(ids, "t_identifiers"), F.lit(False))
+        for c in ATTRIBUTES:
+            ok = ok & (F.col(f"{of}{c}").isNull() | F.coalesce(F.col(f"{of}{c}") == F.col(f"t_{c}"), F.lit(False)))
+        return ok
+
+    known = F.col("version").isNotNull()
+    first_text = lambda test: F.array_min(F.transform(F.filter("by_text", test), lambda x: x["range_id"]))
+    applies = F.when(known, F.least("free", first_text(lambda x: (x["same"] == F.col("v")) & x["equal_inside"])))
+    unsure = F.when(~known, F.col("any")).otherwise(F.least("never", F.when(F.size("words") < 1, F.col("bounded")), first_text(lambda x: x["same"] != F.col("v"))))
+    pairs = t.join(groups, product).withColumn("fits", fits())
+    pairs = pairs.select("technology_id", "vulnerability_id", "version", "confidence", "expired", "fits", F.when(F.col("fits"), applies).alias("applies"), F.when(F.col("fits"), unsure).alias("unsure"))
+
+    # the pairs of versions and ranges that hold them
+    keyed = t.withColumn("key", order_key(F.col("words"), width)).filter("key is not null")
+    indexed = r.filter(is_("ordered") & ~F.col("backported") & F.col("vulnerable"))
+    bound = lambda c: F.struct(order_key(F.col(f"{c}_w"), width).alias("key"), F.lit(c == "introduced").alias("lower"), F.coalesce(F.lit(c == "last_affected") | F.col(f"{'introduced' if c == 'introduced' else 'fixed'}_inclusive"), F.lit(False)).alias("inclusive"))
+    bounds = indexed.select(*product, F.struct("range_id", "vulnerability_id", *asked).alias("r"), F.inline(F.filter(F.array(*[bound(c) for c in BOUNDS]), lambda x: x["key"].isNotNull())))
+    points, wanted = spans(keyed.select(*product, "key").distinct(), bounds, product)
+    hits = keyed.join(held(points, wanted, product), [*product, "key"]).filter(fits("r."))
+    none = F.lit(None)
+    hits = hits.select("technology_id", "r.vulnerability_id", "version", "confidence", "expired", F.lit(True).alias("fits"), F.col("r.range_id").alias("applies"), none.cast(pairs.schema["unsure"].dataType).alias("unsure"))
+
+    per = pairs.unionByName(hits).groupBy("technology_id", "vulnerability_id").agg(
+        F.first("version").alias("version"), F.first("confidence").alias("confidence"), F.first("expired").alias("expired"), F.bool_or("fits").alias("fits"), F.min("applies").alias("applies"), F.min("unsure").alias("unsure"),
     )
+    ended = F.lit(None).cast("string")
+    if advisories is not None:
+        told = F.create_map(*[F.lit(x) for kv in TERMINAL.items() for x in kv])[F.col("advisory_state")]
+        ends = advisories.select("vulnerability_id", told.alias("ended")).filter("ended is not null").groupBy("vulnerability_id").agg(F.min("ended").alias("ended"))
+        per, ended = per.join(ends, "vulnerability_id", "left"), F.col("ended")
+    over = ended.isNotNull() | F.col("expired")
     state = (
-        F.when(F.col("expired"), "withdrawn").when(~F.col("fits"), "not_applicable").when(F.col("applies").isNotNull(), "applicable")
+        F.when(ended.isNotNull(), ended).when(F.col("expired"), "withdrawn").when(~F.col("fits"), "not_applicable").when(F.col("applies").isNotNull(), "applicable")
         .when(F.col("unsure").isNotNull() & F.col("version").isNull(), "unknown").when(F.col("unsure").isNotNull(), "review_required").otherwise("not_applicable")
     )
-    cap = F.when(F.col("expired"), 0.0).when(~F.col("fits"), 0.75).when(F.col("applies").isNotNull(), 0.95).when(F.col("unsure").isNotNull(), 0.55).otherwise(0.9)
-    return per.select("technology_id", "vulnerability_id", state.alias("state"), F.least("confidence", cap).alias("confidence"), F.when(~F.col("expired"), F.coalesce("applies", "unsure")).alias("matched_range"))
+    cap = F.when(over, 0.0).when(~F.col("fits"), 0.75).when(F.col("applies").isNotNull(), 0.95).when(F.col("unsure").isNotNull(), 0.55).otherwise(0.9)
+    return per.select("technology_id", "vulnerability_id", state.alias("state"), F.least("confidence", cap).alias("confidence"), F.when(~F.coalesce(over, F.lit(False)), F.coalesce("applies", "unsure")).alias("matched_range"))

@@ -120,42 +120,6 @@ def decide_requests(requests: DataFrame, approvals: DataFrame, now: Column) -> D
     return rows.withColumn("reasons", reasons).select("request_id", (F.size("reasons") == 0).alias("allowed"), "reasons")
 
 
-def crawl_decisions(targets: DataFrame, scopes: DataFrame) -> DataFrame:
-    """``target_id, reason``: the first rule of the crawl scope that a target breaks, or ``allowed``.
-
-    ``targets`` has ``target_id, scope_id, host, path, depth, redirects, size, mime`` and is taken in order of
-    its id; pages and bytes that were allowed before use up the budget of the scope.
-    """
-    rows = targets.join(scopes, "scope_id")
-    fits = F.exists("paths", lambda p: (p == "/") | (F.col("path") == p) | F.startswith(F.col("path"), F.concat(F.rtrim(p, F.lit("/")), F.lit("/"))))
-    first = (
-        F.when(~F.array_contains("hosts", F.col("host")), "host_not_allowed").when(~fits, "path_not_allowed").when((F.col("depth") < 0) | (F.col("depth") > MAX_DEPTH), "depth_exceeded")
-        .when((F.col("redirects") < 0) | (F.col("redirects") > MAX_REDIRECTS), "redirect_limit_exceeded").when((F.col("size") < 0) | (F.col("size") > MAX_RESOURCE_BYTES), "resource_size_exceeded")
-        .when(~F.lower(F.trim(F.split_part("mime", F.lit(";"), F.lit(1)))).isin(*MIME_TYPES), "mime_not_allowed")
-    )
-    before = Window.partitionBy("scope_id").orderBy("target_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("first", first)
-    passed = F.col("first").isNull()
-    used = rows.withColumns({"pages": F.coalesce(F.sum(passed.cast("int")).over(before), F.lit(0)), "bytes": F.coalesce(F.sum(F.when(passed, F.col("size"))).over(before), F.lit(0))})
-    reason = F.coalesce("first", F.when(F.col("pages") >= F.coalesce("max_pages", F.lit(MAX_PAGES)), "page_budget_exceeded"), F.when(F.col("bytes") + F.col("size") > MAX_TOTAL_BYTES, "total_byte_budget_exceeded"), F.lit("allowed"))
-    return used.select("target_id", "scope_id", reason.alias("reason"))
-
-
-def route_candidates(candidates: DataFrame, targets: DataFrame) -> DataFrame:
-    """``candidate_id, target_id, route`` of search hits: to the one target of their organization and origin, within its budget.
-
-    A hit without a target asks for a review of its source; with several it is an error; a target takes
-    hits in order of ``(kind, url)`` while its remaining pages last.
-    """
-    met = candidates.join(targets, ["organization_id", "origin"], "left")
-    per = Window.partitionBy("candidate_id")
-    counted = met.withColumn("matches", F.count("target_id").over(per))
-    one = counted.filter("matches = 1").withColumn("turn", F.row_number().over(Window.partitionBy("target_id").orderBy("kind", "url", "candidate_id")))
-    routed = one.select("candidate_id", "target_id", F.when(F.col("turn") <= F.col("remaining_pages"), "fetch").otherwise("budget_exhausted").alias("route"))
-    rest = counted.filter("matches <> 1").select("candidate_id", F.lit(None).cast("long").alias("target_id"), F.when(F.col("matches") == 0, "source_review").otherwise("ambiguous_target").alias("route")).distinct()
-    return routed.unionByName(rest)
-
-
 def review_opportunities(opportunities: DataFrame, actions: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Opportunities after one analyst's action each, and the audit of what was done.
 

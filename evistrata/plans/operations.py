@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evistrata.functions import identifiers, text
-from evistrata.operators import governance, graph, matching, professional, sinks
+from evistrata.operators import budgets, governance, graph, matching, professional, sinks
 from evistrata.plans import decisions, evidence
 from evistrata.plans.bindings import AS_OF, sql, table, view
 from evistrata.plans.evidence import as_of
@@ -375,26 +375,42 @@ def request_decisions(spark, sf_dir):
     return governance.decide_requests(requests, approvals, as_of()).select("request_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@registered("""WITH t AS (SELECT o_orderkey AS target_id, o_custkey % 20 AS scope_id, CASE WHEN o_orderkey % 9 = 0 THEN 'bad.org' ELSE 'good.org' END AS host, CASE WHEN o_orderkey % 11 = 0 THEN '/docs2' ELSE '/docs/x' END AS path, o_orderkey % 5 AS depth, cast(o_totalprice * 10 AS bigint) AS size FROM orders),
-    f AS (SELECT *, CASE WHEN host = 'bad.org' THEN 'host_not_allowed' WHEN path = '/docs2' THEN 'path_not_allowed' WHEN depth > 3 THEN 'depth_exceeded' WHEN size > 5000000 THEN 'resource_size_exceeded' END AS first FROM t),
-    u AS (SELECT *, coalesce(count(*) FILTER (first IS NULL) OVER w, 0) AS pages, coalesce(sum(size) FILTER (first IS NULL) OVER w, 0) AS bytes FROM f WINDOW w AS (PARTITION BY scope_id ORDER BY target_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT target_id, scope_id, coalesce(first, CASE WHEN pages >= 15 THEN 'page_budget_exceeded' WHEN bytes + size > 25000000 THEN 'total_byte_budget_exceeded' ELSE 'allowed' END) AS reason FROM u""")
+@registered("""WITH RECURSIVE t AS (SELECT o_orderkey AS target_id, o_custkey % 25 AS scope_id, CASE WHEN o_orderkey % 9 = 0 THEN 'bad.org' ELSE 'good.org' END AS host, CASE WHEN o_orderkey % 11 = 0 THEN '/docs2' ELSE '/docs/x' END AS path, o_orderkey % 5 AS depth, cast(o_totalprice * 20 AS bigint) AS size, o_orderkey % 7 <> 0 AS mime_ok FROM orders),
+    f AS (SELECT *, CASE WHEN host = 'bad.org' THEN 'host_not_allowed' WHEN path = '/docs2' THEN 'path_not_allowed' WHEN depth > 3 THEN 'depth_exceeded' END AS rule FROM t),
+    o AS (SELECT *, 10 + scope_id AS max_pages, row_number() OVER (PARTITION BY scope_id ORDER BY target_id) AS n FROM f WHERE rule IS NULL),
+    u AS (
+        SELECT scope_id, 0::bigint AS n, 0::bigint AS pages, 0::bigint AS bytes, NULL::bigint AS target_id, NULL::varchar AS a, NULL::varchar AS b FROM (SELECT DISTINCT scope_id FROM o)
+        UNION ALL
+        SELECT scope_id, n, pages + CASE WHEN b = 'allowed' THEN 1 ELSE 0 END, bytes + CASE WHEN b = 'allowed' THEN size ELSE 0 END, target_id, a, b FROM (
+            SELECT *, CASE WHEN a <> 'allowed' THEN NULL WHEN size > 5000000 THEN 'resource_size_exceeded' WHEN bytes + size > 25000000 THEN 'total_byte_budget_exceeded' WHEN NOT mime_ok THEN 'mime_not_allowed' ELSE 'allowed' END AS b
+            FROM (SELECT o.scope_id, o.n, o.target_id, o.size, o.mime_ok, u.pages, u.bytes, CASE WHEN u.pages >= max_pages THEN 'page_budget_exceeded' WHEN u.bytes >= 25000000 THEN 'total_byte_budget_exceeded' ELSE 'allowed' END AS a FROM u JOIN o ON o.scope_id = u.scope_id AND o.n = u.n + 1)))
+    SELECT target_id, scope_id, a AS target_reason, b AS response_reason FROM u WHERE n > 0 UNION ALL SELECT target_id, scope_id, rule, NULL FROM f WHERE rule IS NOT NULL""")
 def crawl_decisions(spark, sf_dir):
     k = F.col("o_orderkey")
-    targets = table(spark, sf_dir, "orders").select(k.alias("target_id"), (F.col("o_custkey") % 20).alias("scope_id"), F.when(k % 9 == 0, "bad.org").otherwise("good.org").alias("host"), F.when(k % 11 == 0, "/docs2").otherwise("/docs/x").alias("path"), (k % 5).alias("depth"), F.lit(0).alias("redirects"), F.round(F.col("o_totalprice") * 10).cast("long").alias("size"), F.lit("Text/HTML; charset=utf-8").alias("mime"))
-    scopes = spark.range(20).select(F.col("id").alias("scope_id"), F.array(F.lit("good.org")).alias("hosts"), F.array(F.lit("/docs")).alias("paths"), F.lit(15).alias("max_pages"))
-    return governance.crawl_decisions(targets, scopes)
-
-
-@registered("""WITH c AS (SELECT event_id AS candidate_id, user_id % 40 AS organization_id, 'o' || (event_id % 3) AS origin, event_type AS kind, 'u' || event_id AS url FROM events), t AS (SELECT s_suppkey AS target_id, s_suppkey % 40 AS organization_id, 'o' || (s_suppkey % 3) AS origin, 3 AS remaining FROM supplier WHERE s_suppkey <= 60),
-    m AS (SELECT c.*, target_id, remaining, count(target_id) OVER (PARTITION BY candidate_id) AS n FROM c LEFT JOIN t USING (organization_id, origin)), o AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY kind, url, candidate_id) AS turn FROM m WHERE n = 1)
-    SELECT candidate_id, target_id, CASE WHEN turn <= remaining THEN 'fetch' ELSE 'budget_exhausted' END AS route FROM o UNION ALL SELECT DISTINCT candidate_id, NULL, CASE WHEN n = 0 THEN 'source_review' ELSE 'ambiguous_target' END FROM m WHERE n <> 1""")
+    mime = F.when(k % 7 == 0, "image/png").otherwise("Text/HTML; charset=utf-8")
+    targets = table(spark, sf_dir, "orders").select(k.alias("target_id"), (F.col("o_custkey") % 25).alias("scope_id"), F.when(k % 9 == 0, "bad.org").otherwise("good.org").alias("host"), F.when(k % 11 == 0, "/docs2").otherwise("/docs/x").alias("path"), (k % 5).alias("depth"), F.lit(0).alias("redirects"), F.round(F.col("o_totalprice") * 20).cast("long").alias("size"), mime.alias("mime"))
+    scopes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("scope_id"), F.array(F.lit("good.org")).alias("hosts"), F.array(F.lit("/docs")).alias("paths"), (F.col("n_nationkey") + 10).alias("max_pages"))
+    return budgets.crawl(targets, scopes)[0]
+
+
+@registered("""WITH RECURSIVE c AS (SELECT event_id AS candidate_id, user_id % 97 AS organization_id, 'o' || (event_id % 2) AS origin, CASE WHEN event_id % 5 = 0 THEN '/out' ELSE '/in/x' END AS path FROM events),
+    t AS (SELECT s_suppkey AS target_id, s_suppkey % 97 AS organization_id, 'o' || (s_suppkey % 2) AS origin, s_suppkey % 3 AS pages, 2 + s_suppkey % 4 AS most, s_suppkey % 10 <> 0 AS executable FROM supplier),
+    o AS (SELECT *, row_number() OVER (PARTITION BY organization_id, origin ORDER BY candidate_id) AS n FROM c),
+    u AS (
+        SELECT organization_id, origin, 0::bigint AS n, map_from_entries(list((target_id, (pages)::bigint))) AS used, NULL::bigint AS candidate_id, NULL::bigint[] AS takes FROM t GROUP BY ALL
+        UNION ALL
+        SELECT organization_id, origin, n, CASE WHEN len(takes) = 1 THEN map_from_entries(list_transform(map_entries(used), lambda e: {'k': e.key, 'v': e.value + CASE WHEN e.key = takes[1] THEN 1 ELSE 0 END})) ELSE used END, candidate_id, takes FROM (
+            SELECT o.organization_id, o.origin, o.n, u.used, o.candidate_id,
+                CASE WHEN o.path = '/out' THEN []::bigint[] ELSE list_transform(list_filter(map_entries(u.used), lambda e: e.value < 2 + e.key % 4 AND e.key % 10 <> 0), lambda e: e.key) END AS takes
+            FROM u JOIN o ON o.organization_id = u.organization_id AND o.origin = u.origin AND o.n = u.n + 1))
+    SELECT candidate_id, CASE WHEN len(takes) = 1 THEN takes[1] END AS target_id, CASE len(takes) WHEN 0 THEN 'source_review' WHEN 1 THEN 'public_web' ELSE 'ambiguous_target' END AS route FROM u WHERE n > 0
+    UNION ALL SELECT candidate_id, NULL, 'source_review' FROM c ANTI JOIN t USING (organization_id, origin)""")
 def route_candidates(spark, sf_dir):
     i, s = F.col("event_id"), F.col("s_suppkey")
     o = lambda n: F.concat(F.lit("o"), n.cast("string"))
-    candidates = _events(spark, sf_dir).select(i.alias("candidate_id"), (F.col("user_id") % 40).alias("organization_id"), o(i % 3).alias("origin"), F.col("event_type").alias("kind"), F.concat(F.lit("u"), i.cast("string")).alias("url"))
-    targets = table(spark, sf_dir, "supplier").filter("s_suppkey <= 60").select(s.cast("long").alias("target_id"), (s % 40).alias("organization_id"), o(s % 3).alias("origin"), F.lit(3).alias("remaining_pages"))
-    return governance.route_candidates(candidates, targets)
+    candidates = _events(spark, sf_dir).select(i.alias("candidate_id"), (F.col("user_id") % 97).alias("organization_id"), o(i % 2).alias("origin"), F.lit("h").alias("host"), F.when(i % 5 == 0, "/out").otherwise("/in/x").alias("path"))
+    targets = table(spark, sf_dir, "supplier").select(s.cast("long").alias("target_id"), (s % 97).cast("long").alias("organization_id"), o(s % 2).alias("origin"), F.array(F.lit("h")).alias("hosts"), F.array(F.lit("/in")).alias("paths"), (s % 3).alias("pages"), (s % 4 + 2).alias("max_pages"), (s % 10 != 0).alias("executable"))
+    return budgets.route(candidates, targets)
 
 
 @registered(f"""WITH s AS {STORED}, a AS (SELECT s_suppkey AS hypothesis_id, CASE s_suppkey % 4 WHEN 0 THEN 'qualify' WHEN 1 THEN 'reject' WHEN 2 THEN 'snooze' ELSE 'reopen' END AS action, CASE WHEN s_suppkey % 3 = 0 THEN 'why' END AS note, {AS_OF} + to_days(cast(s_suppkey % 3 - 1 AS int)) AS until FROM supplier),

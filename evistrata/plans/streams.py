@@ -1,12 +1,14 @@
-"""Registered queries that run as streams; each must give what its batch query gives."""
+"""Registered queries that run batch by batch; each must give what one query over everything gives."""
 
 from __future__ import annotations
 
-from evistrata.operators import reconcile
+from pyspark.sql import functions as F
+
+from evistrata.operators import commercial, reconcile
 from evistrata.operators.lineage import shared_path
 from evistrata.operators.revisions import RevisionSpec
-from evistrata.plans import evidence
-from evistrata.plans.bindings import VIEWS, for_spark, sql
+from evistrata.plans import decisions, evidence
+from evistrata.plans.bindings import VIEWS, for_spark, sql, view
 from evistrata.streaming import state
 
 QUERIES: dict = {}
@@ -36,6 +38,34 @@ def stream_assets(spark, sf_dir):
     return state.current(spark, path, "asset_key").select("asset_key", "history_count", "effective_count", "active_count", "first_seen_at", "last_updated_at", "organization_link_status")
 
 
-for _query, _sql in ((stream_changes, sql(evidence.CHANGE_ROWS)), (stream_assets, evidence.ORACLE_SQL["reconcile_assets"])):
+def persist_commercial(spark, sf_dir):
+    """Opportunities after two batches of signals, each of which scores the organizations that it touches."""
+    kept = commercial.store(spark, shared_path(spark, "commercial"))
+    signals = view(spark, sf_dir, "v_signal")
+    for half in (1, 0):  # both halves of the table, one batch after the other
+        part = signals.filter(F.col("signal_id") % 2 == half)
+        organizations = part.select("organization_id").distinct().select("organization_id", F.concat(F.lit("org "), F.col("organization_id")).alias("name"), F.lit(None).cast("array<string>").alias("registration_ids"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+        evidence_rows = part.groupBy("evidence_id", "organization_id").agg(F.max("effective_at").alias("collected_at"))
+        commercial.persist(kept, f"half {half}", organizations, evidence_rows, part, evidence.as_of())
+    parts = kept.read("components").groupBy("organization_id").agg(F.count("*").alias("components"))
+    found = kept.read("opportunities").join(parts, "organization_id")
+    return found.select("organization_id", "state", "tenders", "jobs", "last_evidence_at", F.round("score", 6).alias("score"), "data_quality", "components")
+
+
+def persist_hypotheses(spark, sf_dir):
+    """Hypotheses after the same signals in one batch."""
+    kept = commercial.store(spark, shared_path(spark, "commercial"))
+    signals = view(spark, sf_dir, "v_signal")
+    none = spark.createDataFrame([], kept._schema("organizations"))
+    commercial.persist(kept, "all", none.drop("deleted"), signals.groupBy("evidence_id", "organization_id").agg(F.max("effective_at").alias("collected_at")), signals, evidence.as_of())
+    return kept.read("hypotheses").select("organization_id", "requested_class", "family", "hypothesis_class", F.round("confidence", 9).alias("confidence"), "independent", "supporting", "signals", "expires_at")
+
+
+_REGISTERED = (
+    (stream_changes, sql(evidence.CHANGE_ROWS)), (stream_assets, evidence.ORACLE_SQL["reconcile_assets"]), (persist_hypotheses, decisions.ORACLE_SQL["fuse_hypotheses"]),
+    (persist_commercial, sql(decisions.MATCHED + """ SELECT organization_id, 'needs_review' AS state, tenders, jobs, last_evidence_at, round(greatest(0.0::double, least(100.0::double, a * 45 + b * 25 + c * 15 + d * 10 + confidence * 5 - f * 20)), 6) AS score,
+        CASE WHEN tenders > 0 AND jobs > 0 AND evidence >= 2 THEN 'complete' ELSE 'partial' END AS data_quality, 6 AS components FROM v""")),
+)
+for _query, _sql in _REGISTERED:
     QUERIES[_query.__name__] = _query
     ORACLE_SQL[_query.__name__] = _sql

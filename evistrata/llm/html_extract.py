@@ -41,7 +41,7 @@ _RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea",
 #: Of these, an element that closes itself has no content.
 _FOREIGN = ("svg", "math")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_AWAY = frozenset("nav footer aside form menu dialog button head".split())
+_AWAY = frozenset("nav footer aside menu dialog button head".split())
 _MAIN = frozenset(("article", "main"))
 _AWAY_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Words of class and id attributes that name what is no main text.
@@ -51,10 +51,16 @@ _AWAY_NAME = re.compile(
     r"comments?|comment-\w+|disqus|replies|reply|respond|widget|pagination|pager|skip|copyright|legal|disclaimer|search)(?=$|[\s_-]|\d)",
     re.I,
 )
+#: What a class or id may also call an article that is not the page's.
+_AWAY_ARTICLE = re.compile(r"(?:^|[\s_-])(?:teaser|card|preview|excerpt|comment|review)s?(?=$|[\s_-]|\d)", re.I)
+#: Names that a page's wrapper does not have by chance.
+_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-\w+|disqus|replies|reply|respond|related|recommend\w*)(?=$|[\s_-]|\d)", re.I)
 #: Names that tell a state or a subject and not what the element is: ``has-sidebar``, ``category-legal``.
 _STATE_NAME = re.compile(r"(?:has|no|not|with|without|category|cat|tag|topic)[_-]", re.I)
 #: Share of the candidate text above which an element is the page's wrapper, whatever its name.
 WRAPPER = 0.75
+#: Well-worded text outside of all marked articles, as a multiple of that inside, from which the articles are not the page's text.
+OUTSIDE = 3
 #: Comments and declarations; tags with well-formed attributes; other tags; a tag that the page's end cuts off.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>"
@@ -88,37 +94,50 @@ def _away(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def _named_away(tag: str, attributes: str) -> bool:
-    """Whether a class or id names the element as frame; never said of a page's root, article or main."""
-    if tag in ("body", "html") or tag in _MAIN:
-        return False
-    values = (a or b or c for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id"))
-    return any(_AWAY_NAME.search(n) and not _STATE_NAME.match(n) for v in values if _AWAY_NAME.search(v) for n in v.split())
+def _named_away(tag: str, attributes: str) -> str:
+    """``named`` or ``readers`` if a class or id calls the element frame, ``form`` for a form; '' otherwise, also for a page's root and main."""
+    if tag in ("body", "html", "main"):
+        return ""
+    values = [a or b or c for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")]
+    words = [n for v in values for n in v.split() if not _STATE_NAME.match(n)]
+    if any(_READERS.search(n) for n in words):
+        return "readers"
+    if any(_AWAY_NAME.search(n) or tag == "article" and _AWAY_ARTICLE.search(n) for n in words):
+        return "named"
+    return "form" if tag == "form" else ""
 
 
-def _settle_names(found: list[Block], opened: list[tuple[int, ...]]) -> None:
-    """Set ``away`` in elements with a frame's name, outer ones first, except in those that are wrappers.
+def _settle_names(found: list[Block], opened: list[tuple[int, ...]], kinds: list[str]) -> None:
+    """Set ``away`` in forms and in elements with a frame's name, outer ones first, except in those that are wrappers.
 
     A wrapper holds most of the candidate text: of the marked articles outside of such elements if there
-    are any, else of all marked articles, else of the page. ``opened`` has the ``named`` of every region.
+    are any, else of the page. One that is named for readers or for other pages is none where
+    well-worded text stands outside of it, and a form is none without any. ``opened`` has the ``named`` of every region,
+    ``kinds`` what each element is.
     """
     inside: dict[int, dict[int, int]] = {}
     total: dict[int, int] = {}
+    worded: list[tuple[int, ...]] = []  # the elements around each well-worded block
     for b in found:
         if not b.away and b.linked <= MAX_LINKS * len(b.text):
             total[b.region] = total.get(b.region, 0) + len(b.text)
             for n in b.named:
                 inside.setdefault(n, {})[b.region] = inside.setdefault(n, {}).get(b.region, 0) + len(b.text)
+            if len(b.text) >= SHORT and not b.heading and _density(b.text) >= STOP_LOW:
+                worded.append(b.named)
     lifted: set[int] = set()
-    marked = [r for r in total if r]
     judged: list[int] = []
     for n in sorted(inside):
         if not judged:
-            judged = [r for r in marked if lifted.issuperset(opened[r])] or marked or [0]
+            judged = [r for r in total if r and lifted.issuperset(opened[r])] or list(total)
             whole = sum(total.get(r, 0) for r in judged)
-        if sum(inside[n].get(r, 0) for r in judged) > WRAPPER * whole:
+        mine = sum(n in names for names in worded)
+        odd = kinds[n] == "readers" and mine < len(worded) or kinds[n] == "form" and not mine and len(found) > 1 and sum(inside[n].values()) < LONG
+        if sum(inside[n].get(r, 0) for r in judged) > WRAPPER * whole and not odd:
             lifted.add(n)
             judged = []
+    if not any(not b.away and lifted.issuperset(b.named) and len(b.text) >= SHORT for b in found):  # a list of articles, all named as parts of one
+        lifted |= {n for n in inside if kinds[n] == "article"}
     for b in found:
         b.away = b.away or not lifted.issuperset(b.named)
 
@@ -129,7 +148,8 @@ def blocks(html: str) -> list[Block]:
     parts: list[str] = []
     stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, away, region, named
     opened: list[tuple[int, ...]] = [()]
-    state = {"linked": 0, "links": 0, "regions": 0, "names": 0, "heading": False}
+    kinds: list[str] = []
+    state = {"linked": 0, "links": 0, "regions": 0, "heading": False}
 
     def close_block() -> None:
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
@@ -182,16 +202,16 @@ def blocks(html: str) -> list[Block]:
         if tag in ("p", "li", "dt", "dd", "option") and stack and stack[-1][0] == tag:
             stack.pop()
         away, region, named = stack[-1][1:] if stack else (False, 0, ())
-        if _named_away(tag, attributes):
-            state["names"] += 1
-            named = (*named, state["names"])
+        if kind := _named_away(tag, attributes):
+            kinds.append("article" if tag == "article" and kind == "named" else kind)
+            named = (*named, len(kinds) - 1)
         if tag in _MAIN:
             state["regions"] += 1
             region = state["regions"]
             opened.append(named)
         stack.append((tag, away or _away(tag, attributes, region > 0), region, named))
     close_block()
-    _settle_names(found, opened)
+    _settle_names(found, opened, kinds)
     return found
 
 
@@ -200,14 +220,19 @@ def _frame(b: Block) -> bool:
     return b.away or b.linked > (SHORT_LINKS if b.region and len(b.text) < SHORT and not b.heading else MAX_LINKS) * len(b.text) or b.text.startswith("©") and len(b.text) < LONG or b.text.startswith("Copyright") and len(b.text) < SHORT and not b.heading
 
 
+def _density(text: str) -> float:
+    """Share of stop words."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
 def first_pass(b: Block) -> str:
     """``good``, ``bad``, or what is undecided: ``near`` (tends to good) and ``short``."""
     if _frame(b):
         return "bad"
     if len(b.text) < SHORT or b.heading:
         return "short"
-    words = _WORD.findall(b.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    density = _density(b.text)
     if density >= STOP_HIGH:
         return "good" if len(b.text) >= LONG else "near"
     if density >= STOP_LOW:
@@ -227,12 +252,11 @@ def judge_by_length(found: list[Block]) -> None:
 def second_pass(found: list[Block]) -> None:
     """Undecided blocks take the label of their nearest decided neighbours in the same article or outside of all.
 
-    Between two labels that differ, ``near`` blocks become good and short ones go with the closer side
-    (bad on a draw). Where nothing is decided on either side, blocks of a marked article and ``near`` blocks
-    are good. A heading is good when a good block follows within reach. On a page where nothing turns out
+    ``near`` blocks are good and count as decided. Between two labels that differ short ones go with the closer side
+    (bad on a draw). Where nothing is decided on either side, blocks of a marked article are good. A heading is good when a good block follows within reach. On a page where nothing turns out
     good, all blocks that the first pass left undecided are.
     """
-    decided = [b.label if b.label in ("good", "bad") else "" for b in found]
+    decided = ["" if b.label == "short" else "bad" if b.label == "bad" else "good" for b in found]
     before: list[tuple[str, int]] = []
     last: dict[int, tuple[str, int]] = {}
     for i, b in enumerate(found):
@@ -245,17 +269,17 @@ def second_pass(found: list[Block]) -> None:
         if not decided[i]:
             (prev, at_prev), (nxt, at_next) = before[i], last.get(b.region, ("", -1))
             if not prev and not nxt:
-                b.label = "good" if b.region or b.label == "near" else "bad"
+                b.label = "good" if b.region else "bad"
             elif b.heading and nxt == "good" and sum(len(x.text) for x in found[i + 1 : at_next]) <= HEADING_REACH:
                 b.label = "good"
             elif not prev or not nxt or prev == nxt:
-                only = nxt or prev
-                b.label = "good" if only == "good" or b.label == "near" else "bad"
+                b.label = nxt or prev
             else:
-                closer = prev if i - at_prev < at_next - i else nxt if at_next - i < i - at_prev else "bad"
-                b.label = "good" if b.label == "near" else closer
-        elif not b.away:
-            last[b.region] = (decided[i], i)
+                b.label = prev if i - at_prev < at_next - i else nxt if at_next - i < i - at_prev else "bad"
+        else:
+            b.label = decided[i]
+            if not b.away:
+                last[b.region] = (decided[i], i)
     if all(b.label == "bad" for b in found):
         for b, was in zip(found, decided, strict=True):
             b.label = b.label if was else "good"
@@ -264,8 +288,11 @@ def second_pass(found: list[Block]) -> None:
 def main_text(html: str | None) -> str:
     """Text of the blocks that both passes find good, joined by one space; null and empty pages give ''."""
     found = blocks(html or "")
-    if any(b.region and not b.away for b in found):  # a marked article: what lies outside is frame
-        found = [b for b in found if b.region]
+    open_ = [b for b in found if not b.away]
+    if any(b.region for b in open_):  # a marked article: what lies outside is frame, unless nearly all well-worded text lies there
+        worded = lambda blocks: sum(len(b.text) for b in blocks if len(b.text) >= SHORT and not b.heading and b.linked <= MAX_LINKS * len(b.text) and _density(b.text) >= STOP_LOW)
+        if worded(b for b in open_ if not b.region) <= OUTSIDE * worded(b for b in open_ if b.region):
+            found = [b for b in found if b.region]
     for b in found:
         b.label = first_pass(b)
     judge_by_length(found)

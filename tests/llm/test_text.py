@@ -45,6 +45,29 @@ def test_pages(spark):
     assert sorted(r.text for r in html_extract.extract(odd).collect()) == ["", "", "hi"]
 
 
+TEASER = "Ten more things that you have to know of the city and of the people in it, told by those who were there for it."
+MIDDLE = "It was the first of the bridges that they had in the town, and it is the last one to be shut for the winter."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<div class='entry'><p>{PROSE}</p><p>{PROSE}</p></div><div id='comments'><ol><li><article class='comment-body'><p>{PROSE * 3}</p></article></li><li><article class='comment-body'><p>{PROSE}</p></article></li></ol></div>", f"{PROSE}{PROSE.strip()}"),
+        (f"<div class='entry'><p>{PROSE}</p></div><section class='related'><article><h3>More</h3><p>{TEASER}</p></article></section>", PROSE.strip()),
+        (f"<main><p>{PROSE}</p></main><article class='comment'><p>{PROSE * 2}</p></article>", PROSE.strip()),
+        (f"<article class='post'><p>{PROSE}</p></article><article class='teaser'><p>{TEASER}</p></article>", PROSE.strip()),
+        (f"<body><form id='aspnetForm' action='x'><div class='menu'><a href=/>Home</a></div><div><h1>Title</h1><p>{PROSE}</p><p>short end.</p></div><input name=q></form></body>", f"Title {PROSE.strip()} short end."),
+        (f"<form action=x><article><p>{PROSE}</p><form class=comment-form><p>{TEASER}</p></form></article></form>", PROSE.strip()),
+        (f"<h1>Bridge to close</h1><p>{MIDDLE}</p><p>So it goes.</p><p>{MIDDLE}</p>", f"Bridge to close {MIDDLE} So it goes. {MIDDLE}"),
+        (f"<div><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div><div><article><p>{TEASER}</p></article></div>", f"{PROSE * 4}{TEASER}"),
+        (f"<div><article class='card'><p>{PROSE}</p></article><article class='card'><p>{PROSE}</p></article></div>", f"{PROSE}{PROSE.strip()}"),
+        ("<form><label>Name</label><input><label>Mail</label><button>Send</button></form>", ""),
+    ],
+)
+def test_what_the_page_holds_most_of_is_its_text(html, text):
+    assert html_extract.main_text(html) == text
+
+
 LINKED = "See the <a href=/r>report</a> for the full list of the results."
 POLISH = "Rada miasta przyjęła wczoraj nowy budżet, który przewiduje większe wydatki dotyczące szkół oraz transportu publicznego. " * 3
 

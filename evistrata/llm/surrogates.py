@@ -15,7 +15,7 @@ import hmac
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import combinations, product
+from itertools import combinations, count, product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -195,21 +195,22 @@ def _script(word: str) -> str:
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """Canonical form of the replacement; the same for the same arguments."""
     d = _Draw(key, kind, value, attempt)
-    longer = attempt // WIDEN  # where short forms run out, names and mailboxes grow
+    longer = attempt // WIDEN  # where short forms run out, all kinds but addresses of machines grow
+    more = "".join(str(d.below(10)) for _ in range(longer))
     if kind == "ip":
         return ".".join(str(1 + d.below(254)) for _ in range(4))
     if kind == "email":
         local, _, domain = value.partition("@")
         return f"{d.like(local)}{''.join(chr(97 + d.below(26)) for _ in range(longer))}@{domain}"
     if kind == "card":
-        body = value[0] + d.like(value[1:-1])
+        body = value[0] + d.like(value[1:-1]) + more
         return body + (luhn_digit(body) if luhn_digit(value[:-1]) == value[-1] else d.like(value[-1]))
     if kind == "key":
-        return value[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[d.below(32)] for _ in value[4:])
+        return value[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[d.below(32)] for _ in range(len(value) - 4 + longer))
     if kind == "phone":  # the country code and the exchange tell the type
-        return value[:1] + d.like(value[1:]) if len(value) <= 10 else value[:-10] + d.like(value[-10:])
+        return (value[:1] + d.like(value[1:]) if len(value) <= 10 else value[:-10] + d.like(value[-10:])) + more
     if kind == "iban":
-        body = d.like(value[4:])
+        body = d.like(value[4:]) + more
         return f"{value[:2]}{iban_digits(value[:2], body)}{body}"
     if kind == "ip6":
         return "".join("0123456789abcdef"[d.below(16)] if c != ":" else c for c in value)
@@ -224,14 +225,14 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
                 name = name[:-1] + (_VOWELS[script][0] if gender == "f" else _CONSONANTS[script][d.below(len(_CONSONANTS[script]))])
             out.append(name)
         return f"{gender}:{' '.join(out)}"
-    return d.like(value)
+    return d.like(value) + more
 
 
 def written_like(kind: str, replacement: str, original: str, value: str | None = None) -> str:
     """``replacement`` (canonical) in the way in which ``original`` is written; a part of the name ``value`` gets the same part."""
     if kind in ("phone", "card", "ssn", "iban"):
         left = iter(replacement)
-        return "".join(next(left, "") if c.isalnum() else c for c in original)
+        return "".join(next(left, "") if c.isalnum() else c for c in original) + "".join(left)
     if kind == "name":
         words, full = replacement.partition(":")[2].split(" "), (value or "").partition(":")[2].split(" ")
         at = 0
@@ -266,8 +267,12 @@ def detect(docs: DataFrame) -> DataFrame:
     return docs.select(digest("text").alias("text_key"), "text").mapInPandas(run, "text_key string, start int, stop int, kind string, value string, written string").distinct()
 
 
-def name_surrogates(entities: DataFrame, key: bytes, most_rounds: int = 200) -> DataFrame:
-    """``kind, value, surrogate`` with distinct surrogates of which none is a value of ``entities``."""
+def name_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
+    """``kind, value, surrogate``: distinct surrogates of which none is a value of ``entities``; names also without their gender.
+
+    Every round draws for the values that still wait, and one value gets each drawn form. What a round settles is written once. After ``WIDEN``
+    rounds forms grow, and with each character there are at least ten times as many, so few rounds are left.
+    """
 
     def draw(attempt: int):
         @F.pandas_udf("string")
@@ -276,19 +281,19 @@ def name_surrogates(entities: DataFrame, key: bytes, most_rounds: int = 200) ->
 
         return run("kind", "value")
 
-    entities = materialize(entities.select("kind", "value").distinct(), "pii-entities")
-    real = entities.select("kind", F.col("value").alias("surrogate"))
-    settled, waiting = None, entities
-    for attempt in range(most_rounds):
+    form = lambda c: F.when(F.col("kind") == "name", F.expr(f"substring({c}, 3)")).otherwise(F.col(c)).alias("form")
+    waiting = materialize(entities.select("kind", "value").distinct(), "pii-entities")
+    taken = waiting.select("kind", form("value"))
+    out: DataFrame | None = None
+    for attempt in count():
         drawn = materialize(waiting.withColumn("surrogate", draw(attempt)), "pii-drawn")
-        taken = real if settled is None else real.unionByName(settled.select("kind", "surrogate"))
-        free = drawn.join(taken.distinct(), ["kind", "surrogate"], "left_anti")
-        first = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
-        settled = materialize(first.select("kind", "value", "surrogate") if settled is None else settled.unionByName(first.select("kind", "value", "surrogate")), "pii-settled")
-        waiting = materialize(entities.join(settled, ["kind", "value"], "left_anti"), "pii-waiting")
+        free = drawn.withColumn("form", form("surrogate")).join(taken, ["kind", "form"], "left_anti")
+        first = materialize(free.groupBy("kind", "form").agg(F.min(F.struct("value", "surrogate")).alias("r")).select("kind", "r.value", "r.surrogate"), "pii-settled")
+        out = first if out is None else out.unionByName(first)
+        taken = taken.unionByName(first.select("kind", form("surrogate")))
+        waiting = materialize(waiting.join(first, ["kind", "value"], "left_anti"), "pii-waiting")
         if not waiting.limit(1).count():
-            return settled
-    raise RuntimeError("a kind of entity has fewer forms than values")
+            return out
 
 
 def replace(docs: DataFrame, key: bytes) -> DataFrame:

@@ -202,3 +202,13 @@ def test_article_text_is_not_lost():
     assert page(f'<article><p>{said}</p><svg class="i" /><p>two {said}</p></article>') == f"{said} two {said}"
     unspaced = "\u8fd9\u662f\u4e00\u4e2a\u5173\u4e8e\u7ecf\u6d4e\u53d1\u5c55\u7684\u6587\u7ae0" * 20
     assert page(f"<div><p>{unspaced}</p><p>{unspaced}</p></div>") == f"{unspaced} {unspaced}"
+
+
+def test_short_forms_do_not_run_out(spark):
+    values = [("phone", f"3{i:04d}") for i in range(8000)] + [("key", "AKIA" + f"{i:016d}") for i in range(50)] + [("ssn", f"{i:09d}") for i in range(50)] + [("name", f"{g}:{w}") for g in "mf" for w in ("bob", "abo", "eve")]
+    found = surrogates.name_surrogates(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
+    assert len(found) == len(values) and {(r.kind, r.value) for r in found} == set(values)
+    form = lambda kind, v: v[2:] if kind == "name" else v
+    real, drawn = {(k, form(k, v)) for k, v in values}, [(r.kind, form(r.kind, r.surrogate)) for r in found]
+    assert len(set(drawn)) == len(drawn) and not real & set(drawn)
+    assert surrogates.written_like("phone", "371234", "+3 71 23") == "+3 71 234"

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evistrata.llm.shared import materialize
+from evistrata.llm.shared import materialize, shared_dir
 
 BITS = 64
 NEIGHBOURS = 10
@@ -75,7 +75,7 @@ def _write_index(codes: DataFrame, segments: list[tuple[int, int]]) -> str:
     spark, name = codes.sparkSession, f"hamming_index_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-codes.count() * len(segments) // BUCKET_ROWS))
     rows = codes.select("code", "ids", F.inline(_cut("code", segments, range(len(segments))))).select("segment", "value", "code", "ids")
-    rows.repartition(buckets, "segment", "value").write.format("parquet").bucketBy(buckets, "segment", "value").sortBy("segment", "value").saveAsTable(name)
+    rows.repartition(buckets, "segment", "value").write.format("parquet").bucketBy(buckets, "segment", "value").sortBy("segment", "value").saveAsTable(name, path=f"{shared_dir(spark).rstrip('/')}/{name}")
     return name
 
 

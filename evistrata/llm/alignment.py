@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import itemgetter
@@ -28,7 +29,7 @@ from evistrata.llm.shared import materialize, small_batches
 #: Characters of texts that are aligned together; bounds the memory of a task.
 CHUNK_CHARS = 1 << 20
 #: Pieces of up to so many characters are remembered, so many of them at once.
-SHORT, REMEMBERED = 64, 500_000
+SHORT, REMEMBERED = 64, 350_000
 #: Pairs that travel to every task: 16 bytes each.
 HOT = 1 << 19
 #: Pairs that a task counts before it hands on its sums.
@@ -50,11 +51,6 @@ class _Tokens:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _checked(self, ids: list[int], piece: str) -> bytes:
-        """Ids as bytes (uint32 each), or one ``_BAD`` where they do not spell the piece."""
-        t = self.table
-        return np.array(ids if b"".join([t[i] for i in ids]) == piece.encode() else [_BAD], "<u4").tobytes()
-
     def all_ids(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(" " + t) for t in texts]
         if len(self.known) >= REMEMBERED:
@@ -65,8 +61,9 @@ class _Tokens:
                 known[p] = older[p]
             else:
                 new.append(p)
-        for p, ids in zip(new, self.encode_pieces(new), strict=True):
-            (known if len(p) <= SHORT else once)[p] = self._checked(ids, p)
+        table, bad = self.table, array("I", [_BAD]).tobytes()
+        for p, ids in zip(new, self.encode_pieces(new), strict=True):  # as bytes, four for each id; one bad id where they do not spell the piece
+            (known if len(p) <= SHORT else once)[p] = array("I", ids).tobytes() if b"".join([table[i] for i in ids]) == p.encode() else bad
         at = {**known, **once}.__getitem__ if once else known.__getitem__
         return [np.frombuffer(b"".join(map(at, pieces)), "<u4") for pieces in cut]
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evistrata.operators.graph_loaders import STRUCTURE, mapped
 from evistrata.operators.lineage import cut
-from evistrata.operators.reconcile import EDGE_REVIEW, every, some
+from evistrata.operators.reconcile import every, some
 from evistrata.operators.revisions import RevisionSpec, effective, latest_by
 
 
@@ -50,14 +51,6 @@ def reconcile_nodes(snapshots: DataFrame, as_of: Column, spec: RevisionSpec = Re
     return found.select("node_key", F.col("b.event_type").alias("node_type"), F.col("b.title").alias("display_name"), F.when(F.size("o") == 1, F.get("o", F.lit(0))).alias("organization_id"), "confidence", "modules", "current", "snapshots")
 
 
-def review_state(states: Column) -> Column:
-    """The first state of the fixed order that occurs."""
-    out = F.when(F.array_contains(states, EDGE_REVIEW[0]), EDGE_REVIEW[0])
-    for s in EDGE_REVIEW[1:]:
-        out = out.when(F.array_contains(states, s), s)
-    return out
-
-
 def reconcile_edges(snapshots: DataFrame, as_of: Column) -> DataFrame:
     """Edges: superseded by any snapshot, last one wins ties, and an edge never loses all of its statements."""
     spec = RevisionSpec(supersedes="supersedes_record_key", from_all=True, fallback="event_key")
@@ -116,118 +109,9 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, bindings: DataFrame, downst
     return out.withColumns({"downstream_records": total, "needs_confirmation": (F.col("graph_edges") > 0) | (total > 0), "fingerprint": F.sha2(material, 256)})
 
 
-# Kinds of edges by relationship between identities.
-STRUCTURE = {
-    "establishment_of": "establishment_of", "headquarters_of": "establishment_of", "direct_parent": "parent_of", "ultimate_parent": "parent_of", "subsidiary": "subsidiary_of",
-    "brand_of": "brand_of", "predecessor": "predecessor_of", "successor": "successor_of", "merged_into": "merged_into", "spin_off_of": "spin_off_of",
-}
-
-
 def structural_edge(relationship: Column) -> Column:
     """Kind of edge for a relationship between identities; null for one that is no part of a structure."""
-    return F.create_map(*[F.lit(x) for kv in STRUCTURE.items() for x in kv])[F.lower(F.trim(relationship))]
-
-
-NODE = ("node_key", "node_type", "display_name", "source_id", "source_record_key", "organization_id", "modified_at", "valid_from", "valid_until", "confidence", "active", "snapshot_id")
-EDGE = ("edge_key", "source_node_key", "target_node_key", "edge_type", "source_id", "source_record_key", "claim_type", "review_state", "modified_at", "valid_from", "valid_until", "expires_at", "confidence", "active", "supersedes_record_key", "snapshot_id")
-# Review states of claims about changes, kinds of statements in the graph.
-CONFIRMED = ("official_confirmation", "regulator_notice", "company_disclosure")
-DOUBTED = ("speculation", "dispute")
-
-
-def _shaped(rows: DataFrame, names: tuple[str, ...], **values: Column) -> DataFrame:
-    """The columns ``names``: given ones, those that the rows have, null for the others."""
-    return rows.select(*[(values[n] if n in values else F.col(n) if n in rows.columns else F.lit(None).cast("string")).alias(n) for n in names])
-
-
-def organization_key(column: str) -> Column:
-    return F.concat(F.lit("organization:"), F.col(column).cast("string"))
-
-
-def exact_organization() -> Column:
-    return F.when(F.col("link_status") == "exact", F.col("organization_id"))
-
-
-def incident_graph(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Incident nodes and edges to their exactly linked organizations.
-
-    A denial is a dispute; retracted, disputed and historical claims are inactive.
-    """
-    kind = F.when(F.col("claim_type").isin("denial", "dispute"), "dispute").when(F.col("claim_type") == "retraction", "retraction").otherwise("assertion")
-    live = F.col("active") & ~F.col("historical_only") & (kind == "assertion")
-    key = F.concat(F.lit("incident:"), F.col("incident_key").cast("string"))
-    nodes = _shaped(claims, NODE, node_key=key, node_type=F.lit("incident"), display_name=F.col("title"), organization_id=exact_organization(), active=live)
-    linked = claims.filter(exact_organization().isNotNull())
-    edges = _shaped(
-        linked, EDGE, edge_key=F.concat(F.lit("incident-organization:"), F.col("incident_key").cast("string"), F.lit(":"), F.col("organization_id").cast("string")), source_node_key=key,
-        target_node_key=organization_key("organization_id"), edge_type=F.lit("incident_affects"), claim_type=kind, active=live, review_state=F.when(F.col("claim_type") == "official_confirmation", "confirmed").when(kind == "dispute", "review_required").when(kind == "retraction", "rejected").otherwise("unreviewed"),
-    )
-    return nodes, edges
-
-
-def change_graph(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Change nodes and edges to their exactly linked organizations; the kind of claim tells the review state."""
-    key = F.concat(F.lit("material-change:"), F.col("event_key").cast("string"))
-    kind = F.when(F.col("claim_type").isin("dispute", "correction", "retraction"), F.col("claim_type")).otherwise("assertion")
-    review = F.when(F.col("claim_type").isin(*CONFIRMED), "confirmed").when(F.col("claim_type").isin(*DOUBTED), "review_required").when(F.col("claim_type") == "retraction", "rejected").otherwise("unreviewed")
-    live = F.col("active") & ~F.col("historical_only")
-    nodes = _shaped(claims, NODE, node_key=key, node_type=F.lit("material_change"), display_name=F.col("title"), organization_id=exact_organization(), active=live)
-    linked = claims.filter(exact_organization().isNotNull())
-    edges = _shaped(
-        linked, EDGE, edge_key=F.concat(F.lit("material-change-organization:"), F.col("event_key").cast("string"), F.lit(":"), F.col("organization_id").cast("string")), source_node_key=key,
-        target_node_key=organization_key("organization_id"), edge_type=F.lit("material_change_affects"), claim_type=kind, review_state=review, active=live, valid_until=F.col("expires_at"),
-    )
-    return nodes, edges
-
-
-def applicability_graph(assessments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Product and vulnerability nodes with an edge for each assessment, which supersedes the one before it of the same pair.
-
-    ``assessments`` has ``snapshot_id, source_id, source_record_key, identity_key, product_key, vulnerability_id, state, confidence, assessed_at``.
-    """
-    before = Window.partitionBy("identity_key").orderBy("assessed_at", "snapshot_id")
-    rows = assessments.withColumns({"supersedes_record_key": F.lag("source_record_key").over(before), "modified_at": F.col("assessed_at"), "active": F.col("state") != "withdrawn"})
-    product, vulnerability = F.concat(F.lit("product:"), F.col("product_key")), F.concat(F.lit("vulnerability:"), F.col("vulnerability_id").cast("string"))
-    nodes = _shaped(rows, NODE, node_key=product, node_type=F.lit("product"), display_name=F.col("product_key")).unionByName(_shaped(rows, NODE, node_key=vulnerability, node_type=F.lit("vulnerability"), display_name=F.col("vulnerability_id").cast("string")))
-    review = F.when(F.col("state") == "applicable", "confirmed").when(F.col("state").isin("review_required", "unknown"), "review_required").otherwise("rejected")
-    edges = _shaped(rows, EDGE, edge_key=F.concat(F.lit("applicability:"), F.col("identity_key")), source_node_key=vulnerability, target_node_key=product, edge_type=F.lit("vulnerability_affects"), claim_type=F.lit("assertion"), review_state=review)
-    return nodes, edges
-
-
-def passive_graph(snapshots: DataFrame, technologies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Asset and technology nodes with an edge for each technology seen on an asset; both have ``snapshot_id``."""
-    seen = snapshots.join(technologies.select("snapshot_id", "technology"), "snapshot_id")
-    asset, technology = F.concat(F.lit("asset:"), F.col("asset_key").cast("string")), F.concat(F.lit("technology:"), F.lower("technology"))
-    nodes = _shaped(snapshots, NODE, node_key=asset, node_type=F.lit("asset"), display_name=F.col("asset_key").cast("string"), organization_id=exact_organization())
-    nodes = nodes.unionByName(_shaped(seen, NODE, node_key=technology, node_type=F.lit("technology"), display_name=F.col("technology"), organization_id=F.lit(None).cast("long")))
-    edges = _shaped(seen, EDGE, edge_key=F.concat_ws(">", asset, technology), source_node_key=asset, target_node_key=technology, edge_type=F.lit("asset_runs"), claim_type=F.lit("assertion"), review_state=F.lit("unreviewed"))
-    return nodes, edges
-
-
-def identity_graph(identities: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Identity nodes by kind, confirmed edges to the bound organization, and structural edges between identities.
-
-    ``identities`` has ``identity_id, kind, name, organization_id, snapshot_id``, ``relationships``
-    ``source_identity_id, target_identity_id, relationship_type, snapshot_id``.
-    """
-    of = lambda c: F.concat(F.lit("identity:"), F.col(c).cast("string"))
-    nodes = _shaped(identities, NODE, node_key=of("identity_id"), node_type=F.col("kind"), display_name=F.col("name"), active=F.lit(True))
-    bound = identities.filter("organization_id is not null")
-    edges = _shaped(bound, EDGE, edge_key=F.concat_ws(">", of("identity_id"), organization_key("organization_id")), source_node_key=of("identity_id"), target_node_key=organization_key("organization_id"), edge_type=F.lit("identifies"), claim_type=F.lit("assertion"), review_state=F.lit("confirmed"), active=F.lit(True))
-    known = relationships.withColumn("_t", structural_edge(F.col("relationship_type"))).filter("_t is not null")
-    tied = _shaped(known, EDGE, edge_key=F.concat_ws(">", of("source_identity_id"), F.col("_t"), of("target_identity_id")), source_node_key=of("source_identity_id"), target_node_key=of("target_identity_id"), edge_type=F.col("_t"), claim_type=F.lit("assertion"), review_state=F.lit("unreviewed"), active=F.lit(True))
-    return nodes, edges.unionByName(tied)
-
-
-def union_graphs(*parts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """All nodes and all edges of several loaders; columns are compared as texts and times as they are."""
-    alike = lambda d: d.select(*[F.col(c).cast("string").alias(c) if c in ("organization_id", "snapshot_id") else F.col(c) for c in d.columns])
-    nodes, edges = ([alike(p[i]) for p in parts] for i in (0, 1))
-    for more in nodes[1:]:
-        nodes[0] = nodes[0].unionByName(more)
-    for more in edges[1:]:
-        edges[0] = edges[0].unionByName(more)
-    return nodes[0], edges[0]
+    return mapped(F.lower(F.trim(relationship)), STRUCTURE)
 
 
 def edges_of(edges: DataFrame, node: str, as_of: Column | None = None) -> DataFrame:
@@ -250,22 +134,3 @@ def bind_nodes(nodes: DataFrame, bindings: DataFrame) -> DataFrame:
     """Reconciled nodes; an analyst's current binding overrides the organization that the sources tell."""
     b = bindings.filter("current").select("node_key", F.col("organization_id").alias("_bound"))
     return nodes.join(b, "node_key", "left").withColumn("organization_id", F.coalesce("_bound", "organization_id")).withColumn("bound", F.col("_bound").isNotNull()).drop("_bound")
-
-
-def reviewed_edges(edges: DataFrame) -> DataFrame:
-    """Per edge the review state that comes first in the fixed order among those of its statements."""
-    return edges.groupBy("edge_key").agg(F.collect_set("review_state").alias("_s")).select("edge_key", review_state(F.col("_s")).alias("review_state"))
-
-
-def relationship_graph(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Endpoint nodes and relation edges of relationship evidence."""
-    nodes = evidence.select(F.inline(F.array(F.struct(F.col("source_organization_id").alias("organization_id"), F.lit("source").alias("side")), F.struct(F.col("target_organization_id").alias("organization_id"), F.lit("target").alias("side"))))).distinct()
-    edges = evidence.groupBy("source_organization_id", "target_organization_id", "role").agg(F.count("*").alias("statements"), F.max("confidence").alias("confidence"))
-    return nodes, edges
-
-
-def shared_references(references: DataFrame) -> DataFrame:
-    """References of organizations; one that several organizations hold needs a review, the others are confirmed."""
-    n = F.count_distinct("organization_id")
-    per = references.groupBy("reference").agg(n.alias("holders"))
-    return references.join(per, "reference").select("organization_id", F.sha2("reference", 256).alias("node_key"), F.when(F.col("holders") > 1, "review_required").otherwise("confirmed").alias("review_state"))

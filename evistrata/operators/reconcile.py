@@ -21,7 +21,6 @@ CONFLICTING_STATES = ("malicious", "suspicious", "benign", "retracted")
 INCIDENT_POSITIVE = ("official_confirmation", "report", "attacker_allegation")
 CHANGE_POSITIVE = ("official_announcement", "report", "speculation")
 ACTIVE_EVIDENCE = ("contracted", "observed")
-EDGE_REVIEW = ("rejected", "review_required", "pending", "confirmed")
 
 
 def priority(column: str | Column, table: dict[str, int]) -> Column:

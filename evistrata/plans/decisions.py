@@ -119,21 +119,6 @@ def match_candidates(spark, sf_dir):
     return graph.match_candidates(view(spark, sf_dir, "v_identity"), view(spark, sf_dir, "v_org"))
 
 
-@registered("SELECT source_organization_id, target_organization_id, role, count(*) AS statements, max(confidence) AS confidence FROM v_relationship GROUP BY ALL")
-def relationship_edges(spark, sf_dir):
-    return graph.relationship_graph(view(spark, sf_dir, "v_relationship"))[1]
-
-
-@registered("SELECT DISTINCT source_organization_id AS organization_id, 'source' AS side FROM v_relationship UNION SELECT DISTINCT target_organization_id, 'target' FROM v_relationship")
-def relationship_nodes(spark, sf_dir):
-    return graph.relationship_graph(view(spark, sf_dir, "v_relationship"))[0]
-
-
-@registered("""SELECT organization_id, sha256(name) AS node_key, CASE WHEN count(DISTINCT organization_id) OVER (PARTITION BY name) > 1 THEN 'review_required' ELSE 'confirmed' END AS review_state FROM v_org""")
-def shared_references(spark, sf_dir):
-    return graph.shared_references(view(spark, sf_dir, "v_org").select("organization_id", F.col("name").alias("reference")))
-
-
 def _key(v: str) -> str:
     tokens = f"regexp_extract_all(lower(trim({v})), '[0-9]+|[a-z]+')"
     parts = f"list_transform({tokens}, lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN '1' || lpad(t, 12, '0') ELSE '0' || t END)"

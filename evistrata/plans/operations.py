@@ -291,60 +291,6 @@ def bind_nodes(spark, sf_dir):
     return graph.bind_nodes(nodes, _bindings(spark, sf_dir)).select("node_key", "organization_id", "bound")
 
 
-INCIDENT_EDGES = "(SELECT 'incident-organization:' || incident_key || ':' || organization_id AS edge_key, CASE claim_type WHEN 'denial' THEN 'dispute' WHEN 'retraction' THEN 'retraction' ELSE 'assertion' END AS claim_type, active AND NOT historical_only AND claim_type NOT IN ('denial', 'retraction') AS active, CASE claim_type WHEN 'official_confirmation' THEN 'confirmed' WHEN 'denial' THEN 'review_required' WHEN 'retraction' THEN 'rejected' ELSE 'unreviewed' END AS review_state FROM v_claim WHERE link_status = 'exact' AND organization_id IS NOT NULL)"
-
-
-@registered(f"SELECT * FROM {INCIDENT_EDGES}")
-def incident_edges(spark, sf_dir):
-    return graph.incident_graph(view(spark, sf_dir, "v_claim"))[1].select("edge_key", "claim_type", "active", "review_state")
-
-
-@registered(f"SELECT edge_key, CASE min(CASE review_state WHEN 'rejected' THEN 0 WHEN 'review_required' THEN 1 WHEN 'pending' THEN 2 WHEN 'confirmed' THEN 3 ELSE 9 END) WHEN 0 THEN 'rejected' WHEN 1 THEN 'review_required' WHEN 2 THEN 'pending' WHEN 3 THEN 'confirmed' END AS review_state FROM {INCIDENT_EDGES} GROUP BY 1")
-def edge_review_states(spark, sf_dir):
-    return graph.reviewed_edges(graph.incident_graph(view(spark, sf_dir, "v_claim"))[1])
-
-
-@registered("""SELECT 'material-change-organization:' || event_key || ':' || organization_id AS edge_key, CASE WHEN claim_type IN ('dispute', 'correction', 'retraction') THEN claim_type ELSE 'assertion' END AS claim_type, active AND NOT historical_only AS active,
-    CASE WHEN claim_type IN ('speculation', 'dispute') THEN 'review_required' WHEN claim_type = 'retraction' THEN 'rejected' ELSE 'unreviewed' END AS review_state FROM v_change WHERE link_status = 'exact' AND organization_id IS NOT NULL""")
-def change_edges(spark, sf_dir):
-    return graph.change_graph(view(spark, sf_dir, "v_change"))[1].select("edge_key", "claim_type", "active", "review_state")
-
-
-ASSESSED = "(SELECT event_id AS snapshot_id, 's' || (event_id % 2) AS source_id, 'r' || event_id AS source_record_key, (user_id % 80)::varchar AS identity_key, 'prod' || (user_id % 10) AS product_key, user_id % 80 AS vulnerability_id, CASE event_type WHEN 'view' THEN 'applicable' WHEN 'error' THEN 'withdrawn' WHEN 'click' THEN 'unknown' ELSE 'not_applicable' END AS state, ts AS assessed_at FROM events)"
-
-
-@registered(f"SELECT 'applicability:' || identity_key AS edge_key, source_record_key, lag(source_record_key) OVER (PARTITION BY identity_key ORDER BY assessed_at, snapshot_id) AS supersedes_record_key, CASE state WHEN 'applicable' THEN 'confirmed' WHEN 'unknown' THEN 'review_required' ELSE 'rejected' END AS review_state FROM {ASSESSED}")
-def applicability_edges(spark, sf_dir):
-    i, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    state = F.when(t == "view", "applicable").when(t == "error", "withdrawn").when(t == "click", "unknown").otherwise("not_applicable")
-    rows = _events(spark, sf_dir).select(i.alias("snapshot_id"), F.concat(F.lit("s"), (i % 2).cast("string")).alias("source_id"), F.concat(F.lit("r"), i.cast("string")).alias("source_record_key"), (u % 80).cast("string").alias("identity_key"), F.concat(F.lit("prod"), (u % 10).cast("string")).alias("product_key"), (u % 80).alias("vulnerability_id"), state.alias("state"), F.lit(0.5).alias("confidence"), F.col("ts").alias("assessed_at"))
-    return graph.applicability_graph(rows)[1].select("edge_key", "source_record_key", "supersedes_record_key", "review_state")
-
-
-@registered("""SELECT 'asset:' || asset_key || '>technology:' || lower('T' || (c.snapshot_id % 12)) AS edge_key, count(*) AS statements FROM v_change c GROUP BY 1""")
-def passive_edges(spark, sf_dir):
-    v = view(spark, sf_dir, "v_change")
-    seen = v.select("snapshot_id", F.concat(F.lit("T"), (F.col("snapshot_id") % 12).cast("string")).alias("technology"))
-    return graph.passive_graph(v, seen)[1].groupBy("edge_key").agg(F.count("*").alias("statements"))
-
-
-@registered(f"""SELECT 'identity:' || s_suppkey || '>organization:' || s_nationkey AS edge_key, 'identifies' AS edge_type, 'confirmed' AS review_state FROM supplier WHERE s_suppkey % 2 = 0
-    UNION ALL SELECT 'identity:' || s_suppkey || '>' || t || '>identity:' || (s_suppkey + 1), t, 'unreviewed' FROM (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'parent_of' WHEN 1 THEN 'subsidiary_of' WHEN 2 THEN 'merged_into' WHEN 4 THEN 'brand_of' END AS t FROM supplier) WHERE t IS NOT NULL""")
-def identity_edges(spark, sf_dir):
-    s = F.col("s_suppkey")
-    kind = F.when(s % 5 == 0, "direct_parent").when(s % 5 == 1, " Subsidiary ").when(s % 5 == 2, "merged_into").when(s % 5 == 3, "friend_of").otherwise("brand_of")
-    rows = table(spark, sf_dir, "supplier")
-    identities = rows.select(s.alias("identity_id"), F.lit("legal_entity").alias("kind"), F.col("s_name").alias("name"), F.when(s % 2 == 0, F.col("s_nationkey")).alias("organization_id"), s.alias("snapshot_id"))
-    return graph.identity_graph(identities, rows.select(s.alias("source_identity_id"), (s + 1).alias("target_identity_id"), kind.alias("relationship_type"), s.alias("snapshot_id")))[1].select("edge_key", "edge_type", "review_state")
-
-
-@registered("""SELECT edge_type, count(*) AS edges FROM (SELECT 'incident_affects' AS edge_type FROM v_claim WHERE link_status = 'exact' AND organization_id IS NOT NULL UNION ALL SELECT 'material_change_affects' FROM v_change WHERE link_status = 'exact' AND organization_id IS NOT NULL) GROUP BY 1""")
-def graph_refresh(spark, sf_dir):
-    """All loaders as one graph."""
-    nodes, edges = graph.union_graphs(graph.incident_graph(view(spark, sf_dir, "v_claim")), graph.change_graph(view(spark, sf_dir, "v_change")))
-    return edges.groupBy("edge_type").agg(F.count("*").alias("edges"))
-
-
 # ---- governance
 
 @registered(f"""SELECT o_orderkey AS step_id, array_to_string(list_filter([CASE WHEN o_orderstatus <> 'O' THEN 'plan_not_approved' END, CASE WHEN o_orderkey % 4 = 3 THEN 'source_not_allowed' END, CASE WHEN o_orderkey % 3 = 2 THEN 'risk_not_allowed' END, CASE WHEN o_totalprice > 200000 THEN 'step_cost_exceeds_limit' END,

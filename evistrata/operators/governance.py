@@ -135,14 +135,29 @@ def review_opportunities(opportunities: DataFrame, actions: DataFrame, now: Colu
     return after, audit
 
 
-def source_freshness(health: DataFrame, now: Column) -> DataFrame:
-    """``source_id, freshness, may_run``: by the age of the newest observation against what the source promises.
+# States of a source's health, and those in which it must not run.
+BLOCKING = ("authorization_expired", "quota_exhausted", "cost_budget_exhausted")
 
-    Historical sources do not age; an unknown source may run, others if they are executable and not stale.
+
+def source_freshness(health: DataFrame, now: Column, known: DataFrame | None = None) -> DataFrame:
+    """``source_id, freshness, may_run``: what bars a source comes first, then how old its last success is.
+
+    ``health`` has ``source_id, last_success_at, max_age`` (seconds), ``historical_only, executable`` and, where known, ``authorization_expires_at,
+    quota_remaining, next_cost, cost_used, cost_limit``. Order: authorization, quota, cost of the next request, historical, no success yet, age.
+    Sources of ``known`` (``source_id``) that ``health`` lacks may run; their freshness is null.
     """
-    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_observed_at").cast("timestamp"))) / 1_000_000
-    state = F.when(F.col("historical_only"), "historical").when(age.isNull(), "unknown").when(age <= F.col("max_age") / 2, "fresh").when(age <= F.col("max_age"), "aging").otherwise("stale")
-    return health.select("source_id", state.alias("freshness"), F.coalesce(F.col("executable") & ~state.isin("stale"), F.lit(True)).alias("may_run"))
+    have = lambda c, kind: F.col(c) if c in health.columns else F.lit(None).cast(kind)
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_success_at").cast("timestamp"))) / 1_000_000
+    cost = F.coalesce(have("next_cost", "double"), F.lit(0.0))
+    state = (
+        F.when(have("authorization_expires_at", "timestamp_ntz") <= now, "authorization_expired").when(have("quota_remaining", "long") == 0, "quota_exhausted")
+        .when((cost > 0) & (F.coalesce(have("cost_used", "double"), F.lit(0.0)) + cost > have("cost_limit", "double")), "cost_budget_exhausted").when(F.col("historical_only"), "historical_only")
+        .when(age.isNull(), "stale_refresh_queued").when(age <= F.col("max_age") / 2, "fresh").when(age <= F.col("max_age"), "aging").otherwise("stale_refresh_queued")
+    )
+    found = health.select("source_id", state.alias("freshness"), (F.coalesce("executable", F.lit(False)) & ~state.isin(*BLOCKING)).alias("may_run"))
+    if known is None:
+        return found
+    return found.unionByName(known.select("source_id").distinct().join(health, "source_id", "left_anti").select("source_id", F.lit(None).cast("string").alias("freshness"), F.lit(True).alias("may_run")))
 
 
 def audit_activation(records: DataFrame) -> DataFrame:
@@ -156,9 +171,9 @@ def audit_activation(records: DataFrame) -> DataFrame:
 
 
 def plan_usage(steps: DataFrame) -> DataFrame:
-    """Per plan the completed steps, the distinct automated ones and their cost."""
+    """Per plan the completed steps, the distinct automated ones and their cost; a step that repeats costs the most that it was told with."""
     done = steps.filter("state = 'completed'").groupBy("plan_id").agg(F.count("*").alias("completed_steps"))
-    auto = steps.filter("mode = 'automated_adapter' and state = 'completed'").dropDuplicates(["plan_id", "step_key"]).groupBy("plan_id").agg(F.count("*").alias("automated_steps"), F.sum("cost").alias("cost_used"))
+    auto = steps.filter("mode = 'automated_adapter' and state = 'completed'").groupBy("plan_id", "step_key").agg(F.max("cost").alias("cost")).groupBy("plan_id").agg(F.count("*").alias("automated_steps"), F.sum("cost").alias("cost_used"))
     return done.join(auto, "plan_id", "left").na.fill(0, ["automated_steps"]).na.fill(0.0, ["cost_used"])
 
 

@@ -157,14 +157,14 @@ def crawl_budget(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").withColumn("used", F.sum("l_quantity").over(w)).select("l_orderkey", "l_linenumber", "l_partkey", "used", (F.col("used") <= 100).alias("allowed"))
 
 
-@registered("""WITH k AS (SELECT user_id % 80 AS k, min(event_id) AS v FROM events WHERE event_type = 'view' GROUP BY 1), n AS (SELECT user_id % 90 AS k, max(event_id) AS v FROM events WHERE event_type = 'click' GROUP BY 1)
+@registered("""WITH k AS (SELECT user_id % 80 AS k, min(event_id) AS v FROM events WHERE event_type IN ('view', 'signup', 'error') GROUP BY 1), n AS (SELECT user_id % 90 AS k, max(event_id) AS v FROM events WHERE event_type NOT IN ('view', 'signup', 'error') GROUP BY 1)
     SELECT coalesce(k.k, n.k) AS k, coalesce(n.v, k.v) AS v, CASE WHEN k.k IS NULL THEN 'insert' WHEN n.k IS NULL THEN 'keep' ELSE 'update' END AS action FROM k FULL OUTER JOIN n ON k.k = n.k""")
 def upsert(spark, sf_dir):
     from evistrata.operators.sinks import merge_rows
 
     e = table(spark, sf_dir, "events")
-    stored = e.filter("event_type = 'view'").groupBy((F.col("user_id") % 80).alias("k")).agg(F.min("event_id").alias("v"))
-    new = e.filter("event_type = 'click'").groupBy((F.col("user_id") % 90).alias("k")).agg(F.max("event_id").alias("v"))
+    stored = e.filter("event_type in ('view', 'signup', 'error')").groupBy((F.col("user_id") % 80).alias("k")).agg(F.min("event_id").alias("v"))
+    new = e.filter("event_type not in ('view', 'signup', 'error')").groupBy((F.col("user_id") % 90).alias("k")).agg(F.max("event_id").alias("v"))
     return merge_rows(stored, new, ["k"])
 
 

@@ -43,11 +43,11 @@ def persist_incidents(spark, sf_dir):
     return sinks.persist(old, shape(old), new, ["snapshot_id"], "incident_key", shape)[1]
 
 
-@registered("""WITH e AS (SELECT user_id % 50 AS hypothesis_id, event_type AS family, event_id FROM events), n AS (SELECT * FROM e WHERE event_id % 4 = 0 AND hypothesis_id < 20)
+@registered("""WITH e AS (SELECT user_id % 50 AS hypothesis_id, event_type AS family, event_id FROM events), n AS (SELECT * FROM e WHERE event_id % 4 = 0)
     SELECT hypothesis_id, family FROM e WHERE event_id % 4 <> 0 AND hypothesis_id NOT IN (SELECT hypothesis_id FROM n) UNION ALL SELECT hypothesis_id, family FROM n""")
 def replace_links(spark, sf_dir):
     e = _events(spark, sf_dir).select((F.col("user_id") % 50).alias("hypothesis_id"), F.col("event_type").alias("family"), "event_id")
-    return sinks.replace_children(e.filter("event_id % 4 <> 0").drop("event_id"), e.filter("event_id % 4 = 0 and hypothesis_id < 20").drop("event_id"), "hypothesis_id")
+    return sinks.replace_children(e.filter("event_id % 4 <> 0").drop("event_id"), e.filter("event_id % 4 = 0").drop("event_id"), "hypothesis_id")
 
 
 STORED = f"(SELECT c_custkey AS hypothesis_id, CASE c_custkey % 4 WHEN 0 THEN 'snoozed' WHEN 1 THEN 'qualified' ELSE 'needs_review' END AS state, CASE WHEN c_custkey % 4 = 0 THEN {AS_OF} + to_days(cast(c_custkey % 5 - 2 AS int)) END AS snoozed_until, c_acctbal AS score FROM customer)"
@@ -371,12 +371,19 @@ def review_opportunities(spark, sf_dir):
     return governance.review_opportunities(stored, actions, as_of())[0]
 
 
-@registered(f"""WITH h AS (SELECT user_id AS source_id, max(ts) AS last_observed_at, 864000 AS max_age, user_id % 7 = 0 AS historical_only, user_id % 5 <> 0 AS executable FROM events GROUP BY user_id), a AS (SELECT *, (epoch_us(TIMESTAMP '2024-02-05 00:00:00') - epoch_us(last_observed_at)) / 1000000.0::double AS age FROM h),
-    f AS (SELECT *, CASE WHEN historical_only THEN 'historical' WHEN age <= max_age / 2 THEN 'fresh' WHEN age <= max_age THEN 'aging' ELSE 'stale' END AS freshness FROM a) SELECT source_id, freshness, executable AND freshness <> 'stale' AS may_run FROM f""")
+@registered("""WITH h AS (SELECT user_id AS source_id, CASE WHEN user_id % 13 <> 0 THEN max(ts) END AS last_at, user_id % 7 = 0 AS historical, user_id % 5 <> 0 AS executable FROM events GROUP BY user_id),
+    a AS (SELECT *, (epoch_us(TIMESTAMP '2024-02-05 00:00:00') - epoch_us(last_at)) / 1000000.0::double AS age FROM h),
+    f AS (SELECT *, CASE WHEN source_id % 11 = 3 THEN 'authorization_expired' WHEN source_id % 17 = 0 THEN 'quota_exhausted' WHEN source_id % 19 = 0 THEN 'cost_budget_exhausted' WHEN historical THEN 'historical_only' WHEN age IS NULL THEN 'stale_refresh_queued'
+        WHEN age <= 432000 THEN 'fresh' WHEN age <= 864000 THEN 'aging' ELSE 'stale_refresh_queued' END AS freshness FROM a)
+    SELECT source_id, freshness, executable AND freshness NOT IN ('authorization_expired', 'quota_exhausted', 'cost_budget_exhausted') AS may_run FROM f
+    UNION ALL SELECT c_custkey + 1000000, NULL, true FROM customer""")
 def source_freshness(spark, sf_dir):
-    u = F.col("user_id")
-    health = _events(spark, sf_dir).groupBy("user_id").agg(F.max("ts").alias("last_observed_at")).select(u.alias("source_id"), "last_observed_at", F.lit(864000).alias("max_age"), (u % 7 == 0).alias("historical_only"), (u % 5 != 0).alias("executable"))
-    return governance.source_freshness(health, as_of("TIMESTAMP '2024-02-05 00:00:00'"))
+    u, now = F.col("user_id"), as_of("TIMESTAMP '2024-02-05 00:00:00'")
+    health = _events(spark, sf_dir).groupBy("user_id").agg(F.max("ts").alias("at")).select(
+        u.alias("source_id"), F.when(u % 13 != 0, F.col("at")).alias("last_success_at"), F.lit(864000).alias("max_age"), (u % 7 == 0).alias("historical_only"), (u % 5 != 0).alias("executable"), F.when(u % 11 == 3, now).alias("authorization_expires_at"),
+        F.when(u % 17 == 0, 0).otherwise(5).alias("quota_remaining"), F.lit(1.0).alias("next_cost"), F.when(u % 19 == 0, 9.5).otherwise(9.0).alias("cost_used"), F.lit(10.0).alias("cost_limit"),
+    )
+    return governance.source_freshness(health, now, table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000000).alias("source_id")))
 
 
 @registered("""SELECT count(*) AS total, count(*) FILTER (c_custkey % 3 = 0) AS fully_integrated, count(*) FILTER (c_custkey % 2 = 0 AND c_custkey % 3 <> 0) AS resolved_non_executable, count(*) FILTER (c_custkey % 2 <> 0) AS unresolved,
@@ -386,11 +393,11 @@ def audit_activation(spark, sf_dir):
     return governance.audit_activation(table(spark, sf_dir, "customer").select(k.alias("source_id"), (k % 3 == 0).alias("integrated"), (k % 2 == 0).alias("resolved"), F.when(k % 10 == 1, k + 5).alias("refers_to")))
 
 
-@registered("""WITH s AS (SELECT o_custkey AS plan_id, o_orderpriority AS step_key, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'ready' END AS state, CASE WHEN o_orderkey % 2 = 0 THEN 'automated_adapter' ELSE 'manual_link' END AS mode FROM orders), d AS (SELECT plan_id, count(*) AS completed_steps FROM s WHERE state = 'completed' GROUP BY 1),
-    a AS (SELECT plan_id, count(DISTINCT step_key) AS automated_steps, count(DISTINCT step_key) * 2.5::double AS cost_used FROM s WHERE state = 'completed' AND mode = 'automated_adapter' GROUP BY 1)
+@registered("""WITH s AS (SELECT o_custkey AS plan_id, o_orderpriority AS step_key, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'ready' END AS state, CASE WHEN o_orderkey % 2 = 0 THEN 'automated_adapter' ELSE 'manual_link' END AS mode, o_orderkey % 3 AS o_shippriority FROM orders), d AS (SELECT plan_id, count(*) AS completed_steps FROM s WHERE state = 'completed' GROUP BY 1),
+    a AS (SELECT plan_id, count(DISTINCT step_key) AS automated_steps, sum(cost) AS cost_used FROM (SELECT plan_id, step_key, max(o_shippriority + 2.5::double) AS cost FROM s WHERE state = 'completed' AND mode = 'automated_adapter' GROUP BY 1, 2) GROUP BY 1)
     SELECT plan_id, completed_steps, coalesce(automated_steps, 0) AS automated_steps, coalesce(cost_used, 0) AS cost_used FROM d LEFT JOIN a USING (plan_id)""")
 def plan_usage(spark, sf_dir):
-    steps = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan_id"), F.col("o_orderpriority").alias("step_key"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("ready").alias("state"), F.when(F.col("o_orderkey") % 2 == 0, "automated_adapter").otherwise("manual_link").alias("mode"), F.lit(2.5).alias("cost"))
+    steps = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan_id"), F.col("o_orderpriority").alias("step_key"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("ready").alias("state"), F.when(F.col("o_orderkey") % 2 == 0, "automated_adapter").otherwise("manual_link").alias("mode"), (F.col("o_orderkey") % 3 + 2.5).alias("cost"))
     return governance.plan_usage(steps)
 
 
@@ -462,11 +469,11 @@ def claim_jobs(spark, sf_dir):
     return jobs.claim(rows, shut, "w", as_of(), 300).select("job_id", "source_id", "attempts")
 
 
-@registered(f"""WITH n AS (SELECT source_id, arg_max(job_id, (scheduled_at, job_id)) AS p, max(scheduled_at) AS o FROM {JOBS} WHERE state <> 'pending' GROUP BY 1), c AS (SELECT s_suppkey AS source_id, s_suppkey AS position, {AS_OF} AS last_observed_at, 3 AS version FROM supplier WHERE s_suppkey % 2 = 0)
+@registered(f"""WITH n AS (SELECT source_id, arg_max(job_id, (scheduled_at, job_id)) AS p, max(scheduled_at) AS o FROM {JOBS} WHERE state <> 'pending' GROUP BY 1), c AS (SELECT s_suppkey AS source_id, s_suppkey AS position, {AS_OF} AS last_observed_at, 3 AS version FROM supplier)
     SELECT coalesce(c.source_id, n.source_id) AS source_id, coalesce(version, 0) + (o IS NOT NULL)::int AS version, CASE WHEN o IS NOT NULL AND coalesce(o >= last_observed_at, true) THEN p ELSE position END AS position, greatest(last_observed_at, o) AS last_observed_at FROM c FULL OUTER JOIN n ON c.source_id = n.source_id""")
 def advance_checkpoints(spark, sf_dir):
     s = F.col("s_suppkey")
-    stored = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(s.alias("source_id"), s.alias("position"), as_of().alias("last_observed_at"), F.lit(3).alias("version"), F.lit(None).cast("timestamp_ntz").alias("last_success_at"))
+    stored = table(spark, sf_dir, "supplier").select(s.alias("source_id"), s.alias("position"), as_of().alias("last_observed_at"), F.lit(3).alias("version"), F.lit(None).cast("timestamp_ntz").alias("last_success_at"))
     done = _jobs(spark, sf_dir).filter("state <> 'pending'").select("source_id", "job_id", F.col("job_id").alias("position"), F.col("scheduled_at").alias("last_observed_at"))
     return jobs.advance_checkpoints(stored, done, as_of()).select("source_id", "version", "position", "last_observed_at")
 
@@ -487,9 +494,10 @@ def _partitions(spark, sf_dir):
     return _events(spark, sf_dir).select(i.alias("partition_key"), (F.col("user_id") % 60).alias("source_id"), i.alias("lower"), (i + 1).alias("upper"), state.alias("state"), (i % 4).alias("attempts"), F.lit(3).alias("max_attempts"))
 
 
-@registered(f"""SELECT source_id, arg_min(partition_key, lower) AS partition_key FROM {PARTS_} WHERE state IN ('pending', 'failed') AND attempts < max_attempts AND source_id NOT IN (SELECT source_id FROM {PARTS_} WHERE state = 'running') GROUP BY source_id""")
+@registered(f"""SELECT source_id, arg_min(partition_key, (partition_key * 7919 % 1009, partition_key)) AS partition_key FROM {PARTS_} WHERE state IN ('pending', 'failed') AND attempts < max_attempts GROUP BY source_id""")
 def claim_partitions(spark, sf_dir):
-    return jobs.claim_partitions(_partitions(spark, sf_dir), as_of()).select("source_id", "partition_key")
+    made = F.timestamp_seconds(F.col("partition_key") * 7919 % 1009)  # not the order of the bounds
+    return jobs.claim_partitions(_partitions(spark, sf_dir).withColumn("created_at", made), as_of()).select("source_id", "partition_key")
 
 
 @registered(f"SELECT source_id, arg_max(state, CASE state WHEN 'running' THEN 6 WHEN 'pending' THEN 5 WHEN 'failed' THEN 4 ELSE 1 END) AS backfill_state, count(*) AS partitions FROM {PARTS_} GROUP BY 1")
@@ -497,10 +505,10 @@ def backfill_health(spark, sf_dir):
     return jobs.backfill_health(_partitions(spark, sf_dir))
 
 
-@registered(f"SELECT partition_key, CASE WHEN partition_key % 3 = 0 THEN 'completed' WHEN partition_key % 3 = 1 AND attempts < max_attempts THEN 'failed' WHEN partition_key % 3 = 1 THEN 'cancelled' ELSE state END AS state FROM {PARTS_}")
+@registered(f"SELECT partition_key, CASE WHEN state <> 'running' THEN state WHEN partition_key % 3 = 0 THEN 'completed' WHEN partition_key % 3 = 1 THEN 'failed' ELSE state END AS state, CASE WHEN state = 'running' AND partition_key % 3 = 1 AND partition_key % 2 = 1 THEN max_attempts ELSE attempts END AS attempts FROM {PARTS_}")
 def end_partitions(spark, sf_dir):
     p = _partitions(spark, sf_dir)
-    return jobs.end_partitions(p, p.filter("partition_key % 3 < 2").select("partition_key", (F.col("partition_key") % 3 == 0).alias("succeeded"))).select("partition_key", "state")
+    return jobs.end_partitions(p, p.filter("partition_key % 3 < 2").select("partition_key", (F.col("partition_key") % 3 == 0).alias("succeeded"), (F.col("partition_key") % 2 == 0).alias("retryable"))).select("partition_key", "state", "attempts")
 
 
 @registered("SELECT count(*) AS partitions, count(DISTINCT source_id) AS sources FROM (SELECT DISTINCT user_id % 60 AS source_id, event_id // 50 AS lower FROM events WHERE event_id // 50 % 4 <> 0)")

@@ -23,7 +23,10 @@ def _exploded(rows: DataFrame, schema: str, columns: list[str], each) -> DataFra
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """``page_id, title, lang, text, noindex, noarchive`` of pages ``page_id, html``."""
-    each = lambda r: [(r.page_id, *(html.visible(r.html)[k] for k in ("title", "lang", "text", "noindex", "noarchive")))]
+    def each(r):
+        found = html.visible(r.html)
+        return [(r.page_id, *(found[k] for k in ("title", "lang", "text", "noindex", "noarchive")))]
+
     return _exploded(pages.select("page_id", "html"), "page_id long, title string, lang string, text string, noindex boolean, noarchive boolean", ["page_id", "title", "lang", "text", "noindex", "noarchive"], each)
 
 
@@ -89,7 +92,11 @@ def union_registries(parts: list[DataFrame], key: str = "source_id") -> DataFram
 def page_semantics(pages: DataFrame) -> DataFrame:
     """``page_id, title, published, updated, records, structured_text`` from meta elements and linked data."""
     names = ("title", "published", "updated", "records", "structured_text")
-    each = lambda r: [(r.page_id, *(html.semantics(r.html)[k] for k in names))]
+
+    def each(r):
+        found = html.semantics(r.html)
+        return [(r.page_id, *(found[k] for k in names))]
+
     return _exploded(pages.select("page_id", "html"), "page_id long, title string, published string, updated string, records int, structured_text string", ["page_id", *names], each)
 
 

@@ -85,18 +85,20 @@ def request_backfill(wanted: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def claim_partitions(partitions: DataFrame, at: Column) -> DataFrame:
-    """For each source its next partition: the lowest that waits or failed and has attempts left, unless one runs."""
-    busy = partitions.filter("state = 'running'").select("source_id").distinct()
-    free = partitions.filter("state in ('pending', 'failed') and attempts < max_attempts").join(busy, "source_id", "left_anti")
-    first = free.groupBy("source_id").agg(F.min_by("partition_key", F.struct("lower", "partition_key")).alias("partition_key"))
+    """For each source its next partition: the oldest by ``created_at`` that waits or failed and has attempts left. One that runs bars no other."""
+    free = partitions.filter("state in ('pending', 'failed') and attempts < max_attempts")
+    first = free.groupBy("source_id").agg(F.min_by("partition_key", F.struct("created_at", "partition_key")).alias("partition_key"))
     return free.join(first, ["source_id", "partition_key"]).select("source_id", "partition_key", "lower", "upper", F.lit("running").alias("state"), (F.col("attempts") + 1).cast("long").alias("attempts"), at.alias("started_at"))
 
 
 def end_partitions(partitions: DataFrame, results: DataFrame) -> DataFrame:
-    """Partitions after ``results`` (``partition_key, succeeded``): completed, or failed until attempts run out, then cancelled."""
-    met = partitions.join(results, "partition_key", "left")
-    state = F.when(F.col("succeeded"), "completed").when(~F.col("succeeded") & (F.col("attempts") < F.col("max_attempts")), "failed").when(~F.col("succeeded"), "cancelled").otherwise(F.col("state"))
-    return met.withColumn("state", state).select(*partitions.columns)
+    """Running partitions after ``results`` (``partition_key, succeeded, retryable``): completed or failed; what can't be retried has no attempt left."""
+    told = results.select("partition_key", "succeeded", (F.coalesce("retryable", F.lit(True)) if "retryable" in results.columns else F.lit(True)).alias("_again"))
+    met = partitions.join(told, "partition_key", "left")
+    ended = (F.col("state") == "running") & F.col("succeeded").isNotNull()
+    state = F.when(ended & F.col("succeeded"), "completed").when(ended, "failed").otherwise(F.col("state"))
+    spent = F.when(ended & ~F.col("succeeded") & ~F.col("_again"), F.greatest("attempts", "max_attempts")).otherwise(F.col("attempts")).cast(partitions.schema["attempts"].dataType)
+    return met.withColumns({"state": state, "attempts": spent}).select(*partitions.columns)
 
 
 def backfill_health(partitions: DataFrame) -> DataFrame:

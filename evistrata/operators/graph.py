@@ -5,31 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evistrata.operators.components import connected as components
 from evistrata.operators.graph_loaders import STRUCTURE, mapped
-from evistrata.operators.lineage import cut
 from evistrata.operators.reconcile import every, some
 from evistrata.operators.revisions import RevisionSpec, effective, latest_by
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``node, component``: the smallest node that each node of ``edges`` (``a, b``) is connected with.
-
-    Every round each node takes the least label around it and then the label of its label, so paths
-    shrink by halves. Rounds are checkpointed to the folder that the cluster shares.
-    """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
-    for _ in range(max_rounds):
-        seen = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("n")).agg(F.min("component").alias("m"))
-        near = label.join(seen, F.col("node") == F.col("n")).select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        jump = cut(near.alias("x").join(near.alias("y"), F.col("x.component") == F.col("y.node"), "left").select("x.node", F.coalesce("y.component", "x.component").alias("component"), "x.old"))
-        changed = jump.filter("component <> old").limit(1).count()
-        label = jump.select("node", "component")
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
-
-
 def canonical_identifier(members: DataFrame) -> DataFrame:
     """For each component the smallest CVE identifier, or else the smallest of all."""
     return members.groupBy("component").agg(F.coalesce(F.min(F.when(F.col("node").like("CVE-%"), F.col("node"))), F.min("node")).alias("canonical"), F.count("*").alias("members"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evistrata.operators.graph import components
+from evistrata.operators import components as groups
+from evistrata.operators.publish import Publication
 from evistrata.operators.reconcile import priority
 from evistrata.operators.revisions import RevisionSpec, latest_by
 
@@ -28,7 +29,7 @@ def grouped(snapshots: DataFrame) -> DataFrame:
     """
     ids = F.array_distinct(F.array_compact(F.transform(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("canonical_id")), vulnerability_id)))
     edges = snapshots.select(F.concat(F.lit("s"), F.col("snapshot_id").cast("string")).alias("a"), F.explode(ids).alias("i")).select("a", F.concat(F.lit("i"), "i").alias("b"))
-    found = components(edges).filter("node like 's%'").select(F.substring("node", 2, 1_000_000).alias("_key"), "component")
+    found = groups.connected(edges).filter("node like 's%'").select(F.substring("node", 2, 1_000_000).alias("_key"), "component")
     keyed = snapshots.withColumns({"identifiers": ids, "_key": F.col("snapshot_id").cast("string")})
     return keyed.join(found, "_key").drop("_key")
 
@@ -94,6 +95,24 @@ def by_identifier(found: DataFrame, identifier: str) -> DataFrame:
     return found.filter((F.col("canonical_id") == i) | F.array_contains("aliases", i))
 
 
+def persist(kept: Publication, batch: str, snapshots: DataFrame) -> DataFrame:
+    """Add a batch of snapshots to the stored groups of identifiers; gives the stored groups that it joins (``component, merged_into``).
+
+    Those are alias conflicts: entities that were stored apart and turn out to be one. Identifiers that can't be read are left out; each
+    snapshot ties its identifiers to its first, so one with a single identifier is a group of its own.
+    """
+    ids = F.array_distinct(F.array_compact(F.transform(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("canonical_id")), vulnerability_id)))
+    tied = snapshots.select(F.array_min(ids).alias("a"), F.explode(ids).alias("b"))
+    return groups.grow(kept, batch, tied)
+
+
+def alias_sets(kept: Publication, only: DataFrame | None = None) -> DataFrame:
+    """``component, canonical_id, aliases`` of the stored groups; with ``only`` (``component``) of those groups alone."""
+    found = kept.read("members", only).groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("ids"))
+    named = found.withColumn("canonical_id", F.coalesce(F.array_min(F.filter("ids", lambda x: x.like("CVE-%"))), F.array_min("ids")))
+    return named.select("component", "canonical_id", F.array_remove("ids", F.col("canonical_id")).alias("aliases"))
+
+
 def joined_records(known: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Snapshots whose identifiers belong to more than one stored vulnerability: they must not be stored unseen.
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evistrata.operators import commercial, reconcile
+from evistrata.operators import commercial, components, reconcile
 from evistrata.operators.lineage import shared_path
 from evistrata.operators.revisions import RevisionSpec
 from evistrata.plans import decisions, evidence
-from evistrata.plans.bindings import VIEWS, for_spark, sql, view
+from evistrata.plans.bindings import VIEWS, for_spark, sql, table, view
+from evistrata.sources import collection
 from evistrata.streaming import state
 
 QUERIES: dict = {}
@@ -61,7 +62,28 @@ def persist_hypotheses(spark, sf_dir):
     return kept.read("hypotheses").select("organization_id", "requested_class", "family", "hypothesis_class", F.round("confidence", 9).alias("confidence"), "independent", "supporting", "signals", "expires_at")
 
 
+def growing_components(spark, sf_dir):
+    """Components of all edges, added in two batches to stored labels."""
+    kept = components.store(spark, shared_path(spark, "components"))
+    edges = view(spark, sf_dir, "v_edge")
+    for half in (1, 0):
+        components.grow(kept, f"half {half}", edges.filter(F.pmod(F.xxhash64("a"), F.lit(2)) == half))
+    return kept.read("labels").select("node", "component")
+
+
+def collected_parts(spark, sf_dir):
+    """Parts written as CSV files, collected by a stream and stored."""
+    folder = shared_path(spark, "collected")
+    table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size").write.option("header", True).csv(f"{folder}/in")
+    spark.dataSource.register(collection.Collected)
+    stream = spark.readStream.format("collected").option("path", f"{folder}/in").option("log", f"{folder}/log").option("required", "p_partkey,p_brand,p_size").load()
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return found.select(F.col("record")["p_partkey"].cast("long").alias("p_partkey"), F.col("record")["p_brand"].alias("p_brand"), F.col("record")["p_size"].cast("int").alias("p_size"))
+
+
 _REGISTERED = (
+    (growing_components, decisions.ORACLE_SQL["connected_components"]), (collected_parts, "SELECT p_partkey, p_brand, p_size FROM part"),
     (stream_changes, sql(evidence.CHANGE_ROWS)), (stream_assets, evidence.ORACLE_SQL["reconcile_assets"]), (persist_hypotheses, decisions.ORACLE_SQL["fuse_hypotheses"]),
     (persist_commercial, sql(decisions.MATCHED + """ SELECT organization_id, 'needs_review' AS state, tenders, jobs, last_evidence_at, round(greatest(0.0::double, least(100.0::double, a * 45 + b * 25 + c * 15 + d * 10 + confidence * 5 - f * 20)), 6) AS score,
         CASE WHEN tenders > 0 AND jobs > 0 AND evidence >= 2 THEN 'complete' ELSE 'partial' END AS data_quality, 6 AS components FROM v""")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evistrata.functions import identifiers, text
+from evistrata.functions import canonical, identifiers, text
 from evistrata.operators import budgets, governance, graph, matching, professional, sinks
 from evistrata.plans import decisions, evidence
 from evistrata.plans.bindings import AS_OF, sql, table, view
@@ -617,3 +617,11 @@ def archive_leads(spark, sf_dir):
     leads = table(spark, sf_dir, "pages").select(F.lit(1).alias("organization_id"), F.lit("s").alias("source_id"), p.cast("string").alias("source_record_key"), F.col("url").alias("original_url"), as_of().alias("capture_at"), F.lit("text/html").alias("mime"), (200 + p % 3).alias("status_code"), as_of().alias("observed_at"))
     return mappers.archive_leads(leads).select(F.col("source_record_key").cast("long").alias("page_id"), "title", "excerpt")
 
+
+@registered("""SELECT snapshot_id, sha256('{"active":' || active::varchar || ',"at":"' || strftime(modified_at, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00","claim_type":"' || claim_type || '","incident_key":' || incident_key || ',"key":' || coalesce('"' || independence_key || '"', 'null')
+    || ',"kinds":["' || incident_type || '",null],"title":"' || title || '"}') AS digest FROM v_claim WHERE microsecond(modified_at) % 1000000 <> 0""")
+def claim_digests(spark, sf_dir):
+    """Digests of claims by their canonical JSON; times that end in a whole second are written shorter, which the SQL leaves to tests."""
+    rows = view(spark, sf_dir, "v_claim").filter(F.unix_micros(F.col("modified_at").cast("timestamp")) % 1_000_000 != 0)
+    said = rows.select("snapshot_id", "active", F.col("modified_at").alias("at"), "claim_type", "incident_key", F.col("independence_key").alias("key"), F.array("incident_type", F.lit(None)).alias("kinds"), "title")
+    return said.select("snapshot_id", canonical.digest(said, [c for c in said.columns if c != "snapshot_id"]).alias("digest"))

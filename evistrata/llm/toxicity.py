@@ -31,6 +31,8 @@ STEMS = (3, 4, 5, 6)
 VOCABULARY = 2048
 #: Words that a task counts before it hands its counts on; bounds its memory.
 PARTIAL = 200_000
+#: Rows that are packed together for the steps.
+PACKED = 8192
 #: Least likelihood-ratio statistic of a feature.
 EVIDENCE = 12.0
 STEPS = 30
@@ -48,6 +50,24 @@ def features(text: str | None) -> set[str]:
     return found
 
 
+class _Numbers(dict):
+    """Numbers of the kept features that a word has, itself and its beginnings; words that came before are not looked up again."""
+
+    def __init__(self, number: dict[str, int]) -> None:
+        self.number = number
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= PARTIAL * 2:
+            self.clear()
+        names = [word, *("^" + word[:n] for n in STEMS if len(word) >= n)]
+        self[word] = found = tuple(self.number[f] for f in names if f in self.number)
+        return found
+
+    def of_text(self, text: str | None) -> list[int]:
+        """The same as the numbers of ``features(text)``, in order."""
+        return sorted(set().union(*map(self.__getitem__, set(_WORD.findall((text or "").lower())))))
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     vocabulary: dict[str, int]
@@ -66,27 +86,53 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``toxic, size, ids`` of many rows (``toxic, ids``) at a time as bytes, so that a step over them costs no more than its sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def told() -> pa.RecordBatch:
+            parts = [np.concatenate(x).tobytes() for x in zip(*held, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["toxic", "size", "ids"])
+
+        n = 0
+        for batch in batches:
+            lists = batch.column(1)
+            held.append((batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint8), np.diff(lists.offsets.to_numpy()).astype("<i4"), lists.flatten().to_numpy(zero_copy_only=False).astype("<i4")))
+            n += batch.num_rows
+            if n >= PACKED:
+                yield told()
+                n = 0
+        if held:
+            yield told()
+
+    return rows.mapInArrow(run, "toxic binary, size binary, ids binary")
+
+
 def _sums(rows: DataFrame, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
-    """For all rows and for the positives: the gradient of the summed loss at label 0 (the last place is that of the bias) and the summed loss itself.
+    """For all ``rows`` (``toxic, ids``) and for the positives: the gradient of the summed loss at label 0 (the last place is that of the bias) and the summed loss itself."""
+    return _packed_sums(_packed(rows), w, b)
 
-    ``rows`` has ``toxic, ids``; the numbers are made in the tasks, the JVM sums them.
-    """
+
+def _packed_sums(packed: DataFrame, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+    """``_sums`` of rows that are packed: the numbers are made in the tasks, the JVM sums them."""
     size = len(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size + 2))
         for batch in batches:
-            toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            lists = batch.column(1)
-            at = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
-            z = b + np.bincount(row, w[at], len(toxic))
-            slope, loss = _sigmoid(z), np.logaddexp(0, z)
-            for side, weight in enumerate((np.ones(len(toxic)), toxic)):
-                total[side] += np.concatenate([np.bincount(at, (slope * weight)[row], size), [(slope * weight).sum(), (loss * weight).sum()]])
+            for t, n, i in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                toxic, at = np.frombuffer(t, np.uint8).astype(np.float64), np.frombuffer(i, "<i4")
+                row = np.repeat(np.arange(len(toxic)), np.frombuffer(n, "<i4"))
+                z = b + np.bincount(row, w[at], len(toxic))
+                slope, loss = _sigmoid(z), np.logaddexp(0, z)
+                for side, weight in enumerate((np.ones(len(toxic)), toxic)):
+                    total[side] += np.concatenate([np.bincount(at, (slope * weight)[row], size), [(slope * weight).sum(), (loss * weight).sum()]])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["side", "v"])
 
-    found = summed(rows.mapInArrow(run, "side int, v array<double>"), "side").toPandas()
+    found = summed(packed.mapInArrow(run, "side int, v array<double>"), "side").toPandas()
     out = np.zeros((2, size + 2))
     out[found["side"], found["pos"]] = found["v"]
     return out[0], out[1]
@@ -99,11 +145,12 @@ def nnpu(rows: DataFrame, positive: np.ndarray, n_p: int, n_u: int, prior: float
     ``positive`` has the number of positives with each feature.
     """
     size = len(positive)
+    packed = materialize(_packed(rows.select("toxic", "ids")), "toxicity-packed")
     seen = np.append(positive, n_p) / n_p
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        u, p = _sums(rows, w, b)
+        u, p = _packed_sums(packed, w, b)
         # the slope of the loss at label 1 is that at label 0 less one
         gu, gn = u[:-1] / n_u, prior * p[:-1] / n_p
         negative = u[-1] / n_u - prior * p[-1] / n_p
@@ -180,8 +227,9 @@ def fit_encoded(docs: DataFrame, every: DataFrame, known: DataFrame, vocabulary:
     number = {r["word"]: i for i, r in enumerate(kept)}
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = _Numbers(number)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "train": b["train"], "toxic": b["toxic"], "ids": [sorted(number[w] for w in features(t) if w in number) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "train": b["train"], "toxic": b["toxic"], "ids": [numbers.of_text(t) for t in b["text"]]})
 
     texts = sided(every.select("doc_id", "text", (train & F.col("doc_id").isNotNull()).alias("train"))).select("doc_id", "train", "toxic", "text")
     rows = materialize(texts.mapInPandas(narrow, "doc_id bigint, train boolean, toxic boolean, ids array<int>"), "toxicity-features")

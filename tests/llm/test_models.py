@@ -95,3 +95,14 @@ def test_toxic_words_are_counted_over_all_texts(spark):
     assert {"vile", "rarity", "plain"} <= set(model.vocabulary)
     got = {(r.word): (r.dp, r.du) for r in toxicity._count_words(spark.createDataFrame([(True, "a b"), (False, "b B"), (False, None)], "toxic boolean, text string")).collect()}
     assert got == {"": (1, 3), "a": (1, 1), "b": (1, 2)}
+
+
+def test_numbers_of_a_text_are_those_of_its_features(monkeypatch):
+    from evistrata.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "PARTIAL", 3)
+    texts = ["The hateful hat, the HATS and a hat", "", None, "x" * 50 + " ab abc abcd", "é éé ééé hating"]
+    words = sorted(set().union(*map(toxicity.features, texts)))
+    number = {w: i for i, w in enumerate(words[::2])}
+    numbers = toxicity._Numbers(number)
+    assert [numbers.of_text(t) for t in texts] == [sorted(number[w] for w in toxicity.features(t) if w in number) for t in texts]

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -103,6 +103,46 @@ def crawl(targets: DataFrame, scopes: DataFrame, usage: DataFrame | None = None,
     return decided.select("target_id", "scope_id", "target_reason", "response_reason"), after
 
 
+class RouteFold:
+    """Gives the hits of one organization and origin after another to their targets, which are told first.
+
+    Targets are found by host and by path: any, the path itself, or one it lies below. What is used up never opens again, so it is
+    dropped from the lists where it is met, and of the open ones two are enough to know that there are several.
+    """
+
+    def __init__(self) -> None:
+        self.group, self.lists = None, {}
+
+    def at(self, group) -> None:
+        if group != self.group:
+            self.group, self.lists = group, {}
+
+    def target(self, target, hosts, paths, pages: int, most: int) -> None:
+        entry = [target, pages, most]
+        for host in {h for h in hosts or () if h is not None}:
+            for place in {x for p in paths or () if p is not None for x in ((("any",) if p == "/" else ("at", p)), ("below", p.rstrip("/")))}:
+                self.lists.setdefault((host, place), []).append(entry)
+
+    def hit(self, host, path) -> tuple:
+        places = [("any",)] if path is None else [("any",), ("at", path), *(("below", path[:i]) for i, c in enumerate(path) if c == "/")]
+        found: list = []
+        for place in places if host is not None else ():
+            told = self.lists.get((host, place), [])
+            i = 0
+            while i < len(told) and len(found) < 2:
+                if told[i][1] >= told[i][2]:
+                    told[i] = told[-1]
+                    told.pop()
+                    continue
+                if not any(told[i] is x for x in found):
+                    found.append(told[i])
+                i += 1
+        if len(found) != 1:
+            return None, "ambiguous_target" if found else "source_review"
+        found[0][1] += 1
+        return found[0][0], "public_web"
+
+
 def route(candidates: DataFrame, targets: DataFrame, order: tuple[str, ...] = ("candidate_id",)) -> DataFrame:
     """``candidate_id, target_id, route``: to the one target of its organization and origin that takes a search hit.
 
@@ -110,36 +150,39 @@ def route(candidates: DataFrame, targets: DataFrame, order: tuple[str, ...] = ("
     organization_id, origin, hosts, paths``, whether it is ``executable``, limits, and the ``pages`` and ``bytes`` used so far (absent:
     yes, the defaults, none). A target whose scope refuses the hit, at the usage that hits before it left, is no match. Without a match the
     source needs a review; several at once are an error, told as ``ambiguous_target``; a match uses one page of its target.
+    Hits and targets of a group meet in its fold and are never joined; a task holds the targets of one group.
     """
     told = _limited(targets, "max_pages", "max_total_bytes", "max_depth", "max_redirects")
     have = lambda c, default: F.coalesce(F.col(c), default) if c in targets.columns else default
-    told = told.select("target_id", "organization_id", "origin", "hosts", "paths", "max_pages", "max_total_bytes", "max_depth", "max_redirects", have("executable", F.lit(True)).alias("executable"), have("pages", F.lit(0)).cast("long").alias("pages"), have("bytes", F.lit(0)).cast("long").alias("bytes"))
     group = ["organization_id", "origin"]
-    met = candidates.join(told.filter("executable and bytes < max_total_bytes"), group, "left")
-    takes = F.col("target_id").isNotNull() & _scope_rule().isNull()
-    options = met.groupBy("candidate_id").agg(  # the targets of one organization and origin: few
-        F.first("organization_id").alias("organization_id"), F.first("origin").alias("origin"), *[F.first(c).alias(f"_o{i}") for i, c in enumerate(order)],
-        F.sort_array(F.collect_list(F.when(takes, F.struct("target_id", "pages", "max_pages")))).alias("options"),
-    )
+    told = told.withColumns({"executable": have("executable", F.lit(True)), "pages": have("pages", F.lit(0)).cast("long"), "bytes": have("bytes", F.lit(0)).cast("long")})
+    told = told.filter("executable and bytes < max_total_bytes and max_depth >= 0 and max_redirects >= 0 and organization_id is not null and origin is not null").select("target_id", *group, "hosts", "paths", "pages", "max_pages")
+    rows = candidates.select("candidate_id", *group, "host", "path", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    groups = told.select(*group).distinct()
+    alone = rows.join(groups, group, "left_anti").select("candidate_id", F.lit(None).cast(told.schema["target_id"].dataType).alias("target_id"), F.lit("source_review").alias("route"))
+    hits = rows.join(groups, group, "left_semi").withColumn("_hit", F.lit(True))
     keys = [f"_o{i}" for i in range(len(order))]
-    alone = options.filter(F.size("options") == 0).select("candidate_id", F.lit(None).cast(told.schema["target_id"].dataType).alias("target_id"), F.lit("source_review").alias("route"))
-    turn = options.filter(F.size("options") > 0).repartition(*group).sortWithinPartitions(*group, *keys, "candidate_id")
+    turn = hits.unionByName(told.withColumn("_hit", F.lit(False)), allowMissingColumns=True).repartition(*group).sortWithinPartitions(*group, "_hit", *keys, "candidate_id", "target_id")
+    schema = StructType([rows.schema["candidate_id"], alone.schema["target_id"], StructField("route", StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, used = None, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = RouteFold()
         for b in batches:
-            out = []
-            for candidate, organization, origin, choices in zip(b["candidate_id"], b["organization_id"], b["origin"], b["options"], strict=True):
-                if (organization, origin) != at:
-                    at, used = (organization, origin), {}
-                open_ = [c["target_id"] for c in choices if used.get(c["target_id"], c["pages"]) < c["max_pages"]]
-                if len(open_) == 1:
-                    used[open_[0]] = used.get(open_[0], next(c["pages"] for c in choices if c["target_id"] == open_[0])) + 1
-                out.append((candidate, open_[0] if len(open_) == 1 else None, {0: "source_review", 1: "public_web"}.get(len(open_), "ambiguous_target")))
-            yield pd.DataFrame(out, columns=["candidate_id", "target_id", "route"])
-
-    schema = StructType([options.schema["candidate_id"], alone.schema["target_id"], StructField("route", StringType())])
-    return turn.select("candidate_id", *group, "options").mapInPandas(run, schema).unionByName(alone)
+            ids, given, routes = [], [], []
+            turns = zip(*[c.to_pylist() for c in b.columns[:6]], strict=True)
+            fresh = zip(*[c.to_pylist() for c in b.filter(pc.invert(b.column(0))).columns[6:]], strict=True)
+            for hit, organization, origin, candidate, host, path in turns:
+                fold.at((organization, origin))
+                if hit:
+                    to, way = fold.hit(host, path)
+                    ids.append(candidate)
+                    given.append(to)
+                    routes.append(way)
+                else:
+                    fold.target(*next(fresh))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(3).type), pa.array(given, b.schema.field(6).type), pa.array(routes, pa.string())], names=["candidate_id", "target_id", "route"])
+
+    return turn.select("_hit", *group, "candidate_id", "host", "path", "target_id", "hosts", "paths", "pages", "max_pages").mapInArrow(run, schema).unionByName(alone)
 
 
 def in_order(decide: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], parts: list[DataFrame], usage: DataFrame) -> tuple[list[DataFrame], DataFrame]:

@@ -36,6 +36,8 @@ PERCENT = 85
 LEAST_BITS, MOST_BITS, SLOT_BYTES = 16, 26, 2048
 #: Slots that a task counts before it hands its counts on; bounds its memory.
 PARTIAL = 1 << 22
+#: Slots whose counts go in one row: as bytes for each slot, or with their places where few are counted.
+ROW_SLOTS = 1 << 12
 #: Longest posting list whose pairs are listed one by one.
 SHORT_LIST = 32
 #: A block of a cluster holds about this many shingles, each set counting 256 more.
@@ -51,6 +53,23 @@ def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def packed_counts(slots: np.ndarray, n: np.ndarray) -> tuple[bytes | None, bytes]:
+    """Counts of some slots of a row in the least width that holds them: for all slots (no places), or with the places of those counted."""
+    width = np.min_scalar_type(int(n.max()))
+    if len(n) * (2 + width.itemsize) < ROW_SLOTS * width.itemsize:
+        return slots.astype(np.uint16).tobytes(), n.astype(width).tobytes()
+    every = np.zeros(ROW_SLOTS, width)
+    every[slots] = n
+    return None, every.tobytes()
+
+
+def add_counts(total: np.ndarray, places: bytes | None, counts: bytes) -> None:
+    """Add what ``packed_counts`` gave to the counts of the row's slots."""
+    where = slice(None) if places is None else np.frombuffer(places, np.uint16)
+    size = ROW_SLOTS if places is None else len(where)
+    total[where] += np.frombuffer(counts, np.dtype(f"u{len(counts) // size}")).astype(np.int64)
+
+
 def shingle_ranks(docs: DataFrame, words: int) -> np.ndarray:
     """For each slot the logarithm (in quarters) of how many (document, distinct shingle) fall there, over all documents."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -71,9 +90,29 @@ def shingle_ranks(docs: DataFrame, words: int) -> np.ndarray:
 
     def told(held: list[np.ndarray]) -> pd.DataFrame:
         slot, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int32), return_counts=True)
-        return pd.DataFrame({"slot": slot, "n": n.astype(np.int64)})
+        parts, starts = np.unique(slot // ROW_SLOTS, return_index=True)
+        rows = [(p, *packed_counts(slot[a:b] % ROW_SLOTS, n[a:b])) for p, a, b in zip(parts.tolist(), starts, [*starts[1:], len(slot)][: len(starts)], strict=True)]
+        return pd.DataFrame(rows, columns=["part", "places", "counts"])
 
-    counted = docs.select("text").mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, total = None, np.zeros(ROW_SLOTS, np.int64)
+
+        def ended() -> pd.DataFrame:
+            found = np.flatnonzero(total)
+            return pd.DataFrame({"slot": (found + at * ROW_SLOTS).astype(np.int32), "n": total[found]})
+
+        for b in batches:
+            for part, places, counts in zip(b["part"], b["places"], b["counts"], strict=True):
+                if part != at:
+                    if at is not None:
+                        yield ended()
+                    at, total = part, np.zeros(ROW_SLOTS, np.int64)
+                add_counts(total, places, counts)
+        if at is not None:
+            yield ended()
+
+    packed = docs.select("text").mapInPandas(run, "part int, places binary, counts binary")
+    counted = packed.repartition("part").sortWithinPartitions("part").mapInPandas(summed, "slot int, n long")
     # quiet slots stay 0 here, so that only slots above the mean go to the driver, one byte each
     rank = F.ceil(4 * F.log2(1 + F.col("n"))).cast("int").alias("rank")
     counted = materialize(counted.select("slot", rank), "join-slots")

@@ -131,3 +131,25 @@ def test_search_matches_brute_force(spark):
         want = sorted((bin((codes[q] ^ c) & ((1 << 64) - 1)).count("1"), i) for i, c in codes.items() if i != q)[:5]
         assert sorted(got[q]) == [(k + 1, d, i) for k, (d, i) in enumerate(want)]
     assert hamming_search.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_counts_of_slots_travel_packed(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for size, most in ((0, 3), (5, 200), (3000, 3), (4096, 70000), (900, 300)):
+        n = rng.integers(1, most + 1, size) if size else np.array([7])
+        slots = np.sort(rng.choice(ngram_join.ROW_SLOTS, len(n), replace=False))
+        places, counts = ngram_join.packed_counts(slots, n)
+        total = np.ones(ngram_join.ROW_SLOTS, np.int64)
+        ngram_join.add_counts(total, places, counts)
+        want = np.ones(ngram_join.ROW_SLOTS, np.int64)
+        want[slots] += n
+        assert (total == want).all() and len(counts) + len(places or b"") <= 8 * ngram_join.ROW_SLOTS
+
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 60)) for _ in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).union(spark.createDataFrame([], "text string").repartition(2))  # and parts without a text
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, label: df)
+    ranks = ngram_join.shingle_ranks(docs, 2)
+    held = np.concatenate([(s.view(np.uint64) >> np.uint64(48)).astype(np.int64) for s in shingle_sets(texts, 2)])
+    want = np.ceil(4 * np.log2(1 + np.bincount(held, minlength=1 << 16))).astype(int)
+    loud = want > want[want > 0].mean()
+    assert len(ranks) == 1 << 16 and (ranks[loud] == want[loud]).all() and not ranks[~loud].any()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evistrata.operators import listing, vulnerabilities
+from evistrata.operators import applicability, listing, vulnerabilities
 from evistrata.plans import decisions, evidence
 from evistrata.plans.bindings import AS_OF, sql, table, view
 from evistrata.plans.evidence import as_of
@@ -175,9 +175,7 @@ def list_vulnerabilities(spark, sf_dir):
 @registered(f"""SELECT technology_id, vulnerability_id, state, scheme FROM {_of('assess_applicability', decisions)} a JOIN v_technology t USING (technology_id) LEFT JOIN (SELECT range_id, scheme FROM v_range) r ON r.range_id = matched_range
     WHERE {_Q(('vendor', 'product', 'version', 'state', 'scheme'), 'p3')} ORDER BY a.confidence DESC, technology_id, vulnerability_id LIMIT 70""")
 def list_applicability_assessments(spark, sf_dir):
-    t = view(spark, sf_dir, "v_technology").select("technology_id", "vendor", "product", "version")
-    r = view(spark, sf_dir, "v_range").select(F.col("range_id").alias("matched_range"), "scheme")
-    rows = decisions.assess_applicability(spark, sf_dir).join(t, "technology_id").join(r, "matched_range", "left")
+    rows = applicability.assess(view(spark, sf_dir, "v_technology"), view(spark, sf_dir, "v_range"), keep=("vendor", "product", "version"), told=("scheme",))
     spec = listing.Listing(listing.APPLICABILITY.order, ("vendor", "product", "version", "state", "scheme"))
     return listing.page(listing.selected(rows, spec, None, "p3"), spec, 70).select("technology_id", "vulnerability_id", "state", "scheme")
 

@@ -21,3 +21,8 @@ def test_equal_ranges_meet_a_version_once(spark, monkeypatch):
     first = {0: 42, 1: 41}
     want = {(i, v): ("withdrawn", 0.0, None) if i == 5 else ("applicable", i / 100, first[v]) if i % 2 else ("not_applicable", i / 100, None) for i in range(40) for v in (0, 1)}
     assert got == want | {(40, v): ("unknown", 0.5, first[v]) for v in (0, 1)}
+
+
+def test_assessments_show_columns_of_technology_and_matched_range(spark):
+    rows = applicability.assess(*alike(spark), keep=("version", "vendor"), told=("scheme", "fixed")).filter("technology_id in (4, 5, 7) and vulnerability_id = 1")
+    assert {x.technology_id: (x.version, x.vendor, x.scheme, x.fixed) for x in rows.collect()} == {4: ("9.0", "v", None, None), 5: ("1.5", "v", None, None), 7: ("1.5", "v", "semver", "2.0")}

@@ -293,9 +293,11 @@ def asset_detail(spark, sf_dir):
 @registered(f"""SELECT technology_id, vulnerability_id, state, (SELECT string_agg(range_id::varchar, ',' ORDER BY range_id) FROM v_range r JOIN v_technology t USING (vendor, product) WHERE t.technology_id = a.technology_id AND r.vulnerability_id = a.vulnerability_id) AS ranges
     FROM {_of('assess_applicability', decisions)} a WHERE technology_id = 42""")
 def applicability_detail(spark, sf_dir):
-    t = view(spark, sf_dir, "v_technology").filter("technology_id = 42").select("technology_id", "vendor", "product")
-    met = view(spark, sf_dir, "v_range").join(t, ["vendor", "product"]).groupBy("technology_id", "vulnerability_id").agg(F.array_sort(F.collect_list("range_id")).alias("r"))
-    rows = decisions.assess_applicability(spark, sf_dir).filter("technology_id = 42").join(met, ["technology_id", "vulnerability_id"], "left")
+    mine = view(spark, sf_dir, "v_technology").filter("technology_id = 42")
+    product = F.broadcast(mine.select("technology_id", "vendor", "product"))  # one row
+    ranges = view(spark, sf_dir, "v_range").join(product.select("vendor", "product"), ["vendor", "product"], "left_semi")
+    met = ranges.join(product, ["vendor", "product"]).groupBy("technology_id", "vulnerability_id").agg(F.array_sort(F.collect_list("range_id")).alias("r"))
+    rows = applicability.assess(mine, ranges).join(met, ["technology_id", "vulnerability_id"], "left")
     return rows.select("technology_id", "vulnerability_id", "state", F.array_join(F.col("r").cast("array<string>"), ",").alias("ranges"))
 
 

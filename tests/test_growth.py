@@ -26,3 +26,12 @@ def test_equal_ranges_meet_a_version_once(spark, monkeypatch):
 def test_assessments_show_columns_of_technology_and_matched_range(spark):
     rows = applicability.assess(*alike(spark), keep=("version", "vendor"), told=("scheme", "fixed")).filter("technology_id in (4, 5, 7) and vulnerability_id = 1")
     assert {x.technology_id: (x.version, x.vendor, x.scheme, x.fixed) for x in rows.collect()} == {4: ("9.0", "v", None, None), 5: ("1.5", "v", None, None), 7: ("1.5", "v", "semver", "2.0")}
+
+
+def test_a_detail_assesses_its_technology_only(spark, monkeypatch):
+    from evistrata.plans import entities
+
+    seen, assess = [], applicability.assess
+    monkeypatch.setattr(applicability, "assess", lambda t, r, *more: seen.append((t.count(), r.select("vendor", "product").distinct().count())) or assess(t, r, *more))
+    assert entities.applicability_detail(spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == [(1, 1)]

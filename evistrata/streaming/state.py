@@ -22,6 +22,8 @@ from evistrata.operators.revisions import RevisionSpec
 #: Statements travel through the state as JSON; times keep their microseconds.
 TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Statements that a record names beside its latest revision; beyond them each has a key of its own.
+SEEN = 64
 _OUT = "entity string, kind string, payload string, carried string"
 _FOLDS = {"count": lambda old, new: (old or 0) + 1, "min": lambda old, new: new if old is None else old if new is None else min(old, new), "max": lambda old, new: new if old is None else old if new is None else max(old, new)}
 
@@ -50,11 +52,14 @@ def _rank(told: str) -> list:
 
 
 class LatestStatements(StatefulProcessor):
-    """For each entity the latest revision of every record, the statements seen, and folds over all of them.
+    """For each entity the latest revision of every record with the statements seen of it, and folds over all of them.
 
     Rows come as ``entity, record, statement, rank, due`` (epoch milliseconds), ``folds, payload``; what is not a plain
     string is JSON. Out go the new statements, each once, and all latest ones of the entity. Older revisions whose column
     ``keep_replacing`` names another record stay too where replacing takes effect from every revision.
+
+    Every call of the state is a message to the JVM: an entity that is new asks for its history only, and a record is read and
+    written once in a batch.
     """
 
     def __init__(self, folds: list[str], keep_replacing: str | None, keep_ms: int | None, timed: bool) -> None:
@@ -62,50 +67,67 @@ class LatestStatements(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.latest = handle.getMapState("latest", "record string", "rank string, due array<long>, payload string", self.keep_ms)
+        self.latest = handle.getMapState("latest", "record string", "rank string, due array<long>, payload string, seen array<string>, more boolean", self.keep_ms)
         self.seen = handle.getMapState("seen", "statement string", "n int", self.keep_ms)
         self.history = handle.getValueState("history", "folds string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        folds = json.loads(self.history.get()[0]) if self.history.exists() else [None] * len(self.folds)
-        held: dict[str, tuple] = {}  # what this batch has found of each record, so that the state is asked once
-        changed = set()
+        stored = self.history.get()
+        new = stored is None  # nothing is known of the entity, so the state need not be asked
+        folds = [None] * len(self.folds) if new else json.loads(stored[0])
+        held: dict[str, tuple | None] = {}  # what this batch has found of each record, so that the state is asked once
+        seen: dict[str, set] = {}
+        more, changed, replaced = set(), set(), {}
         for r in rows:
-            if self.seen.containsKey((r.statement,)):
+            if r.record not in held:
+                known = None if new or not self.latest.containsKey((r.record,)) else self.latest.getValue((r.record,))
+                held[r.record], seen[r.record] = known and tuple(known)[:3], set(known[3] if known else ())
+                if known and known[4]:
+                    more.add(r.record)
+            if r.statement in seen[r.record] or r.record in more and self.seen.containsKey((r.statement,)):
                 continue
-            self.seen.updateValue((r.statement,), (1,))
+            seen[r.record].add(r.statement)
+            changed.add(r.record)
             yield Row(entity=key[0], kind="new", payload=r.payload, carried=None)
-            folds = [_FOLDS[f](old, new) for f, old, new in zip(self.folds, folds, json.loads(r.folds).values(), strict=True)]
-            if r.record not in held:
-                held[r.record] = self.latest.getValue((r.record,)) if self.latest.containsKey((r.record,)) else None
+            folds = [_FOLDS[f](old, new_) for f, old, new_ in zip(self.folds, folds, json.loads(r.folds).values(), strict=True)]
             known, now = held[r.record], (r.rank, r.due, r.payload)
             if known is None or _rank(known[0]) <= _rank(r.rank):
                 held[r.record], older = now, known
-                changed.add(r.record)
             else:
                 older = now
             if self.keep_replacing and older is not None and json.loads(older[2]).get(self.keep_replacing) is not None:
-                self.latest.updateValue((f"{r.record}\0{older[0]}",), older)
+                replaced[f"{r.record}\0{older[0]}"] = older
+        for record, older in replaced.items():
+            self.latest.updateValue((record,), (*older, [], False))
         for record in changed:
-            self.latest.updateValue((record,), held[record])
-        self.history.update((json.dumps(folds),))
+            if len(seen[record]) > SEEN:  # a record of very many revisions: its statements get keys of their own
+                for statement in seen[record]:
+                    self.seen.updateValue((statement,), (1,))
+                seen[record] = ()
+                more.add(record)
+            self.latest.updateValue((record,), (*held[record], [*seen[record]], record in more))
+        if new or changed:
+            self.history.update((json.dumps(folds),))
         if self.timed:
             now_ms = timerValues.getCurrentProcessingTimeInMs()
             for due in {d for record in changed for d in held[record][1] or () if d is not None and d > now_ms}:
                 self.handle.registerTimer(due)
-        yield from self._all(key, folds)
+        yield from self._told(key, folds, [v[2] for v in (*held.values(), *replaced.values())]) if new else self._all(key, folds)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.history.exists():
             yield from self._all(key, json.loads(self.history.get()[0]))
 
     def _all(self, key, folds) -> Iterator[Row]:
-        none = True
-        for _, value in self.latest.iterator():
+        yield from self._told(key, folds, (value[2] for _, value in self.latest.iterator()))
+
+    def _told(self, key, folds, payloads) -> Iterator[Row]:
+        none, carried = True, json.dumps(folds)
+        for payload in payloads:
             none = False
-            yield Row(entity=key[0], kind="latest", payload=value[2], carried=json.dumps(folds))
+            yield Row(entity=key[0], kind="latest", payload=payload, carried=carried)
         if none:  # all that was known has outlived its time
-            yield Row(entity=key[0], kind="latest", payload=None, carried=json.dumps(folds))
+            yield Row(entity=key[0], kind="latest", payload=None, carried=carried)
 
     def close(self) -> None:
         pass

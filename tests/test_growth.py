@@ -1,6 +1,7 @@
 """Work that must not grow faster than the rows: equal rows are judged once, tables are read once."""
 
 from evistrata.operators import applicability
+from evistrata.streaming import state
 
 TECHNOLOGIES = "technology_id long, vendor string, product string, version string, confidence double, expired boolean"
 RANGES = "range_id long, vulnerability_id long, vendor string, product string, introduced string, fixed string, introduced_inclusive boolean, fixed_inclusive boolean, backported_fix boolean, scheme string"
@@ -35,3 +36,63 @@ def test_a_detail_assesses_its_technology_only(spark, monkeypatch):
     monkeypatch.setattr(applicability, "assess", lambda t, r, *more: seen.append((t.count(), r.select("vendor", "product").distinct().count())) or assess(t, r, *more))
     assert entities.applicability_detail(spark, "/root/testdata/sf0.001").count() > 0
     assert seen == [(1, 1)]
+
+
+class Kept:
+    """States of one entity in memory, each call counted."""
+
+    def __init__(self):
+        self.calls, self.maps, self.value = 0, {"latest": {}, "seen": {}}, None
+
+    def getMapState(self, name, *_):
+        return Asked(self, self.maps[name])
+
+    def getValueState(self, *_):
+        return Asked(self, None)
+
+
+class Asked:
+    def __init__(self, kept, rows):
+        self.kept, self.rows = kept, rows
+
+    def __getattribute__(self, name):
+        if name not in ("kept", "rows"):
+            self.kept.calls += 1
+        return object.__getattribute__(self, name)
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def iterator(self):
+        return iter(self.rows.items())
+
+    def exists(self):
+        return self.kept.value is not None
+
+    def get(self):
+        return self.kept.value
+
+    def update(self, value):
+        self.kept.value = value
+
+
+def test_the_state_is_asked_a_few_times_for_an_entity(monkeypatch):
+    from pyspark.sql import Row
+
+    kept, told = Kept(), state.LatestStatements(["count"], None, None, False)
+    told.init(kept)
+    claim = lambda i, record: Row(record=record, statement=str(i), rank=f'{{"c0": {i}}}', due=[], folds='{"c0": null}', payload=f'{{"n": {i}}}')
+    run = lambda rows: [(r.kind, r.payload, r.carried) for r in told.handleInputRows(("e",), iter(rows), None)]
+    first = run([claim(i, "abc"[i % 3]) for i in (0, 3, 1, 4, 5, 2, 5)])
+    assert sorted(r[1] for r in first if r[0] == "new") == [f'{{"n": {i}}}' for i in range(6)] and sorted(r[1:] for r in first if r[0] == "latest") == [(f'{{"n": {i}}}', "[6]") for i in (3, 4, 5)]
+    assert kept.calls <= 5  # the history, three records, the history; 23 when each statement asked
+    monkeypatch.setattr(state, "SEEN", 2)  # beyond it statements have keys of their own, and are known all the same
+    for rows, new in (([5, 6, 9], [6, 9]), ([0, 3, 6, 9, 12], [12]), ([12, 0, 9, 15, 4], [15])):
+        assert [r[1] for r in run([claim(i, "abc"[i % 3]) for i in rows]) if r[0] == "new"] == [f'{{"n": {i}}}' for i in new]
+    assert sorted(r[1:] for r in run([claim(15, "a")]) if r[0] == "latest") == [(f'{{"n": {i}}}', "[10]") for i in (15, 4, 5)]

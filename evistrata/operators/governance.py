@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evistrata.functions.text import SERVICE_TERMS, service_families
+from evistrata.functions.text import SERVICE_TERMS, lowered, service_families
 from evistrata.functions.times import block_reasons, midnight
 
 # Order of risks, states of plans that may run, offers of each service family, classes told by a signal's kind.
@@ -70,11 +70,14 @@ def map_signals(signals: DataFrame) -> DataFrame:
     A tender asks for what it names; a job posting tells of three needs. Others, and those without a
     known term, keep what they had. Every signal gets an independence key, that of its source if it has none.
     """
-    families = F.transform(service_families(F.concat_ws(" ", "title", "summary")), lambda x: x["family"])
     classes = F.when(F.col("signal_type") == "public_tender", F.array(*map(F.lit, TENDER_CLASSES))).when(F.col("signal_type") == "job_posting", F.array(*map(F.lit, JOB_CLASSES)))
     mapped = (F.size("service_families") > 0) & (F.size("hypothesis_classes") > 0)
-    rows = signals.withColumns({"_families": families, "_classes": classes})
-    new = ~F.coalesce(mapped, F.lit(False)) & F.col("_classes").isNotNull() & (F.size("_families") > 0)
+    asked = ~F.coalesce(mapped, F.lit(False)) & classes.isNotNull()
+    families = F.transform(service_families(F.col("_low")), lambda x: x["family"])
+    # a text is lowered once, and searched only where its families are asked for; a generator keeps both from being moved to each use
+    rows = lowered(signals, F.when(asked, F.concat_ws(" ", "title", "summary")))
+    rows = rows.withColumns({"_classes": classes, "_families": F.explode(F.array(F.when(F.col("_low").isNotNull(), families)))}).drop("_low")
+    new = F.col("_families").isNotNull() & (F.size("_families") > 0)
     return rows.withColumns({
         "service_families": F.when(new, F.col("_families")).otherwise(F.col("service_families")), "hypothesis_classes": F.when(new, F.col("_classes")).otherwise(F.col("hypothesis_classes")),
         "is_explicit": F.col("is_explicit") | (new & (F.col("signal_type") == "public_tender")), "independence_key": F.coalesce("independence_key", F.concat(F.lit("source:"), F.col("source_id"))),

@@ -1,12 +1,16 @@
 """Work that must not grow faster than the rows: equal rows are judged once, tables are read once."""
 
-from evistrata.operators import applicability
+from evistrata.operators import applicability, governance
 from evistrata.streaming import state
 
 TECHNOLOGIES = "technology_id long, vendor string, product string, version string, confidence double, expired boolean"
 RANGES = "range_id long, vulnerability_id long, vendor string, product string, introduced string, fixed string, introduced_inclusive boolean, fixed_inclusive boolean, backported_fix boolean, scheme string"
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def alike(spark):
     """Copies of two technologies and of two ranges that hold one of them; a null version, a null vendor."""
     t = [(i, "v", "p", "1.5" if i % 2 else "9.0", i / 100, i == 5) for i in range(40)] + [(40, "v", "p", None, 0.5, False), (41, None, "p", "1.5", 0.5, False)]
@@ -96,3 +100,14 @@ def test_the_state_is_asked_a_few_times_for_an_entity(monkeypatch):
     for rows, new in (([5, 6, 9], [6, 9]), ([0, 3, 6, 9, 12], [12]), ([12, 0, 9, 15, 4], [15])):
         assert [r[1] for r in run([claim(i, "abc"[i % 3]) for i in rows]) if r[0] == "new"] == [f'{{"n": {i}}}' for i in new]
     assert sorted(r[1:] for r in run([claim(15, "a")]) if r[0] == "latest") == [(f'{{"n": {i}}}', "[10]") for i in (15, 4, 5)]
+
+
+def test_only_signals_without_families_are_searched_and_once(spark):
+    rows = [(1, ["a"], ["b"], "public_tender", "Managed SIEM", None), (2, [], ["b"], "public_tender", "Managed SIEM", None), (3, None, None, "job_posting", None, "xdr"), (4, [], [], "job_posting", None, None), (5, [], [], "note", "siem", "x"), (6, [], None, None, "siem", "x")]
+    d = spark.createDataFrame([(*r, False, None, "s") for r in rows], "signal_id long, service_families array<string>, hypothesis_classes array<string>, signal_type string, title string, summary string, is_explicit boolean, independence_key string, source_id string")
+    found = governance.map_signals(d)
+    got = {r.signal_id: (r.service_families, r.is_explicit, r.hypothesis_classes) for r in found.collect()}
+    soc = ["soc_siem_mdr_xdr_soar"]
+    assert {i: g[:2] for i, g in got.items()} == {1: (["a"], False), 2: (soc, True), 3: (soc, False), 4: ([], False), 5: ([], False), 6: ([], False)}
+    assert got[2][2] == list(governance.TENDER_CLASSES) and got[3][2] == list(governance.JOB_CLASSES) and got[6][2] is None
+    assert plan_of(found.select("signal_id", "service_families", "is_explicit")).count("concat_ws") == 1  # 137 when each use of the text made it

@@ -1,6 +1,9 @@
 """Work that must not grow faster than the rows: equal rows are judged once, tables are read once."""
 
-from evistrata.operators import applicability, governance
+from pyspark.sql import functions as F
+
+from evistrata.operators import applicability, governance, graph_loaders
+from evistrata.plans import graphs
 from evistrata.streaming import state
 
 TECHNOLOGIES = "technology_id long, vendor string, product string, version string, confidence double, expired boolean"
@@ -111,3 +114,12 @@ def test_only_signals_without_families_are_searched_and_once(spark):
     assert {i: g[:2] for i, g in got.items()} == {1: (["a"], False), 2: (soc, True), 3: (soc, False), 4: ([], False), 5: ([], False), 6: ([], False)}
     assert got[2][2] == list(governance.TENDER_CLASSES) and got[3][2] == list(governance.JOB_CLASSES) and got[6][2] is None
     assert plan_of(found.select("signal_id", "service_families", "is_explicit")).count("concat_ws") == 1  # 137 when each use of the text made it
+
+
+def test_a_relationship_is_read_once_for_its_three_edges(spark):
+    found = graphs.relationship_edges(spark, "/root/testdata/sf0.001")
+    assert plan_of(found).count("Join ") == 1
+    rows = spark.createDataFrame([("k", "r", "partner", "x", 1, None, "exact", None, True, True)], "relationship_key string, source_record_key string, role string, claim_type string, source_organization_id long, target_organization_id long, source_link_status string, target_link_status string, active boolean, historical_only boolean")
+    edges = graph_loaders.relationships(rows.withColumns({"evidence_class": F.lit("observed"), "supersedes_record_key": F.lit("q")}))[1]
+    assert {(e.edge_key, e.edge_type, e.review_state, e.source_record_key, e.supersedes_record_key, e.evidence_class, e.active) for e in edges.collect()} == {
+        ("business-relationship:k", "partner_of", "confirmed", "r", "q", "observed", False), ("relationship-endpoint-binding:k:source:1", "identity_of", "confirmed", "r:source:identity", "q:source:identity", "endpoint_resolution", True)}

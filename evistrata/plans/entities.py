@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evistrata.operators import applicability, listing, vulnerabilities
+from evistrata.operators import applicability, listing, reconcile, vulnerabilities
 from evistrata.plans import decisions, evidence
-from evistrata.plans.bindings import AS_OF, sql, table, view
+from evistrata.plans.bindings import AS_OF, AS_OF_SHIP, sql, table, view
 from evistrata.plans.evidence import as_of
 
 QUERIES: dict = {}
@@ -141,7 +141,7 @@ def list_change_events(spark, sf_dir):
 @registered(f"""SELECT r.relationship_key, status, role FROM {_of('reconcile_relationships')} r JOIN {_of('relationship_ends')} e USING (relationship_key) WHERE (source_organization_id = 3 OR target_organization_id = 3) AND status <> 'disputed'
     ORDER BY evidence_count DESC, relationship_key LIMIT 50 OFFSET 5""")
 def list_relationships(spark, sf_dir):
-    rows = evidence.reconcile_relationships(spark, sf_dir).join(evidence.relationship_ends(spark, sf_dir), "relationship_key")
+    rows = reconcile.reconcile_relationships(view(spark, sf_dir, "v_relationship"), as_of(AS_OF_SHIP), ("supplier",))  # statuses and ends of one reconciliation
     spec = listing.Listing(("-evidence_count", "relationship_key"))
     where = ((F.col("source_organization_id") == 3) | (F.col("target_organization_id") == 3)) & (F.col("status") != "disputed")
     return listing.page(listing.selected(rows, spec, where), spec, 50, 5).select("relationship_key", "status", "role")

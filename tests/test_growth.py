@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evistrata.operators import applicability, governance, graph_loaders
+from evistrata.operators import applicability, governance, graph_loaders, reconcile
 from evistrata.plans import graphs
 from evistrata.streaming import state
 
@@ -123,3 +123,11 @@ def test_a_relationship_is_read_once_for_its_three_edges(spark):
     edges = graph_loaders.relationships(rows.withColumns({"evidence_class": F.lit("observed"), "supersedes_record_key": F.lit("q")}))[1]
     assert {(e.edge_key, e.edge_type, e.review_state, e.source_record_key, e.supersedes_record_key, e.evidence_class, e.active) for e in edges.collect()} == {
         ("business-relationship:k", "partner_of", "confirmed", "r", "q", "observed", False), ("relationship-endpoint-binding:k:source:1", "identity_of", "confirmed", "r:source:identity", "q:source:identity", "endpoint_resolution", True)}
+
+
+def test_relationships_are_reconciled_once_for_a_page(spark, monkeypatch):
+    from evistrata.plans import entities
+
+    asked, reconciled = [], reconcile.reconcile_relationships
+    monkeypatch.setattr(reconcile, "reconcile_relationships", lambda *args: asked.append(args) or reconciled(*args))
+    assert len(entities.list_relationships(spark, "/root/testdata/sf0.001").columns) == 3 and len(asked) == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,19 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of packed rows that one task reads of an exchange: keys of a graph take sixteen times their packed size in memory.
+JOINED_BYTES = 16 << 20
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def small_tasks(spark: SparkSession, size: int = JOINED_BYTES) -> None:
+    """Let Spark join partitions of an exchange to tasks of ``size`` bytes at most, unless the session asks for less; a setting of the session, as the plans run later."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    now = re.fullmatch(r"(\d+)([bkmgt]?)b?", spark.conf.get(name, "64m").strip().lower())
+    if now is None or int(now[1]) * _UNITS[now[2]] > size:
+        spark.conf.set(name, f"{size}b")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the shared folder."""
     spark = df.sparkSession

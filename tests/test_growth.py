@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evistrata.operators import applicability, governance, graph_loaders, reconcile
+from evistrata.operators import applicability, governance, graph_loaders, lineage, reconcile
 from evistrata.plans import graphs
 from evistrata.streaming import state
 
@@ -125,6 +125,18 @@ def test_a_relationship_is_read_once_for_its_three_edges(spark):
         ("business-relationship:k", "partner_of", "confirmed", "r", "q", "observed", False), ("relationship-endpoint-binding:k:source:1", "identity_of", "confirmed", "r:source:identity", "q:source:identity", "endpoint_resolution", True)}
 
 
+def test_the_graph_sorts_no_table_and_its_tasks_read_bounded_parts(spark):
+    name, found = "spark.sql.adaptive.advisoryPartitionSizeInBytes", graphs.edge_review_states(spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(name) == f"{lineage.JOINED_BYTES}b"  # 64 MB of packed keys were 1 GB in memory
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in physical
+    for given, kept in (("4m", "4m"), ("2mb", "2mb"), ("1g", f"{lineage.JOINED_BYTES}b")):
+        spark.conf.set(name, given)
+        lineage.small_tasks(spark)
+        assert spark.conf.get(name) == kept
+    spark.conf.unset(name)
+
+
 def test_relationships_are_reconciled_once_for_a_page(spark, monkeypatch):
     from evistrata.plans import entities
 

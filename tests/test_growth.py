@@ -137,6 +137,15 @@ def test_the_graph_sorts_no_table_and_its_tasks_read_bounded_parts(spark):
     spark.conf.unset(name)
 
 
+def test_references_meet_only_texts_that_several_hold(spark):
+    rows = spark.createDataFrame([(1, "A", "Same  Co", [" X1", "U1"]), (2, "B", "same co ", ["x1", ""]), (3, "C", "Other", None)], "organization_id long, canonical_name string, legal_name string, registration_ids array<string>")
+    edges = graph_loaders.organizations(rows.withColumns({"website_url": F.lit(None).cast("string"), "created_at": F.lit(None).cast("timestamp_ntz"), "updated_at": F.lit(None).cast("timestamp_ntz")}))[1]
+    assert sorted((e.edge_type, e.target_node_key, e.review_state) for e in edges.collect()) == [
+        ("alias_of", "organization:1", "review_required"), ("alias_of", "organization:2", "review_required"), ("alias_of", "organization:3", "confirmed"),
+        ("identifies", "organization:1", "confirmed"), ("identifies", "organization:1", "review_required"), ("identifies", "organization:2", "review_required")]
+    assert plan_of(edges).count("Join LeftOuter") == 2  # of all texts and their counts before
+
+
 def test_relationships_are_reconciled_once_for_a_page(spark, monkeypatch):
     from evistrata.plans import entities
 

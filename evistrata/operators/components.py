@@ -1,7 +1,8 @@
 """Connected components, of a whole graph and of one that grows by batches.
 
-Over a whole graph tasks first tie what they can connect by themselves to its least node, then every node hands its greater neighbours, and
-after that its smaller ones, to the least node around it, until nothing moves: rounds grow with the logarithm of the longest path.
+Over a whole graph tasks first tie what they can connect by themselves to its least node. A node that one such part knows follows that least node and
+takes no part in what comes then; nodes of several parts are the core. In it every node hands its greater neighbours, and after that its smaller ones, to
+the least node around it, until nothing moves: rounds grow with the logarithm of the longest path.
 
 A graph that grows keeps its labels. A batch of edges is lifted to the labels of its ends, only those few labels are connected, and
 only nodes of the components that met get another label. What met is told, as it joins entities that were stored apart.
@@ -23,7 +24,7 @@ TIED = 200_000
 
 
 def _tied(edges: DataFrame) -> DataFrame:
-    """``a, b`` with every node of a task's edges pointing to the least that the task connects it with."""
+    """``a, b`` with every node of a part of the edges, once, pointing to the least that the part connects it with (itself, if it is that)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict = {}
@@ -39,7 +40,6 @@ def _tied(edges: DataFrame) -> DataFrame:
 
         def told(schema) -> pa.RecordBatch:
             ends = [(x, find(x)) for x in [*least]]
-            ends = [e for e in ends if e[0] != e[1]]
             least.clear()
             return pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], schema.field(i).type) for i in (0, 1)], schema=schema)
 
@@ -60,9 +60,11 @@ def _tied(edges: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, component``: the smallest node that each node of ``edges`` (``a, b``, not null) is connected with; its own for one that is tied to itself only."""
-    given = edges.select("a", "b").filter("a is not null and b is not null")
-    alone = given.filter("a = b").select(F.col("a").alias("node")).distinct()
-    stars, before = written(_tied(given.filter("a <> b")), "tied"), None
+    tied = written(_tied(edges.select("a", "b").filter("a is not null and b is not null")), "tied")
+    nodes = written(tied.groupBy("a").agg(F.count("*").alias("parts"), F.min("b").alias("up")), "nodes")
+    # only nodes of several parts connect them
+    core = tied.join(nodes.filter("parts > 1").select("a"), "a", "left_semi").filter("a <> b")
+    stars, before = written(core.distinct(), "core"), None
     for _ in range(most_rounds):
         around = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
@@ -78,8 +80,8 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle")
-    labels = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-    return labels.union(alone.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+    labels = stars.select(F.col("a").alias("up"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("up"), F.col("b").alias("component"))).groupBy("up").agg(F.min("component").alias("component"))
+    return nodes.join(labels, "up", "left").select(F.col("a").alias("node"), F.coalesce("component", "up").alias("component"))
 
 
 LABELS = {"labels": Table("node string, component string", ("node",)), "members": Table("component string, node string", ("component", "node"), "component")}

@@ -37,6 +37,17 @@ def test_components_of_many_shapes(spark, monkeypatch):
     assert components.connected(d.limit(0)).count() == 0
 
 
+def test_nodes_of_one_part_take_no_part_in_the_rounds(spark, monkeypatch):
+    kept, written = {}, components.written
+    monkeypatch.setattr(components, "written", lambda d, label: kept.setdefault(label, []).append(written(d, label)) or kept[label][-1])
+    edges = [(f"p{i}", f"s{i % 7}") for i in range(400)] + [(f"s{i}", f"t{i % 3}") for i in range(7)] + [("z", "z"), ("p5", "p5")]
+    d = spark.createDataFrame(edges, "a string, b string").repartition(4)
+    assert labels(components.connected(d)) == plain(edges)
+    ends = {x for r in kept["core"][0].collect() for x in r}
+    assert len(ends) <= 7 + 3 + 1 + 7 * 4  # s, t, p5 and the least nodes of four parts; all 412 nodes moved in each round before
+    assert all(d.count() <= len(ends) for d in kept["stars"])
+
+
 def test_batches_in_any_order_give_the_labels_of_one_run(spark, tmp_path):
     rng = random.Random(3)
     edges = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(45)]

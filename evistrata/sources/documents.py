@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,10 +21,10 @@ def _exploded(rows: DataFrame, schema: str, columns: list[str], each) -> DataFra
     return rows.mapInPandas(run, schema)
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    """``page_id, title, lang, text, noindex, noarchive`` of pages ``page_id, html``."""
+def page_texts(pages: DataFrame, known: tuple[Sequence[str], Sequence[str]] | None = None) -> DataFrame:
+    """``page_id, title, lang, text, noindex, noarchive`` of pages ``page_id, html``; of character references only ``known`` ones of titles and of texts are decoded, if given."""
     def each(r):
-        found = html.visible(r.html)
+        found = html.visible(r.html, known=known)
         return [(r.page_id, *(found[k] for k in ("title", "lang", "text", "noindex", "noarchive")))]
 
     return _exploded(pages.select("page_id", "html"), "page_id long, title string, lang string, text string, noindex boolean, noarchive boolean", ["page_id", "title", "lang", "text", "noindex", "noarchive"], each)
